@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import conversation_digests
 from .common import table, work_path
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .ngram_join import ngram_components
+from .source_mix import mix_sources
 from .token_output import read_token_file, write_token_file
 
 
@@ -17,12 +21,41 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: The conversation that the contract adds: control strings inside the texts.
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
+    )
+    return conversation_digests(turns.unionByName(probe))
+
+
+#: Target weights of the production mix: out of 36, with 1 for all other sources.
+MIX_WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2} | {f"src{k}": 1 for k in range(5, 20)}
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "tokens")
     write_token_file(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id,
@@ -32,11 +65,69 @@ SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
     """,
+    "op2_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+        ), w AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                   string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '?' END,
+                              '' ORDER BY turn, role, text) AS codes,
+                   sum(length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))
+                       + length('<|im_start|>' || role || chr(10) || '<|im_end|>' || chr(10))) AS chars
+            FROM t GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
+               sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+               regexp_full_match(codes, 's?(ua)+') AS valid
+        FROM w
+    """,
+    "op8_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                   END AS s FROM w
+        ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), both_ways AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        r AS (
+            SELECT a AS doc_id, a AS other FROM both_ways
+            UNION SELECT r.doc_id, l.b FROM r JOIN both_ways l ON l.a = r.other
+        ), c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+        FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+    """,
+    "op10_line_dedup": r"""
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        w AS (
+            SELECT doc_id, pos, [l[pos], l[pos + 1], l[pos + 2]] AS k
+            FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS pos FROM d WHERE len(l) >= 3)
+        ), later AS (
+            SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM w) WHERE n > 1
+        ), c AS (
+            SELECT doc_id, list(DISTINCT p) AS covered
+            FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM later) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(covered), 0) AS BIGINT) AS n_removed,
+               CASE WHEN covered IS NULL THEN text
+                    ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(covered, i)), lambda i: l[i]), chr(10)), '') END AS text
+        FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+    """,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op9_token_output)}
+    return {f.__name__: f for f in (
+        op1_exact_dedup, op2_chat_format, op3_source_mix, op8_ngram_join, op9_token_output, op10_line_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
