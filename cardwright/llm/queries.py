@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .chat_format import conversation_digests
 from .common import table, work_path
+from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .language_id import fit_language_model, held_out, identify
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .source_mix import mix_sources
@@ -42,6 +44,16 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.filter(~held_out()))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -126,7 +138,8 @@ SQL: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_exact_dedup, op2_chat_format, op3_source_mix, op8_ngram_join, op9_token_output, op10_line_dedup,
+        op1_exact_dedup, op2_chat_format, op3_source_mix, op4_decontamination, op6_language_id,
+        op8_ngram_join, op9_token_output, op10_line_dedup,
     )}
 
 
