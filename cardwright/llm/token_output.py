@@ -9,11 +9,15 @@ Layout of a token file (a folder that Spark writes, so any store will do):
             n_tokens, doc_ids, lengths, and the two streams of the ids' ranks:
             ``control`` with two bits per value (bytes used less one, four
             values to a byte, lowest bits first) and ``data`` with one to four
-            little-endian bytes per value.
+            little-endian bytes per value. Each document fills up its last
+            control byte with zeros, so documents can be joined as bytes.
 
-Tokenising works on whitespace-separated chunks with a bounded cache in each
-worker; the tokenizer drops white space and never joins across it, so the ids
-are those of the whole text (tests hold it against the library's own output).
+Every text is tokenised once. Its ids go to a work table, from which the
+frequencies are counted and the ranks packed before documents are sorted.
+
+Tokenising works on pieces of text with a bounded cache in each worker; the
+tokenizer drops white space and never joins across it, so the ids are those of
+the whole text (tests hold it against the library's own output).
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, text_or_empty
+from .common import materialise, release, shuffle_partitions, text_or_empty
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -43,66 +48,108 @@ _KEEP = np.array(
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """uint32 values -> (control bytes, data bytes)."""
-    n = len(ranks)
-    padded = np.zeros(-(-n // 4) * 4, dtype="<u4")
-    padded[:n] = ranks
+    """uint32 values -> (control bytes, data bytes), filled up with zeros to a multiple of four."""
+    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype="<u4")
+    padded[: len(ranks)] = ranks
     code = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
     fours = code.reshape(-1, 4)
     control = fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6
-    keep = _KEEP[control].reshape(-1, 4)[:n]
-    return control.tobytes(), padded[:n].view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = _KEEP[control].reshape(-1, 4)
+    return control.tobytes(), padded.view(np.uint8).reshape(-1, 4)[keep].tobytes()
 
 
-def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """Inverse of :func:`pack_ranks`: one table lookup per control byte."""
-    keep = _KEEP[np.frombuffer(control, dtype=np.uint8)].reshape(-1, 4)[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
+def unpack_ranks(control: bytes, data: bytes) -> np.ndarray:
+    """Inverse of :func:`pack_ranks`, with its filling: one table lookup per control byte."""
+    keep = _KEEP[np.frombuffer(control, dtype=np.uint8)].reshape(-1, 4)
+    out = np.zeros((len(keep), 4), dtype=np.uint8)
     out[keep] = np.frombuffer(data, dtype=np.uint8)
     return out.view("<u4").ravel()
 
 
 class ChunkEncoder:
-    """Token ids of texts through a cache of whitespace-separated chunks."""
+    """Token ids of texts through a cache of chunks (what white space separates).
+
+    Chunks of plain Latin text are lower-cased and cut as the tokenizer cuts
+    them (``_piece`` is its pattern), and its model encodes the unknown pieces.
+    Other chunks go through the whole tokenizer one by one.
+    """
 
-    _odd = re.compile("[\x1c-\x1f]")  # str.split() cuts here, the tokenizer doesn't
+    _plain = re.compile("[\t-\r -~\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]*")
+    _piece = re.compile(r"[a-z\xb5\xdf-\xf6\xf8-\u017f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\xb5\xdf-\xf6\xf8-\u017f]+")
     _space = re.compile("[ \t-\r]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Byte-level vocabularies write a byte as its own character where that can be printed, else from 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in shown]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
-        self.store = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, chunks: list[str]) -> None:
+        self.pieces: dict[str, list[int]] = {}
+        self.filled = self.known = 0
+        self.starts, self.sizes = np.zeros(CACHE_WORDS * 2, dtype=np.int64), np.zeros(CACHE_WORDS * 2, dtype=np.int64)
+        self.store = np.zeros(CACHE_WORDS * 8, dtype=np.uint32)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.known + len(pieces), self.filled + len(ids)
+        if n > len(self.sizes):
+            self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
+        if m > len(self.store):
+            self.store = np.resize(self.store, 2 * m)
+        self.store[self.filled: m] = ids
+        self.sizes[self.known: n] = sizes
+        self.starts[self.known: n] = self.filled + np.cumsum(sizes) - sizes
+        self.index.update(zip(pieces, range(self.known, n)))
+        self.known, self.filled = n, m
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for one in ids for i in one), dtype=np.uint32, count=int(sizes.sum()))
-        starts = len(self.store) + np.cumsum(sizes) - sizes
-        self.index.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
-        self.starts = np.concatenate([self.starts, starts])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.store = np.concatenate([self.store, flat])
+        self._keep(chunks, np.fromiter((i for one in ids for i in one), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def _encode_piece(self, piece: str) -> list[int]:
+        mapped = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return ids
+
+    def _learn_plain(self, chunks: list[str]) -> None:
+        known, flat, sizes = self.pieces.get, [], []
+        for chunk in chunks:
+            before = len(flat)
+            for piece in [chunk] if chunk.isalpha() else self._piece.findall(chunk):
+                flat += known(piece) or self._encode_piece(piece)
+            sizes.append(len(flat) - before)
+        self._keep(chunks, np.array(flat, dtype=np.uint32), np.array(sizes, dtype=np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
+        if len(self.index) > CACHE_WORDS:
+            self._reset()
         chunks: list[str] = []
+        odd: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
-            own = [c for c in self._space.split(text) if c] if self._odd.search(text) else text.split()
+            if self._plain.fullmatch(text) and "<|" not in text:
+                own = text.lower().split()
+            else:
+                own = [c for c in self._space.split(text) if c]
+                odd += own
             counts[k] = len(own)
             chunks += own
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        if odd:
+            self._learn_chunks([c for c in dict.fromkeys(odd) if c not in self.index])
+        found = list(map(self.index.get, chunks))
+        missing = [k for k, i in enumerate(found) if i is None]
+        if missing:
+            self._learn_plain(list(dict.fromkeys([chunks[k] for k in missing])))
+            for k in missing:
+                found[k] = self.index[chunks[k]]
+        at = np.array(found, dtype=np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.store[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
@@ -115,66 +162,96 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def _slices(texts: pd.Series) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_CHARS characters."""
-    if not len(texts):
-        return
-    group = np.cumsum(texts.str.len().to_numpy()) // SLICE_CHARS
-    cuts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
-    yield from zip(cuts, [*cuts[1:], len(texts)])
-
-
-def _count_ids(path: str, end_id: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, dtype=np.int64)
-        for pdf in batches:
-            for start, stop in _slices(pdf["text"]):
-                ids, _ = _encoder(path).encode(pdf["text"].iloc[start:stop].tolist())
-                found = np.bincount(ids, minlength=end_id + 1)
-                found[end_id] += stop - start
-                if len(found) > len(total):
-                    found, total = total, found
-                total[: len(found)] += found
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
-
-    return count
-
-
-def _write_shards(path: str, end_id: int, ranked: np.ndarray):
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_CHARS or k == len(texts) - 1:
+            yield start, k + 1
+            start, size = k + 1, 0
+
+
+def _tokenise(path: str, end_id: int):
+    """Appends n_tokens and ids (uint32, the end id last) to rows with ``text`` as the last column."""
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for start, stop in _slices(texts):
+                ids, sizes = _encoder(path).encode(texts[start:stop])
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
+                blob, ends = ids.tobytes(), np.cumsum(sizes + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.slice(start, stop - start).columns[:-1], pa.array(sizes + 1),
+                        pa.array([blob[4 * (e - n): 4 * e] for e, n in zip(ends, sizes + 1)], pa.binary()),
+                    ],
+                    names=[*batch.schema.names[:-1], "n_tokens", "ids"],
+                )
+
+    return tokenise
+
+
+def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u4"))
+        if len(found) > len(total):
+            found, total = total, found
+        total[: len(found)] += found
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+
+def _pack(ranked: np.ndarray):
+    """Replaces ``ids``, the last column, by control and data."""
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, dtype=np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seq, offset = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-
-        def shard() -> pd.DataFrame:
-            nonlocal seq, offset, held
-            ids = np.concatenate([h[2] for h in held])
-            control, data = pack_ranks(rank_of[ids])
-            row = {
-                "part": part, "seq": seq, "part_offset": offset, "n_tokens": len(ids),
-                "doc_ids": [d for h in held for d in h[0]],
-                "lengths": np.concatenate([h[1] for h in held]), "control": control, "data": data,
-            }
-            seq, offset, held = seq + 1, offset + len(ids), []
-            return pd.DataFrame([row])
-
-        for pdf in batches:
-            for start, stop in _slices(pdf["text"]):
-                ids, sizes = _encoder(path).encode(pdf["text"].iloc[start:stop].tolist())
-                ids = np.insert(ids, np.cumsum(sizes), end_id)
-                doc_ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"].iloc[start:stop]]
-                held.append((doc_ids, sizes + 1, ids))
-                if sum(len(h[2]) for h in held) >= SHARD_TOKENS:
-                    yield shard()
-        if held:
-            yield shard()
-
-    return write
-
-
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pack_ranks(rank_of[np.frombuffer(x, dtype="<u4")]) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+                names=[*batch.schema.names[:-1], "control", "data"],
+            )
+
+    return pack
+
+
+def _write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, seq, offset, size = TaskContext.get().partitionId(), 0, 0, 0
+    held: list[dict] = []
+
+    def shard() -> pa.RecordBatch:
+        nonlocal seq, offset, size, held
+        row = {
+            "part": part, "seq": seq, "part_offset": offset, "n_tokens": size,
+            "doc_ids": [d for h in held for d in h["doc_id"]], "lengths": [n for h in held for n in h["n_tokens"]],
+            "control": b"".join([c for h in held for c in h["control"]]), "data": b"".join([d for h in held for d in h["data"]]),
+        }
+        seq, offset, size, held = seq + 1, offset + size, 0, []
+        return pa.RecordBatch.from_pylist([row], schema=_ARROW_SHARDS)
+
+    for batch in batches:
+        columns = batch.to_pydict()
+        n = np.array(columns["n_tokens"], dtype=np.int64)
+        group = np.cumsum(n) // SHARD_TOKENS
+        cuts = [*np.flatnonzero(np.diff(group, prepend=-1)), len(n)] if len(n) else []
+        for start, stop in zip(cuts, cuts[1:]):
+            held.append({c: v[start:stop] for c, v in columns.items()})
+            size += int(n[start:stop].sum())
+            if size >= SHARD_TOKENS:
+                yield shard()
+    if held:
+        yield shard()
+
+
+_ARROW_SHARDS = pa.schema([
+    ("part", pa.int32()), ("seq", pa.int32()), ("part_offset", pa.int64()), ("n_tokens", pa.int64()),
+    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary()),
+])
 _SHARDS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
     T.StructField("part_offset", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -194,26 +271,32 @@ def write_token_file(
     An empty table gives a file without shards.
     """
     spark = docs.sparkSession
+    order = [f"order_{k}" for k in range(len(order_by))]
     keyed = docs.select(
+        *[F.col(c).alias(name) for name, c in zip(order, order_by)],
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
-        *[F.col(c).alias(f"order_{k}") for k, c in enumerate(order_by)],
+    )
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1]]
+    tokens = materialise(
+        keyed.mapInArrow(_tokenise(tokenizer_path, end_id), ", ".join([*kinds, "n_tokens long", "ids binary"])), "token-ids", "zstd"
     )
     counts = (
-        keyed.select("text").mapInPandas(_count_ids(tokenizer_path, end_id), "id long, n long")
+        tokens.select("ids").mapInArrow(_count_ids, "id long, n long")
         .groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     )
     ranked = np.array([r["id"] for r in counts.collect()], dtype=np.int64)  # at most the vocabulary
     spark.createDataFrame(
         pd.DataFrame({"rank": np.arange(len(ranked)), "id": ranked}), "rank int, id int"
     ).coalesce(1).write.parquet(f"{path}/ranks")
-    order = [f"order_{k}" for k in range(len(order_by))]
     (
-        keyed.repartitionByRange(shuffle_partitions(spark), *order)
+        tokens.mapInArrow(_pack(ranked), ", ".join([*kinds, "n_tokens long", "control binary", "data binary"]))
+        .repartitionByRange(shuffle_partitions(spark), *order)
         .sortWithinPartitions(*order)
-        .select("doc_id", "text")
-        .mapInPandas(_write_shards(tokenizer_path, end_id, ranked), _SHARDS)
+        .select("doc_id", "n_tokens", "control", "data")
+        .mapInArrow(_write_shards, _SHARDS)
         .write.parquet(f"{path}/shards")
     )
+    release(tokens)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -231,15 +314,15 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in pdf.itertuples(index=False):
-                found = ranked[unpack_ranks(s.control, s.data, int(s.n_tokens))]
                 lengths = np.asarray(s.lengths, dtype=np.int64)
-                ends = np.cumsum(lengths)
-                blob = found.tobytes()
+                ends, room = np.cumsum(lengths), -(-lengths // 4) * 4
+                blob = ranked[unpack_ranks(s.control, s.data)].tobytes()
+                starts_at = np.cumsum(room) - room
                 yield pd.DataFrame({
                     "doc_id": pd.array([None if pd.isna(d) else int(d) for d in s.doc_ids], dtype="Int64"),
                     "start": starts[s.part] + s.part_offset + ends - lengths,
                     "n_tokens": lengths,
-                    "ids": [blob[4 * (e - n): 4 * e] for e, n in zip(ends, lengths)],
+                    "ids": [blob[4 * a: 4 * (a + n)] for a, n in zip(starts_at, lengths)],
                 })
 
     return shards.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
