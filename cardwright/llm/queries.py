@@ -12,11 +12,13 @@ from .chat_format import conversation_digests
 from .common import table, work_path
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language_id import fit_language_model, held_out, identify
 from .line_dedup import line_dedup
 from .ngram_join import ngram_components
 from .source_mix import mix_sources
 from .token_output import read_token_file, write_token_file
+from .url_filter import filter_urls
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +50,26 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language_model(docs.filter(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+#: The contract's rules.
+URL_RULES = [
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -97,6 +113,98 @@ SQL: dict[str, str] = {
                regexp_full_match(codes, 's?(ua)+') AS valid
         FROM w
     """,
+    "op3_source_mix": """
+        WITH RECURSIVE k AS (
+            SELECT doc_id, source, CASE WHEN source IN (%(names)s) THEN source ELSE '*' END AS g, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents
+        ), d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY h, doc_id) - 1 AS rank FROM k),
+        w AS (SELECT * FROM (VALUES %(weights)s) AS t(g, a)),
+        c AS (SELECT g, a, count(*) AS n, CAST(ceil(count(*) / 8.0) AS BIGINT) AS blocks FROM d JOIN w USING (g) GROUP BY g, a),
+        s0 AS (SELECT list(g ORDER BY g) AS gs, list(a ORDER BY g) AS weights, list(blocks ORDER BY g) AS total FROM c),
+        e AS (
+            -- One slot a step: of the released blocks the one that is due first.
+            SELECT 0 AS slot, 0 AS now, 0 AS base, 0 AS phase, gs, weights, total,
+                   list_transform(gs, lambda x: 0) AS done, list_transform(gs, lambda x: 0) AS before,
+                   CAST(NULL AS VARCHAR) AS g, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS release, CAST(0 AS BIGINT) AS due
+            FROM s0
+            UNION ALL
+            SELECT slot + 1, CASE WHEN ends THEN 0 ELSE now + 1 END, CASE WHEN ends THEN slot + 1 ELSE base END,
+                   CASE WHEN ends THEN phase + 1 ELSE phase END, gs, weights, total, newly,
+                   CASE WHEN ends THEN newly ELSE before END, gs[pick], done[pick], release, due
+            FROM (
+                SELECT *, list_transform(done, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END) AS newly,
+                       done[pick] + 1 = total[pick] AS ends,
+                       base + ((done[pick] - before[pick]) * period) // weights[pick] AS release,
+                       base - (-((done[pick] - before[pick] + 1) * period) // weights[pick]) AS due
+                FROM (
+                    SELECT *, list_position(keys, list_min(keys)) AS pick FROM (
+                        SELECT *, list_transform(gs, lambda x, i: CASE
+                                   WHEN done[i] < total[i] AND ((done[i] - before[i]) * period) // weights[i] <= now
+                                   THEN (((done[i] - before[i] + 1) * period + weights[i] - 1) // weights[i]) * 1000 + i END) AS keys
+                        FROM (SELECT * EXCLUDE (g, block, release, due), list_sum(list_transform(weights, lambda x, i: CASE WHEN done[i] < total[i] THEN x ELSE 0 END))::BIGINT AS period
+                              FROM e WHERE EXISTS (SELECT 1 FROM c) AND slot < (SELECT sum(blocks) FROM c))
+                    )
+                )
+            )
+        ), b AS (
+            SELECT g, block, slot - 1 AS slot, lag(phase, 1, 0) OVER (ORDER BY slot) AS phase, release, due FROM e WHERE g IS NOT NULL
+        ), q AS (SELECT d.*, b.* EXCLUDE (g), count(*) OVER (ORDER BY b.slot, d.rank ROWS UNBOUNDED PRECEDING) - 1 AS position
+                 FROM d JOIN b ON d.g = b.g AND d.rank // 8 = b.block)
+        SELECT doc_id, source, g AS mix_group, CAST(block AS BIGINT) AS mix_block, CAST(phase AS INTEGER) AS mix_phase,
+               CAST(release AS BIGINT) AS mix_release, CAST(due AS BIGINT) AS mix_deadline, CAST(slot AS BIGINT) AS mix_slot,
+               CAST(position AS BIGINT) AS mix_position
+        FROM q
+    """ % {
+        "names": ", ".join(f"'{s}'" for s in MIX_WEIGHTS),
+        "weights": ", ".join(f"('{s}', {a})" for s, a in [("*", 1), *MIX_WEIGHTS.items()]),
+    },
+    "op7_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+        ), t AS (
+            SELECT *, list_distinct(list_concat(
+                list_transform(range(1, len(l)), lambda i: 'h:' || array_to_string(l[i:], '.')),
+                list_transform(l, lambda x: 'l:' || x),
+                list_transform(list_filter(regexp_split_to_array(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+'),
+                                           lambda x: x <> ''), lambda x: 'p:' || x))) AS own
+            FROM (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS l FROM p)
+        ), j AS (
+            SELECT doc_id, max(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id
+        ), x AS (
+            SELECT page_id, own, bad FROM t JOIN j ON page_id = doc_id WHERE bad IS NOT NULL AND (len(own) > 0 OR bad)
+        ), n AS (SELECT count(*) AS n, avg(bad::INT) AS base, greatest(20, ceil(0.002 * count(*))) AS least FROM x),
+        one AS (SELECT row_number() OVER () AS r, bad, own FROM x),
+        k AS (SELECT r, bad, unnest(own) AS tok FROM one),
+        c AS (
+            SELECT [tok] AS tokens, bad FROM k
+            UNION ALL SELECT [a.tok, b.tok], a.bad FROM k a JOIN k b ON a.r = b.r AND a.tok < b.tok
+            UNION ALL SELECT [a.tok, b.tok, d.tok], a.bad FROM k a JOIN k b ON a.r = b.r AND a.tok < b.tok JOIN k d ON b.r = d.r AND b.tok < d.tok
+        ), m AS (
+            SELECT tokens, count(*) AS hits, count(*) FILTER (bad) AS bads, count(*) FILTER (bad) / count(*) AS conf FROM c GROUP BY tokens
+        ), f AS (
+            SELECT tokens, conf FROM m, n WHERE bads >= least AND conf >= 0.6 AND conf / base >= 1.5
+        ), g AS (
+            SELECT * FROM f a WHERE NOT EXISTS (
+                SELECT 1 FROM f b WHERE len(b.tokens) < len(a.tokens) AND len(list_intersect(b.tokens, a.tokens)) = len(b.tokens) AND b.conf >= a.conf)
+        ), h AS (
+            SELECT page_id, arg_min(array_to_string(tokens, ' '), (-conf, array_to_string(tokens, ' '))) AS mined_rule
+            FROM t JOIN g ON len(list_intersect(tokens, own)) = len(tokens) GROUP BY page_id
+        ), r AS (
+            SELECT p.*, mined_rule, CASE
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM p LEFT JOIN h ON p.page_id = h.page_id
+        )
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                    WHEN mined_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, mined_rule
+        FROM r
+    """,
     "op8_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -138,8 +246,8 @@ SQL: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_exact_dedup, op2_chat_format, op3_source_mix, op4_decontamination, op6_language_id,
-        op8_ngram_join, op9_token_output, op10_line_dedup,
+        op1_exact_dedup, op2_chat_format, op3_source_mix, op4_decontamination, op5_html_text, op6_language_id,
+        op7_url_filter, op8_ngram_join, op9_token_output, op10_line_dedup,
     )}
 
 
