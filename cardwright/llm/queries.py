@@ -134,7 +134,7 @@ SQL: dict[str, str] = {
                 SELECT *, list_transform(done, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END) AS newly,
                        done[pick] + 1 = total[pick] AS ends,
                        base + ((done[pick] - before[pick]) * period) // weights[pick] AS release,
-                       base - (-((done[pick] - before[pick] + 1) * period) // weights[pick]) AS due
+                       base + ((done[pick] - before[pick] + 1) * period + weights[pick] - 1) // weights[pick] AS due
                 FROM (
                     SELECT *, list_position(keys, list_min(keys)) AS pick FROM (
                         SELECT *, list_transform(gs, lambda x, i: CASE
