@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from . import credit, oracles
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credit.woe_merged(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (*credit.WITH_ORACLE, *credit.ROWS_ONLY)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.all_sql()
