@@ -24,7 +24,7 @@ FEATURE_BITS = 16
 MAX_TRAIN_DOCS = 20_000
 MARGIN_SCALE = 6.0
 AMBIGUOUS_BELOW = 0.6
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 _TABLE: list[np.ndarray] = []
 
 

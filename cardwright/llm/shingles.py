@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)

@@ -38,8 +38,8 @@ from .common import materialise, release, shuffle_partitions, text_or_empty
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 1 << 18
-SLICE_CHARS = 2_000_000
+CACHE_WORDS = 1 << 17
+SLICE_CHARS = 1_000_000
 
 #: Which of the four little-endian bytes of each of four values are stored, by control byte.
 _KEEP = np.array(
@@ -86,9 +86,10 @@ class ChunkEncoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in shown]
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache."""
         self.index: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.filled = self.known = 0
@@ -129,7 +130,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         if len(self.index) > CACHE_WORDS:
-            self._reset()
+            self.forget()
         chunks: list[str] = []
         odd: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
@@ -189,6 +190,7 @@ def _tokenise(path: str, end_id: int):
                     ],
                     names=[*batch.schema.names[:-1], "n_tokens", "ids"],
                 )
+        _encoder(path).forget()  # the worker may serve other stages next
 
     return tokenise
 
