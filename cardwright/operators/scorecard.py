@@ -90,8 +90,10 @@ def fit_scorecard(
 def fit_logistic(df: DataFrame, names: list[str], target: str, weight: str | None = None) -> tuple[float, list[float]]:
     """(intercept, coefficients) of a ridge-penalised logistic fit on grouped rows."""
     w = F.col(weight) if weight else F.lit(1.0)
-    grouped = df.select(*names, F.col(target).alias("label"), w.alias("w")).groupBy(*names, "label").agg(F.sum("w").alias("w"))
-    grouped = VectorAssembler(inputCols=names, outputCol="x").transform(grouped).select("x", "label", "w").cache()
+    inputs = [f"x{i}" for i in range(len(names))]
+    rows = df.select(*[F.col(c).alias(x) for c, x in zip(names, inputs)], F.col(target).alias("label"), w.alias("w"))
+    grouped = rows.groupBy(*inputs, "label").agg(F.sum("w").alias("w"))
+    grouped = VectorAssembler(inputCols=inputs, outputCol="x").transform(grouped).select("x", "label", "w").cache()
     total = grouped.agg(F.sum("w")).first()[0] or 0.0
     if not total:
         grouped.unpersist()
