@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     like an added one are replaced.
     """
     added = ["lang_pred", "score", "ambiguous"]
-    kept = docs.select(*[c for c in docs.columns if c not in added])
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in added])
     import pyarrow as pa
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

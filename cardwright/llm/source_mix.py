@@ -132,6 +132,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block_docs: int = BLOC
         "mix_position": slot * block_docs - F.col("deficit") + F.col("rank") % block_docs,
     }
     return placed.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added],
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in added],
         *[e.alias(name) for name, e in added.items()],
     )
