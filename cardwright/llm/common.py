@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,10 +37,16 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
     This cuts the lineage: losing an executor later costs a re-read, and the
     values (row keys, chunk ids) no longer depend on how the input is scanned.
+    The shuffles that made the table are deleted with the end of the write.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

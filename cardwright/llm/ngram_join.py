@@ -307,9 +307,8 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
     own = F.floor(F.col("rank") / BLOCK).cast("int")
     members = materialise(
         shared.join(groups.select("sig", "members"), "sig")
-        .join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
-        .select("sig", "set_id", "n_shingles", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "set_id", "n_shingles", "sketch"),
+        .select("sig", "set_id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "set_id"),
         "members",
     )
     release(shared)
@@ -317,7 +316,8 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
     def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
         group = ["sig", "left", "right"]
         return materialise(
-            rows.repartition(parts, *group).sortWithinPartitions(*group)
+            rows.join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
+            .repartition(parts, *group).sortWithinPartitions(*group)
             .mapInPandas(_candidates(num, den, all_pairs), "sig long, left int, right int, a long, b long"),
             "candidates",
         )
@@ -350,10 +350,9 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
         .withColumn("component", F.coalesce("component", "set_id")),
         all_pairs=True,
     )
-    found = connected_components(
-        checked.filter("linked").select("a", "b").unionByName(verified(again).filter("linked").select("a", "b"))
-    )
-    release(members, first, again)
+    rechecked = verified(again)
+    found = connected_components(checked.filter("linked").select("a", "b").unionByName(rechecked.filter("linked").select("a", "b")))
+    release(members, first, checked, again, rechecked)
 
     placed = classes.select("set_id", "least_id").join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "set_id"))
