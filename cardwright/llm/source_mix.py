@@ -97,9 +97,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block_docs: int = BLOC
         F.struct(*docs.columns).alias("row"),
         F.when(F.col("source").isin(*[s for s in weights if s != OTHER]), F.col("source")).otherwise(OTHER).alias("g"),
         digest.alias("h"), tie.alias("tie"),
-        F.conv(F.substring(digest, 1, 4), 16, 10).cast("int").alias("bucket"),
+        F.conv(F.substring(digest, 1, 3), 16, 10).cast("int").alias("bucket"),
     )
-    # Ranks within a source: counts by bucket (at most 65,536 a source), then a window per bucket.
+    # Ranks within a source: counts by bucket (at most 4,096 a source), then a window per bucket.
     counts = materialise(keyed.groupBy("g", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     before = counts.select(
         "g", "bucket",
