@@ -47,15 +47,24 @@ _KEEP = np.array(
 )
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """uint32 values -> (control bytes, data bytes), filled up with zeros to a multiple of four."""
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype="<u4")
-    padded[: len(ranks)] = ranks
+def pack_ranks(ranks: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[bytes], list[bytes]]:
+    """uint32 values of documents of ``counts`` values each (one document if not
+    given) -> (control bytes, data bytes) of each, filled up with zeros to a
+    multiple of four values."""
+    counts = np.array([len(ranks)]) if counts is None else counts
+    room = -(-counts // 4) * 4
+    ends = np.cumsum(room)
+    padded = np.zeros(int(room.sum()), dtype="<u4")
+    padded[np.repeat(ends - room - (np.cumsum(counts) - counts), counts) + np.arange(len(ranks))] = ranks
     code = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
     fours = code.reshape(-1, 4)
     control = fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6
-    keep = _KEEP[control].reshape(-1, 4)
-    return control.tobytes(), padded.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    data = padded.view(np.uint8)[_KEEP[control].ravel()].tobytes()
+    sizes = np.concatenate([[0], np.cumsum(fours.sum(axis=1, dtype=np.int64) + 4)])
+    cuts = np.concatenate([[0], ends // 4])
+    bits, at = control.tobytes(), sizes[cuts].tolist()
+    cuts = cuts.tolist()
+    return [bits[a:b] for a, b in zip(cuts, cuts[1:])], [data[a:b] for a, b in zip(at, at[1:])]
 
 
 def unpack_ranks(control: bytes, data: bytes) -> np.ndarray:
@@ -213,11 +222,14 @@ def _pack(ranked: np.ndarray):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [pack_ranks(rank_of[np.frombuffer(x, dtype="<u4")]) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                names=[*batch.schema.names[:-1], "control", "data"],
-            )
+            for part in (batch.slice(k, 500) for k in range(0, len(batch), 500)):
+                blobs = part.column(part.num_columns - 1).to_pylist()
+                counts = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+                control, data = pack_ranks(rank_of[np.frombuffer(b"".join(blobs), dtype="<u4")], counts)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                    names=[*batch.schema.names[:-1], "control", "data"],
+                )
 
     return pack
 

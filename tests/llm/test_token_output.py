@@ -19,10 +19,18 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=100))
 def test_packing_round_trip(values):
     v = np.array(values, dtype=np.uint32)
-    control, data = pack_ranks(v)
+    [control], [data] = pack_ranks(v)
     assert (unpack_ranks(control, data)[: len(v)] == v).all() and len(control) == -(-len(v) // 4)
 
 
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=9), max_size=9))
+def test_documents_pack_alone_and_together(docs):
+    counts = np.array([len(d) for d in docs], dtype=np.int64)
+    flat = np.array([v for d in docs for v in d], dtype=np.uint32)
+    control, data = pack_ranks(flat, counts)
+    assert [(c, d) for c, d in zip(control, data)] == [(c, d) for x in docs for [c], [d] in [pack_ranks(np.array(x, dtype=np.uint32))]]
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(PATH)
