@@ -11,9 +11,10 @@ signed only when the set has so many empty halves that the others would not
 be enough, so empty halves make no common signature.
 
 Candidates are not multiplied out. Within a signature group the members'
-parity sketches (the shingles' hashes modulo SKETCH_BITS, counted modulo 2)
+parity sketches (the shingles' hashes modulo a power of two, counted modulo 2)
 differ in no more bits than the sets differ in elements, so a larger distance
-proves that two sets do not link. Of the remaining pairs a group reports a
+proves that two sets do not link. A sketch has four bits or more per shingle,
+within bounds, and folds to half its length to meet a shorter one. Of the remaining pairs a group reports a
 minimum spanning forest; these are verified on the texts. Where a forest edge
 turns out not to be a link, every pair of that group that is still possible
 and joins two components is verified as well, so no link is lost.
@@ -36,7 +37,7 @@ from .components import connected_components
 from .shingles import mix, shingle_sets
 
 BAND_RATIO = (7, 5)
-SKETCH_BITS = 2048
+SKETCH_BITS = (512, 16_384)
 BLOCK = 2048
 
 
@@ -55,8 +56,23 @@ def set_id(elements: np.ndarray) -> int:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    at = (mix(elements, seed=11) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of elements in each cell, a bit each."""
+    bits = SKETCH_BITS[0]
+    while bits < min(4 * len(elements), SKETCH_BITS[1]):
+        bits *= 2
+    at = (mix(elements, seed=11) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all folded to the shortest one's length."""
+    words = [np.frombuffer(x, dtype=np.uint64) for x in sketches]
+    least = min(map(len, words))
+    for i, w in enumerate(words):
+        while len(w) > least:
+            w = w[: len(w) // 2] ^ w[len(w) // 2:]
+        words[i] = w
+    return np.stack(words)
 
 
 def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -216,25 +232,28 @@ def _candidates(num: int, den: int, all_pairs: bool):
         names = ["sig", "left", "right", "a", "b"]
         if not len(pdf):
             return pd.DataFrame(columns=names)
-        bits = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), -1)
+        sketches = pdf["sketch"].tolist()
         n = pdf["n_shingles"].to_numpy().astype(np.int64)
         component = pdf["component"].to_numpy()
         starts = edge[:-1] if edge[-1] == len(pdf) else edge[edge < len(pdf)]
         sizes = np.diff(np.append(starts, len(pdf)))
-        two = starts[sizes == 2]
-        apart = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64)
-        ok = apart <= _distance_limit(n[two], n[two + 1], num, den)
-        if all_pairs:
-            ok &= component[two] != component[two + 1]
-        a, b = [two[ok]], [two[ok] + 1]
-        for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
+        found: list[np.ndarray] = []
+        for start, size in zip(starts, sizes):
             part = slice(start, start + size)
-            found = _possible(bits[part], n[part], component[part], num, den) if all_pairs else _forest(bits[part], n[part], num, den)
-            if found:
-                one = np.array(found) + start
-                a.append(one[:, 0])
-                b.append(one[:, 1])
-        a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+            if size < 2 or all_pairs and (component[part] == component[start]).all():
+                continue
+            bits = folded(sketches[part])
+            if size == 2:
+                apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum(dtype=np.int64))
+                one = [(0, 1)] if apart <= _distance_limit(n[start], n[start + 1], num, den) else []
+            elif all_pairs:
+                one = _possible(bits, n[part], component[part], num, den)
+            else:
+                one = _forest(bits, n[part], num, den)
+            if one:
+                found.append(np.array(one, dtype=np.int64) + start)
+        pairs_found = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+        a, b = pairs_found[:, 0], pairs_found[:, 1]
         ids = pdf["set_id"].to_numpy()
         out = pdf[["sig", "left", "right"]].iloc[a].reset_index(drop=True)
         out["a"], out["b"] = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
