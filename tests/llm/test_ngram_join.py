@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -61,6 +62,17 @@ def test_against_brute_force(make_docs, words, num, den):
         assert got == brute(rows, words, num, den)
 
 
+def test_sketches_fold_and_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m in ((30, 40), (100, 700), (3000, 9000)):
+        a, b = rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, m, dtype=np.uint64)
+        both = rng.integers(0, 2**63, 500, dtype=np.uint64)
+        one, two = np.concatenate([a, both]), np.concatenate([b, both])
+        rows = join.folded([join.sketch(one), join.sketch(two)])
+        apart = int(np.bitwise_count(rows[0] ^ rows[1]).sum())
+        assert apart <= n + m and (apart > 0.7 * (n + m) or n + m > 5000)
+
+
 def test_groups_dealt_as_blocks(make_docs, monkeypatch):
     monkeypatch.setattr(join, "BLOCK", 4)
     rows = near_copies(3)
