@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a work table is written its shuffles end with the write, and batches for Python are cut by bytes, as texts may be long.
+_WRITE_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,6 +39,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/cardwright/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def write_settings(spark: SparkSession) -> Iterator[None]:
+    """The session with _WRITE_SETTINGS; its own values come back afterwards."""
+    before = {k: spark.conf.get(k) for k in _WRITE_SETTINGS}
+    for k, v in _WRITE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``function`` over batches; when a partition is done its unused Arrow
+    memory goes back, as the worker stays alive for later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -41,12 +72,8 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
-    try:
+    with write_settings(spark):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(_SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

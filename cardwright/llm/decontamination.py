@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 ERROR_EVERY = 15
 MIN_ITEM_CHARS = 24
 BLOCK_CHARS = 1_000_000
@@ -176,7 +178,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     out = None
     for items in benchmark_blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(finder(items), schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(finder(items)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -193,5 +195,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return clean
 
     for items in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(cleaner(items), docs.schema)
+        docs = docs.mapInArrow(tidy(cleaner(items)), docs.schema)
     return docs

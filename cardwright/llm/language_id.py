@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 UNDETERMINED = "und"
 FEATURE_BITS = 16
 MAX_TRAIN_DOCS = 20_000
@@ -160,7 +162,7 @@ def fit_language_model(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> L
         share = F.when(F.col("lang") == lang, int(min(1.0, max_docs / n) * (1 << 20))).otherwise(share)
     sample = rows.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 20)) < share)
     counts = (
-        sample.select("lang", "text").mapInPandas(_count_features, "lang string, feature int, n long")
+        sample.select("lang", "text").mapInPandas(tidy(_count_features), "lang string, feature int, n long")
         .groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     )
     shares = np.zeros((len(langs), 1 << FEATURE_BITS))
@@ -198,7 +200,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     kinds = zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()))
     schema = T.StructType([*kept.schema.fields, *[T.StructField(c, kind) for c, kind in kinds]])
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(tidy(predict), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, shuffle_partitions
+from .common import materialise, release, shuffle_partitions, tidy
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -304,7 +304,7 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
     parts = shuffle_partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", "text")
-    sets = materialise(plain.mapInPandas(_describe(words), f"doc_id {kind}, n_shingles long, set_id long, sketch binary"), "sets")
+    sets = materialise(plain.mapInPandas(tidy(_describe(words)), f"doc_id {kind}, n_shingles long, set_id long, sketch binary"), "sets")
     classes = materialise(
         sets.filter("set_id IS NOT NULL").groupBy("set_id")
         .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
@@ -312,9 +312,9 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
     )
 
     shared = materialise(
-        docs.select("text").mapInPandas(_sign(words, num, den), "sig long, set_id long")
+        docs.select("text").mapInPandas(tidy(_sign(words, num, den)), "sig long, set_id long")
         .repartition(parts, "sig").sortWithinPartitions("sig", "set_id")
-        .mapInPandas(_shared, "sig long, rank long, set_id long"),
+        .mapInPandas(tidy(_shared), "sig long, rank long, set_id long"),
         "shared",
     )
     # Groups with the same members count once.
@@ -337,7 +337,7 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
         return materialise(
             rows.join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
             .repartition(parts, *group).sortWithinPartitions(*group)
-            .mapInPandas(_candidates(num, den, all_pairs), "sig long, left int, right int, a long, b long"),
+            .mapInPandas(tidy(_candidates(num, den, all_pairs)), "sig long, left int, right int, a long, b long"),
             "candidates",
         )
 
@@ -346,14 +346,14 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
         wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         ids = classes.join(wanted, "set_id", "left_semi").select(F.col("least_id").alias("doc_id")).distinct()
         texts = materialise(
-            plain.join(ids, "doc_id", "left_semi").mapInPandas(_packed(words), "set_id long, packed binary")
+            plain.join(ids, "doc_id", "left_semi").mapInPandas(tidy(_packed(words)), "set_id long, packed binary")
             .dropDuplicates(["set_id"]).join(wanted, "set_id", "left_semi"),
             "texts",
         )
         side = lambda s: texts.select(F.col("set_id").alias(s), F.col("packed").alias(f"packed_{s}"))
         out = materialise(
             pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b")
-            .mapInPandas(_verify(words, num, den), "a long, b long, linked boolean"),
+            .mapInPandas(tidy(_verify(words, num, den)), "a long, b long, linked boolean"),
             "verified",
         )
         release(texts)

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, release, shuffle_partitions, text_or_empty
+from .common import materialise, release, shuffle_partitions, text_or_empty, tidy, write_settings
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 1 << 17
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 
 #: Which of the four little-endian bytes of each of four values are stored, by control byte.
 _KEEP = np.array(
@@ -292,7 +292,7 @@ def write_token_file(
     )
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1]]
     tokens = materialise(
-        keyed.mapInArrow(_tokenise(tokenizer_path, end_id), ", ".join([*kinds, "n_tokens long", "ids binary"])), "token-ids", "zstd"
+        keyed.mapInArrow(tidy(_tokenise(tokenizer_path, end_id)), ", ".join([*kinds, "n_tokens long", "ids binary"])), "token-ids", "zstd"
     )
     counts = (
         tokens.select("ids").mapInArrow(_count_ids, "id long, n long")
@@ -302,14 +302,15 @@ def write_token_file(
     spark.createDataFrame(
         pd.DataFrame({"rank": np.arange(len(ranked)), "id": ranked}), "rank int, id int"
     ).coalesce(1).write.parquet(f"{path}/ranks")
-    (
-        tokens.mapInArrow(_pack(ranked), ", ".join([*kinds, "n_tokens long", "control binary", "data binary"]))
-        .repartitionByRange(shuffle_partitions(spark), *order)
-        .sortWithinPartitions(*order)
-        .select("doc_id", "n_tokens", "control", "data")
-        .mapInArrow(_write_shards, _SHARDS)
-        .write.parquet(f"{path}/shards")
-    )
+    with write_settings(spark):
+        (
+            tokens.mapInArrow(tidy(_pack(ranked)), ", ".join([*kinds, "n_tokens long", "control binary", "data binary"]))
+            .repartitionByRange(shuffle_partitions(spark), *order)
+            .sortWithinPartitions(*order)
+            .select("doc_id", "n_tokens", "control", "data")
+            .mapInArrow(tidy(_write_shards), _SHARDS)
+            .write.parquet(f"{path}/shards")
+        )
     release(tokens)
 
 
