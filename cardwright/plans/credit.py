@@ -12,6 +12,11 @@ from ..sources.applications import (
 from .fixtures import ABLATIONS, CANDIDATES, fixed_card, scored
 
 CARD_FEATURES = ["income", "dti", "delinq_2y", "inquiries_6m", "region_risk"]
+#: Of the search for less discriminatory models: as in the original, region_risk shows through its proxies only.
+PROXIES = ["proxy_a", "proxy_b"]
+LDA_FEATURES = [*[f for f in FEATURES if f != "region_risk"], *PROXIES]
+#: Rounds of the unconstrained booster.
+GBM_ROUNDS = 250
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -148,15 +153,15 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fairness.score_distribution(funded(scored(spark, sf_dir)), "pd_a", GROUP))
 
 
-def lda_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lda_search_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fairness.lda_search(fairness.candidates_frame(spark, CANDIDATES)))
 
 
-def lda_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lda_conclusion_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairness.lda_conclusion(fairness.lda_search(fairness.candidates_frame(spark, CANDIDATES)))
 
 
-def ablation_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ablation_narrative_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(ABLATIONS, "name string, air_full double, air_ablated double, reconstruction_full double, reconstruction_ablated double")
     return fairness.ablation_narrative(rows).select("name", "narrative_code")
 
@@ -236,6 +241,55 @@ def proxy_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame([out]), 4)
 
 
+def _ablation(train: DataFrame, test: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(the row of :func:`fairness.ablation_narrative`, {card: its scored test rows}), of the cards with and without proxies."""
+    kept: dict[str, DataFrame] = {}
+
+    def fit(train: DataFrame, test: DataFrame, names: list[str]) -> DataFrame:
+        name = "champion" if PROXIES[0] in names else "scorecard_without_proxies"
+        kept[name] = fit_predict(train, test, names).select(TARGET, GROUP, "pd").cache()
+        return kept[name]
+
+    out = fairness.proxy_ablation(train, test, LDA_FEATURES, PROXIES, fit, GROUP)
+    return train.sparkSession.createDataFrame([("proxies", *out.values())], f"name string, {', '.join(f'{k} double' for k in out)}"), kept
+
+
+def _air_and_auc(scores: DataFrame) -> tuple[float, float]:
+    """The ratio at the 80 % cut of ``pd``, and its AUC."""
+    ok = (F.col("pd") <= F.lit(evaluation.approval_threshold(scores, "pd"))).cast("int")
+    air = fairness.adverse_impact(scores.withColumn("_ok", ok), "_ok", GROUP).first()["air"]
+    return air, evaluation.ranking_metrics(scores, "pd", TARGET).first()["auc"]
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The champion card, the card without proxies and the booster, fitted on the table."""
+    train, test = (d.cache() for d in _split(spark, sf_dir, proxies=True))
+    _, scores = _ablation(train, test)
+    pick = lambda d: as_features(d, LDA_FEATURES, TARGET, GROUP)
+    gbm = boosting.fit_gbt_candidate(pick(train), pick(test), LDA_FEATURES, TARGET, rounds=GBM_ROUNDS)
+    scores["gbm_challenger"] = gbm.select(TARGET, GROUP, F.round("pd", 9).alias("pd")).cache()
+    found = {name: _air_and_auc(s) for name, s in scores.items()}
+    for d in (train, test, *scores.values()):
+        d.unpersist()
+    return fairness.candidates_frame(spark, found)
+
+
+def lda_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fairness.lda_search(_candidates(spark, sf_dir)))
+
+
+def lda_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fairness.lda_conclusion(fairness.lda_search(_candidates(spark, sf_dir)))
+
+
+def ablation_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = (d.cache() for d in _split(spark, sf_dir, proxies=True))
+    row, scores = _ablation(train, test)
+    for d in (train, test, *scores.values()):
+        d.unpersist()
+    return fairness.ablation_narrative(row).select("name", "narrative_code")
+
+
 def gbm_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
     params = boosting.BoosterParams(rounds=8, depth=3, monotone={"income": -1, "dti": 1, "delinq_2y": 1})
@@ -268,10 +322,12 @@ def synthetic_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH_ORACLE = (
     population_summary, feature_matrix, train_test_split, woe_edges, woe_unmerged, woe_merged, woe_merged_thin, iv_summary, woe_transform,
     bin_lookup, card_scaling, card_scores, points_table, reason_codes, model_summary, calibration, approval_cut, swap_set, swap_verdict,
-    decline_sample, adverse_impact, adverse_impact_log_interval, score_distribution, lda_search, lda_conclusion, ablation_narrative,
+    decline_sample, adverse_impact, adverse_impact_log_interval, score_distribution, lda_search_fixture, lda_conclusion_fixture,
+    ablation_narrative_fixture,
     parcelling, parcelling_sweep, augmentation_weights, fuzzy_augmentation, counterfactual, stacked_population, funded_model_on_rejects,
 )
 ROWS_ONLY = (
-    woe_bin_labels, adverse_impact_bootstrap, card_fitted, card_fitted_metrics, proxy_reconstruction, proxy_ablation, gbm_monotone,
+    woe_bin_labels, adverse_impact_bootstrap, card_fitted, card_fitted_metrics, proxy_reconstruction, proxy_ablation, lda_search,
+    lda_conclusion, ablation_narrative, gbm_monotone,
     gbm_candidate, parcelled_refit, synthetic_population,
 )

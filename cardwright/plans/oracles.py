@@ -200,12 +200,12 @@ def all_sql() -> dict[str, str]:
             SELECT group_value, n, round(mean, 6) AS mean, round(median, 6) AS median, round(p10, 6) AS p10,
                    round((SELECT mean FROM g WHERE group_value = 1) - (SELECT mean FROM g WHERE group_value = 0), 6) AS mean_gap,
                    round((SELECT auc FROM m_s), 6) AS separation_auc FROM g""",
-        "lda_search": f"""{lda} SELECT name, round(air, 6) AS air, round(auc, 6) AS auc, round(gain, 6) AS air_gain, round(cost, 6) AS auc_cost, verdict,
+        "lda_search_fixture": f"""{lda} SELECT name, round(air, 6) AS air, round(auc, 6) AS auc, round(gain, 6) AS air_gain, round(cost, 6) AS auc_cost, verdict,
             CASE verdict WHEN 'qualifies' THEN CAST(row_number() OVER (PARTITION BY verdict ORDER BY gain DESC, name) AS INTEGER) ELSE 0 END AS rank FROM v""",
-        "lda_conclusion": f"""{lda}, k AS (SELECT count(*) FILTER (verdict = 'qualifies') AS n_qualifying, count(*) FILTER (verdict = 'blocked_on_cost') AS n_blocked FROM v)
+        "lda_conclusion_fixture": f"""{lda}, k AS (SELECT count(*) FILTER (verdict = 'qualifies') AS n_qualifying, count(*) FILTER (verdict = 'blocked_on_cost') AS n_blocked FROM v)
             SELECT *, CASE WHEN n_qualifying > 0 THEN 'a less discriminatory alternative qualifies'
                 WHEN n_blocked > 0 THEN 'fairer candidates exist but exceed the accuracy tolerance' ELSE 'no candidate is materially fairer' END AS conclusion FROM k""",
-        "ablation_narrative": f"""SELECT name, CASE WHEN abs(a1 - a0) < 0.01e0 AND r0 - r1 > 0.02e0 THEN 'cosmetic' WHEN a1 - a0 > 0.01e0 THEN 'driver' ELSE 'neutral' END AS narrative_code
+        "ablation_narrative_fixture": f"""SELECT name, CASE WHEN abs(a1 - a0) < 0.01e0 AND r0 - r1 > 0.02e0 THEN 'cosmetic' WHEN a1 - a0 > 0.01e0 THEN 'driver' ELSE 'neutral' END AS narrative_code
             FROM (VALUES {ablations}) AS t(name, a0, a1, r0, r1)""",
         "parcelling": f"{PARCEL} SELECT app_id, round(inferred, 6) AS inferred FROM i",
         "parcelling_sweep": f"""{PARCEL}, k AS (SELECT unnest([1e0, 1.5e0, 2e0, 3e0, 4e0]) AS k),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import fairness
 from . import credit
 
 
@@ -35,13 +36,14 @@ def scorecard_report(spark: SparkSession, sf_dir: str) -> str:
 
 
 def fairness_report(spark: SparkSession, sf_dir: str) -> str:
+    judged = credit.lda_search(spark, sf_dir)
     return _report("Fair lending", [
         ("Adverse impact", credit.adverse_impact(spark, sf_dir)),
         ("Interval (closed form)", credit.adverse_impact_log_interval(spark, sf_dir)),
         ("Interval (bootstrap)", credit.adverse_impact_bootstrap(spark, sf_dir)),
         ("Score distribution", credit.score_distribution(spark, sf_dir)),
-        ("Less discriminatory alternatives", credit.lda_search(spark, sf_dir)),
-        ("Conclusion", credit.lda_conclusion(spark, sf_dir)),
+        ("Less discriminatory alternatives", judged),
+        ("Conclusion", fairness.lda_conclusion(judged)),
     ])
 
 
