@@ -1,23 +1,30 @@
-"""Boosted trees: a monotone histogram booster, and Spark's own as a candidate.
+"""Boosted trees: a histogram booster with and without monotone constraints.
 
-The booster reads the table once per tree level: gradient and hessian sums by
-(node, feature, bin) come from one grouped pass, and the driver, which sees
-those sums only, picks the splits. Trees become column expressions.
+Rows are cut to bin numbers once and stay in the executors as NumPy blocks. The
+booster reads the blocks once per tree level: gradient and hessian sums by
+(node, feature, bin) come from one job, and the driver, which sees those sums
+only, picks the splits. Trees become column expressions, or score Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
-
 
 @dataclass(frozen=True)
 class BoosterParams:
+    """With ``patience``, tables of more than 10,000 rows hold every tenth row
+    back, and growth ends when that many rounds have not lowered the loss on them."""
+
     rounds: int = 40
     learning_rate: float = 0.06
     depth: int = 3
@@ -25,6 +32,7 @@ class BoosterParams:
     l2: float = 1.0
     bins: int = 32
     monotone: dict[str, int] = field(default_factory=dict)
+    patience: int = 0
 
 
 @dataclass
@@ -53,110 +61,199 @@ class Booster:
     def pd(self) -> Column:
         return 1 / (1 + F.exp(-self.raw()))
 
+    def batch_pd(self, features: list[str]) -> Column:
+        """:meth:`pd` for many trees, whose expression would be too large to compile: worked out on Arrow batches."""
+        base, flat = self.base, [_flat(t, features) for t in self.trees]
+
+        @F.pandas_udf("double")
+        def score(columns: pd.DataFrame) -> pd.Series:
+            x = columns.to_numpy(dtype=np.float64).T
+            raw = np.full(x.shape[1], base)
+            for tree in flat:
+                raw += tree[3][_walk(tree, x)]
+            return pd.Series(1 / (1 + np.exp(-raw)))
+
+        return score(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
+
+
+# A flat tree: by node the feature's place, the cut, the left child (the right one follows; -1 in a leaf), the value.
+
+def _flat(tree: Split | float, features: list[str]) -> tuple[np.ndarray, ...]:
+    rows, todo = [[0, 0.0, -1, 0.0]], [(0, tree)]
+    while todo:
+        at, node = todo.pop()
+        if isinstance(node, Split):
+            rows[at] = [features.index(node.feature), node.edge, len(rows), 0.0]
+            todo += [(len(rows), node.left), (len(rows) + 1, node.right)]
+            rows += [[0, 0.0, -1, 0.0], [0, 0.0, -1, 0.0]]
+        else:
+            rows[at][3] = float(node)
+    return _arrays(rows)
+
+
+def _arrays(rows: list[list]) -> tuple[np.ndarray, ...]:
+    f, c, left, v = zip(*rows)
+    return np.array(f, np.intp), np.array(c, float), np.array(left, np.intp), np.array(v, float)
+
+
+def _walk(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """The node at which each column of ``x`` (features by rows) ends; what is not <= the cut goes right, NaN too."""
+    feature, cut, left, _ = tree
+    rows, node = np.arange(x.shape[1]), np.zeros(x.shape[1], np.intp)
+    while (inner := left[node] >= 0).any():
+        node = np.where(inner, left[node] + ~(x[feature[node], rows] <= cut[node]), node)
+    return node
+
+
+BLOCK_ROWS, TASK_ROWS = 200_000, 25_000
+HELD_FROM, TOLERANCE = 10_000, 1e-7
+#: Rounds after which the blocks are rewritten with their scores so far.
+ADVANCE = 10
 
-def _leaf(g: float, h: float, p: BoosterParams, low: float, high: float) -> float:
-    return min(max(-g / (h + p.l2), low), high)
 
+def _blocks(df: DataFrame, features: list[str], edges: list[np.ndarray], target: str, n: int, held: bool) -> RDD:
+    """(bins by feature and row, label, is held back, raw score) of up to BLOCK_ROWS rows each."""
+    kind = np.uint8 if max(map(len, edges)) < 256 else np.uint16
 
-def _best_split(sums: dict, features: list[str], edges: dict, p: BoosterParams, low: float, high: float):
-    """(gain, feature, edge, middle value, left sums, right sums) of the best allowed split, or None."""
-    best = None
-    for f in features:
-        cells = sums.get(f, {})
-        g_all, h_all, n_all = (sum(c[k] for c in cells.values()) for k in range(3))
-        g = h = n = 0.0
-        for b in range(len(edges[f])):
-            dg, dh, dn = cells.get(b, (0.0, 0.0, 0))
-            g, h, n = g + dg, h + dh, n + dn
-            if n < p.min_rows or n_all - n < p.min_rows:
-                continue
-            left, right = _leaf(g, h, p, low, high), _leaf(g_all - g, h_all - h, p, low, high)
-            if (right - left) * p.monotone.get(f, 0) < 0:
-                continue
-            gain = g * g / (h + p.l2) + (g_all - g) ** 2 / (h_all - h + p.l2) - g_all**2 / (h_all + p.l2)
-            if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
-                best = (gain, f, edges[f][b], (left + right) / 2)
-    return best
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = np.stack([np.searchsorted(e, b.column(k + 2).to_numpy(zero_copy_only=False), "left") for k, e in enumerate(edges)]).astype(kind)
+            y = b.column(0).to_numpy(zero_copy_only=False).astype(np.uint8)
+            back = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bins, y, back)], names=["bins", "y", "held"])
+
+    def join(rows: Iterator) -> Iterator[tuple]:
+        own, size = [], 0
+        for r in rows:
+            own.append((np.frombuffer(r["bins"], kind).reshape(len(edges), -1), np.frombuffer(r["y"], np.uint8), np.frombuffer(r["held"], np.uint8) == 1))
+            size += len(own[-1][1])
+            if size >= BLOCK_ROWS:
+                yield tuple(np.concatenate(x, axis=-1) for x in zip(*own)) + (np.zeros(size),)
+                own, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x, axis=-1) for x in zip(*own)) + (np.zeros(size),)
+
+    columns = [F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]
+    back = F.pmod(F.xxhash64(target, *[F.col(f).cast("double") for f in features]), F.lit(10)) == 0 if held else F.lit(False)
+    packed = df.select(F.col(target).cast("int").alias("y"), back.alias("held"), *columns).mapInArrow(pack, "bins binary, y binary, held binary").rdd
+    return packed.coalesce(min(packed.getNumPartitions(), max(1, -(-n // TASK_ROWS)))).mapPartitions(join)
+
+
+def _gather(blocks: RDD, base: float, trees: list, grown: tuple, active: list[int], size: int) -> tuple[np.ndarray, float, int]:
+    """Sums (gradient, hessian, rows) by active node, feature and bin, and the loss and number of rows held back."""
+    slot = np.full(len(grown[0]), -1)
+    slot[active] = np.arange(len(active))
+
+    def sums(part: Iterator[tuple]) -> Iterator[tuple]:
+        out, loss, n = None, 0.0, 0
+        for bins, y, held, raw in part:
+            raw = base + raw + sum((t[3][_walk(t, bins)] for t in trees), 0.0)
+            if held.any():
+                loss, n = loss + float((np.logaddexp(0, raw[held]) - y[held] * raw[held]).sum()), n + int(held.sum())
+            own = slot[_walk(grown, bins)]
+            keep = (own >= 0) & ~held
+            p = 1 / (1 + np.exp(-raw[keep]))
+            weights, at, cells = (p - y[keep], p * (1 - p), None), own[keep] * size, len(active) * size
+            each = np.stack([[np.bincount(at + b, w, cells) for b in bins[:, keep]] for w in weights]).reshape(3, len(bins), len(active), size)
+            out = each if out is None else out + each
+        if out is not None:
+            yield out, loss, n
+
+    plus = lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+    parts = blocks.mapPartitions(sums)
+    out, loss, n = parts.treeReduce(plus) if blocks.getNumPartitions() > 64 else parts.reduce(plus)
+    return out.transpose(2, 0, 1, 3), loss, n
+
+
+def _leaf(g, h, p: BoosterParams, low: float, high: float):
+    return np.minimum(np.maximum(-g / (h + p.l2 + 1e-12), low), high)
+
+
+def _best_split(sums: np.ndarray, features: list[str], edges: list[np.ndarray], p: BoosterParams, low: float, high: float):
+    """(place of the feature, bin, middle value) of the best allowed split, or None; bins up to the one named go left."""
+    g, h, n = sums.cumsum(axis=2)
+    g_all, h_all, n_all = (x[:, -1:] for x in (g, h, n))
+    left, right = _leaf(g, h, p, low, high), _leaf(g_all - g, h_all - h, p, low, high)
+    way = np.array([p.monotone.get(f, 0) for f in features])[:, None]
+    last = np.array([len(e) for e in edges])[:, None]
+    fit = (n >= p.min_rows) & (n_all - n >= p.min_rows) & ((right - left) * way >= 0) & (np.arange(g.shape[1]) < last)
+    ratio = lambda a, b: a * a / (b + p.l2 + 1e-12)
+    gain = np.where(fit, ratio(g, h) + ratio(g_all - g, h_all - h) - ratio(g_all, h_all), 0.0)
+    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+    return (int(f), int(b), float(left[f, b] + right[f, b]) / 2) if gain[f, b] > 1e-9 else None
 
 
 def fit_monotone_booster(df: DataFrame, features: list[str], target: str, params: BoosterParams = BoosterParams()) -> Booster:
     """Gradient boosting on the logistic loss with at most ``bins`` quantile bins
     per feature. A feature with direction +1 (-1) can only raise (lower) the
     prediction: splits that go the other way are rejected and children stay on
-    their side of the split's middle."""
+    their side of the split's middle. Rows without a label are left out."""
     p = params
-    found = exact_quantiles(df, features, [i / p.bins for i in range(1, p.bins)])
-    edges = {f: sorted(set(found[f])) for f in features}
-    data = df.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).cache()
-    rate = data.agg(F.avg("_y")).first()[0]
+    df = df.filter(F.col(target).isNotNull())
+    plain = df.select(*[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
+    found = plain.approxQuantile(plain.columns, [i / p.bins for i in range(1, p.bins)], 1 / (8 * p.bins))
+    edges = [np.array(sorted(set(x))) for x in found]
+    size = max(map(len, edges)) + 1
+    rate, n = df.agg(F.avg(F.col(target).cast("double")), F.count(F.lit(1))).first()
     base = math.log(rate / (1 - rate))
-    model = Booster(base, [])
-    for _ in range(p.rounds):
-        prob = F.col("_p")
-        scored = data.withColumn("_p", model.pd()).withColumns({"_g": prob - F.col("_y"), "_h": prob * (1 - prob)})
-        nodes = [{"path": [], "low": -math.inf, "high": math.inf}]
-        built: dict[int, tuple] = {}
-        where: list[int] = [0]
-        for _level in range(p.depth):
-            number = F.lit(None).cast("int")
-            for i in where:
-                test = F.lit(True)
-                for f, e, is_left in nodes[i]["path"]:
-                    test = test & ((F.col(f) <= F.lit(e)) if is_left else ~(F.col(f) <= F.lit(e)))
-                number = F.when(test, i).otherwise(number)
-            cells = F.array(*[
-                F.struct(F.lit(f).alias("f"), sum([F.when(F.col(f) > F.lit(e), 1).otherwise(0) for e in edges[f]], F.lit(0)).alias("b")) for f in features
-            ])
-            rows = (
-                scored.select(number.alias("node"), "_g", "_h", F.explode(cells).alias("c")).filter("node IS NOT NULL")
-                .groupBy("node", "c.f", "c.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("n")).collect()
-            )
-            sums: dict[int, dict] = {i: {} for i in where}
-            for r in rows:
-                sums[r["node"]].setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"], r["n"])
+    blocks = _blocks(df, features, edges, target, n, p.patience > 0 and n > HELD_FROM).persist(StorageLevel.MEMORY_AND_DISK)
+    trees: list[tuple] = []
+    recent: list[tuple] = []
+    losses: list[float] = []
+    while True:
+        rows, limits, active = [[0, 0.0, -1, 0.0]], [(-math.inf, math.inf)], [0]
+        for level in range(p.depth):
+            if len(trees) == p.rounds and (level or not p.patience):
+                break
+            sums, loss, held = _gather(blocks, base, recent, _arrays(rows), active, size)
+            if not level and held:
+                losses.append(loss / held)
+            if not level and len(trees) == p.rounds:
+                break
             following = []
-            for i in where:
-                total = next(iter(sums[i].values()), {})
-                nodes[i]["g"], nodes[i]["h"] = sum(c[0] for c in total.values()), sum(c[1] for c in total.values())
-                split = _best_split(sums[i], features, edges, p, nodes[i]["low"], nodes[i]["high"])
+            for i, own in zip(active, sums):
+                low, high = limits[i]
+                rows[i][3] = p.learning_rate * float(_leaf(own[0, 0].sum(), own[1, 0].sum(), p, low, high))
+                split = _best_split(own, features, edges, p, low, high)
                 if split is None:
                     continue
-                _, f, edge, middle = split
-                way = p.monotone.get(f, 0)
+                f, b, middle = split
+                way = p.monotone.get(features[f], 0)
+                rows[i][:3] = [f, float(b), len(rows)]
                 for is_left in (True, False):
                     rising = (way > 0) == is_left
-                    low = nodes[i]["low"] if way == 0 or rising else max(nodes[i]["low"], middle)
-                    high = nodes[i]["high"] if way == 0 or not rising else min(nodes[i]["high"], middle)
-                    nodes.append({"path": [*nodes[i]["path"], (f, edge, is_left)], "low": low, "high": high})
-                    following.append(len(nodes) - 1)
-                    b = len(edges[f][: edges[f].index(edge) + 1])
-                    side = [c for k, c in sums[i][f].items() if (k < b) == is_left]
-                    nodes[-1]["g"], nodes[-1]["h"] = sum(c[0] for c in side), sum(c[1] for c in side)
-                built[i] = (f, edge, len(nodes) - 2, len(nodes) - 1)
-            where = following
-            if not where:
+                    limits.append((
+                        low if way == 0 or rising else max(low, middle), high if way == 0 or not rising else min(high, middle),
+                    ))
+                    side = own[:, f, : b + 1] if is_left else own[:, f, b + 1:]
+                    value = p.learning_rate * float(_leaf(side[0].sum(), side[1].sum(), p, *limits[-1]))
+                    following.append(len(rows))
+                    rows.append([0, 0.0, -1, value])
+            active = following
+            if not active:
                 break
+        # As often as the last rounds have not helped, or all rounds are done.
+        if losses and len(losses) > p.patience and min(losses[-p.patience:]) > losses[-p.patience - 1] - TOLERANCE or len(trees) == p.rounds:
+            break
+        trees.append(_arrays(rows))
+        recent.append(trees[-1])
+        if len(recent) == ADVANCE:
+            def advance(block: tuple, recent: list = recent) -> tuple:
+                return *block[:3], block[3] + sum(t[3][_walk(t, block[0])] for t in recent)
+
+            old, blocks, recent = blocks, blocks.map(advance).persist(StorageLevel.MEMORY_AND_DISK), []
+            blocks.count()
+            old.unpersist()
+    blocks.unpersist()
 
-        def grown(i: int):
-            if i in built:
-                f, edge, left, right = built[i]
-                return Split(f, edge, grown(left), grown(right))
-            return p.learning_rate * _leaf(nodes[i].get("g", 0.0), nodes[i].get("h", 0.0), p, nodes[i]["low"], nodes[i]["high"])
+    def grown(tree: tuple, i: int = 0):
+        f, cut, left, value = (x[i] for x in tree)
+        return Split(features[f], float(edges[f][int(cut)]), grown(tree, left), grown(tree, left + 1)) if left >= 0 else float(value)
 
-        model.trees.append(grown(0))
-    data.unpersist()
-    return model
+    return Booster(base, [grown(t) for t in trees])
 
 
 def fit_gbt_candidate(train: DataFrame, test: DataFrame, features: list[str], target: str, rounds: int = 250) -> DataFrame:
-    """Test rows with ``pd`` from Spark's gradient-boosted trees, without constraints."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    model = GBTClassifier(
-        featuresCol="_x", labelCol=target, maxIter=rounds, stepSize=0.06, maxDepth=4, minInstancesPerNode=100, maxBins=255, seed=0,
-    ).fit(assembler.transform(train))
-    scored = model.transform(assembler.transform(test))
-    return scored.withColumn("pd", vector_to_array("probability")[1]).select(*test.columns, "pd")
+    """Test rows with ``pd`` from boosted trees without constraints or penalty."""
+    model = fit_monotone_booster(train, features, target, BoosterParams(rounds=rounds, depth=4, l2=0.0, bins=255, patience=10))
+    return test.withColumn("pd", model.batch_pd(features))
