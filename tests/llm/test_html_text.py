@@ -65,3 +65,15 @@ def test_whole_table(spark):
     got = sorted(((r["page_id"], r["text"], r["n_chars"], r["n_lines"]) for r in extract_text(pages).collect()), key=repr)
     assert got == sorted([(1, "a\n\nb", 4, 3), (2, "", 0, 0), (3, "", 0, 0), (None, "plain text", 10, 1), (1, "a\n\nb", 4, 3)], key=repr)
     assert extract_text(pages.limit(0)).collect() == []
+
+
+def test_words_after_stray_quotes_survive():
+    assert html_to_text("<p title=it's>Hello, we don't lose this</p>") == "Hello, we don't lose this"
+    assert html_to_text('<a href="x"">first link</a>') == "first link"
+    assert html_to_text('<p "hidden">a</p><p a=b"c>b</p><p title=a="b>c</p>') == "a\n\nb\n\nc"
+    assert html_to_text("""<a href="a>b" title = 'c>d'>x</a> <img alt="1 > 0">""") == "x 1 > 0"
+    assert html_to_text("<a href=http://x/?q='a>y</a>") == "y"
+
+
+def test_empty_comments():
+    assert html_to_text("<!-->a<!--->b<!---->c<!-- d -->e") == "abce"
