@@ -8,6 +8,7 @@ rarest token.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -25,13 +26,15 @@ class MiningParams:
     """A mined rule holds (token combination and label) for ``min_support`` of
     the labelled pages and for ``min_count`` of them or more, is right for
     ``min_confidence`` of those that it fits or more, and beats the share of
-    bad pages by the factor ``min_lift``."""
+    bad pages by the factor ``min_lift`` or has a share of good pages lower than
+    theirs by the factor ``min_conviction``. The two agree where half of the pages
+    are bad; above, lift alone would soon be out of reach even for a sure rule."""
 
     min_support: float = 0.002
     min_count: int = 20
     min_confidence: float = 0.6
     min_lift: float = 1.5
-    max_tokens: int = 3
+    min_conviction: float = 2.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -83,35 +86,49 @@ def mine_rules(labelled: DataFrame, params: MiningParams = MiningParams()) -> Da
     rows = labelled.select(
         F.concat(url_tokens(F.col("host"), F.col("path")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
     ).filter(F.size("items") > 0)
-    n = rows.count()
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.count(F.when(F.array_contains("items", BAD), 1))).first()
     least = max(params.min_count, math.ceil(params.min_support * n))
     model = FPGrowth(
         itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(n, 1)), minConfidence=params.min_confidence,
         numPartitions=shuffle_partitions(labelled.sparkSession),
     ).fit(rows)
+    good = 1 - n_bad / max(n, 1)
+    convinces = (1 - F.col("confidence")) * params.min_conviction <= good + 1e-12
     found = (
         model.associationRules.filter(
-            (F.size("consequent") == 1) & (F.get("consequent", 0) == BAD) & (F.size("antecedent") <= params.max_tokens)
-            & (F.col("lift") >= params.min_lift) & (F.round(F.col("support") * n) >= least)
+            (F.size("consequent") == 1) & (F.get("consequent", 0) == BAD)
+            & ((F.col("lift") >= params.min_lift) | F.lit(n_bad * 2 > n) & convinces) & (F.round(F.col("support") * n) >= least)
         ).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     )
     found = materialise(found.withColumn("rule_id", F.xxhash64(F.array_join("tokens", " "))), "mined-rules")
-    # A shorter rule within a longer one, found by its parts: at most 2**max_tokens of each rule.
-    parts = found.select("rule_id", "tokens", "confidence", F.explode(_proper_parts(F.col("tokens"), params.max_tokens)).alias("part"))
+    # A shorter rule within a longer one, found by its parts: first those that lack one token, which
+    # leaves few long rules, then all others.
+    return _undominated(_undominated(found, found, _parts_by_one), found, _proper_parts)
+
+
+def _undominated(rules: DataFrame, found: DataFrame, parts_of: Callable[[Column], Column]) -> DataFrame:
+    """The rules without a part among ``found`` that is as confident on its own."""
+    parts = rules.select("rule_id", "confidence", F.explode(parts_of(F.col("tokens"))).alias("part"))
     better = (
         parts.alias("a").join(found.alias("b"), F.xxhash64(F.array_join("a.part", " ")) == F.col("b.rule_id"))
         .filter("b.confidence >= a.confidence").select("a.rule_id").distinct()
     )
-    return found.join(better, "rule_id", "left_anti")
+    return rules.join(better, "rule_id", "left_anti")
+
+
+def _parts_by_one(tokens: Column) -> Column:
+    """The non-empty sub-arrays that lack one token."""
+    parts = F.transform(tokens, lambda t: F.filter(tokens, lambda x: x != t))
+    return F.filter(parts, lambda x: F.size(x) > 0)
 
 
-def _proper_parts(tokens: Column, most: int) -> Column:
-    """All non-empty proper sub-arrays of a sorted array of at most ``most`` tokens."""
+def _proper_parts(tokens: Column) -> Column:
+    """All non-empty proper sub-arrays of a sorted array."""
     n = F.size(tokens)
-    masks = F.filter(F.sequence(F.lit(1), F.lit(2**most - 1)), lambda m: m < F.pow(F.lit(2), n) - 1)
+    masks = F.filter(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), n).cast("long") - 1), lambda m: m < F.pow(F.lit(2), n).cast("long") - 1)
     return F.transform(
         masks,
-        lambda m: F.filter(tokens, lambda x, i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0),
+        lambda m: F.filter(tokens, lambda x, i: m.bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0),
     )
 
 

@@ -56,3 +56,21 @@ def test_mined_rules_equal_brute_force(spark):
 
 def test_no_rows(spark):
     assert run(spark, [], []) == []
+
+
+def test_rules_where_most_pages_are_bad(spark):
+    urls = [(i, f"http://{'spam' if i < 60 else 'mixed'}.net/{i}") for i in range(120)]
+    labels = [(i, 1, int(i < 60 or i % 5 < 2)) for i in range(120)]
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in run(spark, urls + [(500, "http://spam.net/new"), (501, "http://else.com/")], labels)}
+    assert got[0] == got[500] == ("block", "h:spam.net") and got[119] == got[501] == ("allow", None)
+
+
+def test_rules_of_four_tokens(spark):
+    words = ["red", "big", "new", "hot"]
+    urls, labels = [], []
+    for i in range(200):
+        own = [w for k, w in enumerate(words) if i < 40 or k != i % 4]
+        urls.append((i, f"http://h{i}.c{i}/{'/'.join(own)}"))
+        labels.append((i, 1, int(i < 40)))
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in run(spark, urls, labels)}
+    assert got[0] == ("block", "p:big p:hot p:new p:red") and got[100] == ("allow", None)
