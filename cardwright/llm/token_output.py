@@ -13,22 +13,27 @@ Layout of a token file (a folder that Spark writes, so any store will do):
             control byte with zeros, so documents can be joined as bytes.
 
 Every text is tokenised once. Its ids go to a work table, from which the
-frequencies are counted and the ranks packed before documents are sorted.
+frequencies are counted; documents are sorted as ids, and ranks are packed as
+the shards are written.
 
-Tokenising works on pieces of text with a bounded cache in each worker; the
-tokenizer drops white space and never joins across it, so the ids are those of
-the whole text (tests hold it against the library's own output).
+A tokenizer that drops white space and never joins across it is run on chunks
+with a bounded cache in each worker, so that the ids are those of the whole
+text (tests hold it against the library's own output). Which files are of this
+kind is read from the file; any other file takes the library's batch call.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +43,9 @@ from .common import materialise, release, shuffle_partitions, text_or_empty, tid
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 1 << 17
-SLICE_CHARS = 250_000
+CACHE_WORDS = 1 << 19
+SLICE_BYTES = 2_000_000
+BLOCK_CHUNKS = 1 << 19
 
 #: Which of the four little-endian bytes of each of four values are stored, by control byte.
 _KEEP = np.array(
@@ -75,22 +81,66 @@ def unpack_ranks(control: bytes, data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-class ChunkEncoder:
+#: The text handling that ChunkEncoder takes over from a tokenizer file.
+_CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {
+            "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed", "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def drops_white_space(path: str) -> bool:
+    """Whether the tokenizer file handles text in the way that ChunkEncoder takes over."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return (
+        all(spec.get(k) == v for k, v in _CHUNKED.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        and not any(spec.get(k) for k in ("truncation", "padding"))
+        and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+        and not any(re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+
+
+class WholeEncoder:
+    """Token ids by the library's own batch call, for any tokenizer file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+
+    def forget(self) -> None:
+        """Nothing is kept between calls."""
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter((i for one in ids for i in one), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+
+class ChunkEncoder(WholeEncoder):
     """Token ids of texts through a cache of chunks (what white space separates).
 
-    Chunks of plain Latin text are lower-cased and cut as the tokenizer cuts
-    them (``_piece`` is its pattern), and its model encodes the unknown pieces.
-    Other chunks go through the whole tokenizer one by one.
+    Arrow cuts a batch into chunks and finds its distinct ones; only these meet
+    the cache. Chunks of plain Latin text are lower-cased and cut as the
+    tokenizer cuts them (``_piece`` is its pattern), and its model encodes the
+    unknown pieces. Other chunks go through the whole tokenizer one by one.
     """
 
     _plain = re.compile("[\t-\r -~\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]*")
     _piece = re.compile(r"[a-z\xb5\xdf-\xf6\xf8-\u017f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\xb5\xdf-\xf6\xf8-\u017f]+")
-    _space = re.compile("[ \t-\r]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__(path)
         # Byte-level vocabularies write a byte as its own character where that can be printed, else from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in shown]
@@ -102,11 +152,11 @@ class ChunkEncoder:
         self.index: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.filled = self.known = 0
-        self.starts, self.sizes = np.zeros(CACHE_WORDS * 2, dtype=np.int64), np.zeros(CACHE_WORDS * 2, dtype=np.int64)
-        self.store = np.zeros(CACHE_WORDS * 8, dtype=np.uint32)
+        self.starts, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.store = np.zeros(1 << 18, dtype=np.uint32)
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = self.known + len(pieces), self.filled + len(ids)
+    def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.known + len(chunks), self.filled + len(ids)
         if n > len(self.sizes):
             self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
         if m > len(self.store):
@@ -114,152 +164,160 @@ class ChunkEncoder:
         self.store[self.filled: m] = ids
         self.sizes[self.known: n] = sizes
         self.starts[self.known: n] = self.filled + np.cumsum(sizes) - sizes
-        self.index.update(zip(pieces, range(self.known, n)))
+        self.index.update(zip(chunks, range(self.known, n)))
         self.known, self.filled = n, m
 
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self._keep(chunks, np.fromiter((i for one in ids for i in one), dtype=np.uint32, count=int(sizes.sum())), sizes)
-
     def _encode_piece(self, piece: str) -> list[int]:
         mapped = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
         ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
         return ids
 
-    def _learn_plain(self, chunks: list[str]) -> None:
-        known, flat, sizes = self.pieces.get, [], []
+    def _learn(self, chunks: list[str]) -> None:
+        plain, odd = [], []
         for chunk in chunks:
+            (plain if self._plain.fullmatch(chunk) and "<|" not in chunk else odd).append(chunk)
+        known, flat, sizes = self.pieces.get, [], []
+        for chunk in map(str.lower, plain):
             before = len(flat)
             for piece in [chunk] if chunk.isalpha() else self._piece.findall(chunk):
                 flat += known(piece) or self._encode_piece(piece)
             sizes.append(len(flat) - before)
-        self._keep(chunks, np.array(flat, dtype=np.uint32), np.array(sizes, dtype=np.int64))
+        self._keep(plain, np.array(flat, dtype=np.uint32), np.array(sizes, dtype=np.int64))
+        if odd:
+            self._keep(odd, *super().encode(pa.array(odd)))
+        if len(self.pieces) > CACHE_WORDS // 2:
+            self.pieces = {}
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each)."""
-        if len(self.index) > CACHE_WORDS:
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """The cache's place of each of some distinct chunks."""
+        if len(self.index) + len(chunks) > CACHE_WORDS:
             self.forget()
-        chunks: list[str] = []
-        odd: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            if self._plain.fullmatch(text) and "<|" not in text:
-                own = text.lower().split()
-            else:
-                own = [c for c in self._space.split(text) if c]
-                odd += own
-            counts[k] = len(own)
-            chunks += own
-        if odd:
-            self._learn_chunks([c for c in dict.fromkeys(odd) if c not in self.index])
-        found = list(map(self.index.get, chunks))
-        missing = [k for k, i in enumerate(found) if i is None]
-        if missing:
-            self._learn_plain(list(dict.fromkeys([chunks[k] for k in missing])))
-            for k in missing:
-                found[k] = self.index[chunks[k]]
-        at = np.array(found, dtype=np.int64)
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.store[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(upto)
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn([chunks[k] for k in missing])
+            at[missing] = [self.index[chunks[k]] for k in missing]
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
+        chunks = pc.ascii_split_whitespace(texts)
+        counts = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        coded = chunks.flatten().dictionary_encode()
+        at = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
+        parts = [np.zeros(0, dtype=np.uint32)]
+        for some in (at[k: k + BLOCK_CHUNKS] for k in range(0, len(at), BLOCK_CHUNKS)):
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes)
+            parts.append(self.store[np.repeat(self.starts[some] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))])
+        upto = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.concatenate([[0], np.cumsum(counts)])]
+        return np.concatenate(parts), np.diff(upto)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def _encoder(path: str) -> WholeEncoder:
+    return ChunkEncoder(path) if drops_white_space(path) else WholeEncoder(path)
+
 
+def _id_type(path: str, end_id: int) -> str:
+    """Two bytes an id in work tables where the vocabulary allows it."""
+    return "<u4" if _encoder(path).wide or end_id >= 1 << 16 else "<u2"
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_CHARS characters."""
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE_CHARS or k == len(texts) - 1:
-            yield start, k + 1
-            start, size = k + 1, 0
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about SLICE_BYTES."""
+    upto, start = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while start < len(texts):
+        before = int(upto[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _binary(blob: bytes, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of ``blob`` as binary values."""
+    if len(blob) >= 1 << 31:
+        return pa.array([blob[a:b] for a, b in zip([0, *ends], ends)], pa.binary())
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
 
 
 def _tokenise(path: str, end_id: int):
-    """Appends n_tokens and ids (uint32, the end id last) to rows with ``text`` as the last column."""
+    """Appends n_tokens and ids (little-endian, the end id last) to rows with ``text`` as the last column."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, kind = _encoder(path), np.dtype(_id_type(path, end_id))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for start, stop in _slices(texts):
-                ids, sizes = _encoder(path).encode(texts[start:stop])
-                ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
-                blob, ends = ids.tobytes(), np.cumsum(sizes + 1)
+            at = 0
+            for texts in _slices(batch.column(batch.num_columns - 1)):
+                ids, sizes = encoder.encode(texts)
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.slice(start, stop - start).columns[:-1], pa.array(sizes + 1),
-                        pa.array([blob[4 * (e - n): 4 * e] for e, n in zip(ends, sizes + 1)], pa.binary()),
+                        *batch.slice(at, len(texts)).columns[:-1], pa.array(sizes + 1),
+                        _binary(ids.tobytes(), np.cumsum(sizes + 1) * kind.itemsize),
                     ],
                     names=[*batch.schema.names[:-1], "n_tokens", "ids"],
                 )
-        _encoder(path).forget()  # the worker may serve other stages next
+                at += len(texts)
+        encoder.forget()  # the worker may serve other stages next
 
     return tokenise
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u4"))
-        if len(found) > len(total):
-            found, total = total, found
-        total[: len(found)] += found
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+def _count_ids(kind: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind))
+            if len(found) > len(total):
+                found, total = total, found
+            total[: len(found)] += found
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    return count
 
 
-def _pack(ranked: np.ndarray):
-    """Replaces ``ids``, the last column, by control and data."""
+def _write_shards(ranked: np.ndarray, kind: str):
+    """Rows (doc_id, n_tokens, ids) of one partition in order -> its shards, the ids as packed ranks."""
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, dtype=np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, offset = TaskContext.get().partitionId(), 0, 0
+        doc_ids, lengths, control, data, size = [], [], [], [], 0
         for batch in batches:
-            for part in (batch.slice(k, 500) for k in range(0, len(batch), 500)):
-                blobs = part.column(part.num_columns - 1).to_pylist()
-                counts = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-                control, data = pack_ranks(rank_of[np.frombuffer(b"".join(blobs), dtype="<u4")], counts)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                    names=[*batch.schema.names[:-1], "control", "data"],
-                )
-
-    return pack
-
-
-def _write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seq, offset, size = TaskContext.get().partitionId(), 0, 0, 0
-    held: list[dict] = []
-
-    def shard() -> pa.RecordBatch:
-        nonlocal seq, offset, size, held
-        row = {
-            "part": part, "seq": seq, "part_offset": offset, "n_tokens": size,
-            "doc_ids": [d for h in held for d in h["doc_id"]], "lengths": [n for h in held for n in h["n_tokens"]],
-            "control": b"".join([c for h in held for c in h["control"]]), "data": b"".join([d for h in held for d in h["data"]]),
-        }
-        seq, offset, size, held = seq + 1, offset + size, 0, []
-        return pa.RecordBatch.from_pylist([row], schema=_ARROW_SHARDS)
-
-    for batch in batches:
-        columns = batch.to_pydict()
-        n = np.array(columns["n_tokens"], dtype=np.int64)
-        group = np.cumsum(n) // SHARD_TOKENS
-        cuts = [*np.flatnonzero(np.diff(group, prepend=-1)), len(n)] if len(n) else []
-        for start, stop in zip(cuts, cuts[1:]):
-            held.append({c: v[start:stop] for c, v in columns.items()})
-            size += int(n[start:stop].sum())
-            if size >= SHARD_TOKENS:
-                yield shard()
-    if held:
-        yield shard()
+            columns = batch.to_pydict()
+            n = np.array(columns["n_tokens"], dtype=np.int64)
+            start = 0
+            while start < len(n):
+                # Up to the document that fills the shard.
+                stop = start + int(np.searchsorted(np.cumsum(n[start:]), SHARD_TOKENS - size)) + 1
+                stop = min(stop, len(n))
+                ids = np.frombuffer(b"".join(columns["ids"][start:stop]), dtype=kind)
+                bits, low = pack_ranks(rank_of[ids], n[start:stop])
+                doc_ids += columns["doc_id"][start:stop]
+                lengths += columns["n_tokens"][start:stop]
+                control += bits
+                data += low
+                size += len(ids)
+                start = stop
+                if size >= SHARD_TOKENS:
+                    yield _shard(part, seq, offset, size, doc_ids, lengths, control, data)
+                    doc_ids, lengths, control, data, seq, offset, size = [], [], [], [], seq + 1, offset + size, 0
+        if doc_ids:
+            yield _shard(part, seq, offset, size, doc_ids, lengths, control, data)
+
+    return write
+
+
+def _shard(part: int, seq: int, offset: int, size: int, doc_ids: list, lengths: list, control: list, data: list) -> pa.RecordBatch:
+    row = {
+        "part": part, "seq": seq, "part_offset": offset, "n_tokens": size, "doc_ids": doc_ids, "lengths": lengths,
+        "control": b"".join(control), "data": b"".join(data),
+    }
+    return pa.RecordBatch.from_pylist([row], schema=_ARROW_SHARDS)
 
 
 _ARROW_SHARDS = pa.schema([
@@ -294,8 +352,9 @@ def write_token_file(
     tokens = materialise(
         keyed.mapInArrow(tidy(_tokenise(tokenizer_path, end_id)), ", ".join([*kinds, "n_tokens long", "ids binary"])), "token-ids", "zstd"
     )
+    id_type = _id_type(tokenizer_path, end_id)
     counts = (
-        tokens.select("ids").mapInArrow(_count_ids, "id long, n long")
+        tokens.select("ids").mapInArrow(_count_ids(id_type), "id long, n long")
         .groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     )
     ranked = np.array([r["id"] for r in counts.collect()], dtype=np.int64)  # at most the vocabulary
@@ -303,12 +362,12 @@ def write_token_file(
         pd.DataFrame({"rank": np.arange(len(ranked)), "id": ranked}), "rank int, id int"
     ).coalesce(1).write.parquet(f"{path}/ranks")
     with write_settings(spark):
+        # The bounds of the ranges come from a sample of the work table; ranks are packed after the exchange, once.
         (
-            tokens.mapInArrow(tidy(_pack(ranked)), ", ".join([*kinds, "n_tokens long", "control binary", "data binary"]))
-            .repartitionByRange(shuffle_partitions(spark), *order)
+            tokens.repartitionByRange(shuffle_partitions(spark), *order)
             .sortWithinPartitions(*order)
-            .select("doc_id", "n_tokens", "control", "data")
-            .mapInArrow(tidy(_write_shards), _SHARDS)
+            .select("doc_id", "n_tokens", "ids")
+            .mapInArrow(tidy(_write_shards(ranked, id_type)), _SHARDS)
             .write.parquet(f"{path}/shards")
         )
     release(tokens)

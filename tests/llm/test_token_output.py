@@ -3,6 +3,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cardwright.llm import token_output
 from cardwright.llm.token_output import ChunkEncoder, pack_ranks, read_token_file, unpack_ranks, write_token_file
 from tests.llm.conftest import ODD_ROWS
 
@@ -41,11 +43,32 @@ def test_chunks_give_the_library_s_ids(library):
     letters = "abcXYZé ñß'’“—_-.,;:12½²ª\n\t \u0085\x1c\x0b'sS'T'Re'VE'm'LL'd<|>ΣσİıǅÀ́ ​漢🙂"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     texts += ["<|startoftext|>a<|endoftext|>", "don't'LL", "x" * 500, ""]
-    ids, sizes = encoder.encode(texts)
+    ids, sizes = encoder.encode(pa.array(texts))
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
 
 
+def test_a_small_cache_gives_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_output, "BLOCK_CHUNKS", 7)
+    encoder, rng = ChunkEncoder(PATH), random.Random(1)
+    texts = [" ".join(f"w{rng.randint(0, 400)}, é{rng.randint(0, 9)}" for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    for part in token_output._slices(pa.array(texts)):
+        ids, sizes = encoder.encode(part)
+        assert ids.tolist() == [i for t in part.to_pylist() for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_another_tokenizer_file(spark, make_docs, tmp_path):
+    """A file that keeps white space takes the library's own call."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_output.drops_white_space(PATH) and not token_output.drops_white_space(other)
+    rows, own = [(k, t) for k, t in enumerate(["Two  words\n", None, " x", "\u00e9\u6f22 <|endoftext|> a", ""])], Tokenizer.from_file(other)
+    path = f"file://{tmp_path}/other"
+    write_token_file(make_docs(rows), path, other, end_id=50256)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in read_token_file(spark, path).collect()}
+    assert got == {d: own.encode(t or "", add_special_tokens=False).ids + [50256] for d, t in rows}
+
+
 @pytest.mark.parametrize("rows", [[r[:2] for r in ODD_ROWS], []])
 def test_file_round_trip(spark, make_docs, library, tmp_path, rows):
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"
