@@ -1,6 +1,10 @@
 import random
 
-from cardwright.llm.html_text import ALIGN_UPTO, extract_text, html_to_text
+import time
+
+import pytest
+
+from cardwright.llm.html_text import WRAP, extract_text, html_to_text
 
 
 def test_implied_tags_and_blocks():
@@ -16,9 +20,97 @@ def test_lists():
 
 def test_tables_line_up():
     got = html_to_text("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td colspan=2>x</table>")
-    assert got == "Name      | N\nlong name | 1\nx         |"
-    wide = "w" * (ALIGN_UPTO + 1)
-    assert html_to_text(f"<table><tr><td>{wide}<td>a<tr><td>b<td>c</table>") == f"{wide} | a\nb | c"
+    assert got == "Name      | N\nlong name | 1\nx"
+    wide = " ".join(["word"] * 20)
+    first, second = "word " * 11 + "word", "word " * 7 + "word"
+    assert len(first) <= WRAP
+    assert html_to_text(f"<table><tr><td>{wide}<td>a<tr><td>b<td>c</table>") == f"{first} | a\n{second}\n{'b'.ljust(len(first))} | c"
+    assert html_to_text(f"<table><tr><td>a<td>{wide}<tr><td>b<td>c</table>") == f"a | {wide}\nb | c"
+
+
+def test_cells_across_rows_and_columns():
+    assert html_to_text("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
+    assert html_to_text("<table><tr><td>a<td>b<td>c<tr><td colspan=2>wide one<td>d</table>") == "a | b | c\nwide one | d"
+    assert html_to_text("<table><tr><td rowspan=0>A<td>b<tr><td colspan=999>c<tr><td>d<td>e</table>") == "A | b\n  | c\n  | d | e"
+
+
+def test_cells_keep_their_blocks():
+    got = html_to_text("<table><tr><td><p>one<p>two<ul><li>a<li>b</ul><td>right<tr><td>x<td>y</table>")
+    assert got == "one | right\n\ntwo\n\n- a\n- b\nx   | y"
+    assert html_to_text("<table><tr><td>o<td><table><tr><td>1<td>22<tr><td>333<td>4</table><td>p</table>") == "o | 1   | 22 | p\n  | 333 | 4"
+
+
+def test_formulas_pictures_and_chosen_options():
+    assert html_to_text("<p>E = <math><mi>m</mi><mi>c</mi><annotation>tex</annotation></math>!") == "E = mc!"
+    assert html_to_text("<svg><title>t</title><defs><text>no</text></defs><text>one</text><text>two</text></svg>after") == "one\ntwo\nafter"
+    assert html_to_text("Size: <select><option>S<option selected>M<option>L</select>.") == "Size: M ."
+    assert html_to_text("<select><optgroup><option disabled>-<option>A</select>") == "A"
+    assert html_to_text("<select multiple><option>S<option>M</select>") == "S\nM"
+    assert html_to_text("<div style='visibility:hidden'>no<i style='visibility: visible'>yes<b hidden>no</b></i>no</div>") == "yes"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000 + "x", '<a href="' * 100_000, '<a href="x>' * 90_000, '<a x=">" ' * 100_000, "<span>" * 80_000 + "</b>" * 80_000,
+    "<table><tr><td>" + "<span>" * 80_000 + "</b>" * 80_000, "<p><b>" * 150_000, "<" * 1_000_000, "<ul><li>x" * 100_000,
+    "<script>" + "</script " * 100_000, "<table><tr><td>x" * 50_000, "<table><tr><td>a<td>" * 40_000, "<!-" * 300_000, "<blockquote>x" * 70_000,
+    "<table><tr>" + "<td rowspan=9999>x" * 20_000 + "<tr><td>y" * 60_000,
+], ids=lambda p: p[:24])
+def test_a_hostile_megabyte_takes_time_and_room_in_proportion(page):
+    plain = "<p>word <b>bold</b></p>" * (1_000_000 // 23)
+    start = time.process_time()
+    html_to_text(plain)
+    usual = time.process_time() - start
+    start = time.process_time()
+    out = html_to_text(page)
+    assert time.process_time() - start < 5 * usual + 1 and len(out) < 40 * len(page) + 1000
+
+
+def rendered(rows):
+    """Independent layout of a table of (text, colspan, rowspan): a grid is filled cell by cell, then printed."""
+    grid, begins = {}, {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, across, down in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(down):
+                for j in range(across):
+                    grid[r + i, c + j] = (r, c)
+            begins[r, c] = (text, across)
+            c += across
+    columns = sorted({c for _, c in begins})
+    end = lambda c, across: next((x for x in columns if x >= c + across), None)
+    wide = dict.fromkeys(columns, 0)
+    for (r, c), (text, across) in begins.items():
+        following = next((x for x in columns if x > c), None)
+        if end(c, across) == following:
+            wide[c] = max(wide[c], len(text))
+    lines = []
+    for r in range(len(rows)):
+        own = sorted(c for q, c in begins if q == r)
+        line, c = [], 0
+        for at in own:
+            line += ["".ljust(wide[x]) for x in columns if c <= x < at]
+            text, across = begins[r, at]
+            over = [x for x in columns if at <= x and (end(at, across) is None or x < end(at, across))]
+            line.append(text.ljust(sum(wide[x] for x in over) + 3 * (len(over) - 1)))
+            c = at + across
+        lines.append(" | ".join(line).rstrip())
+    return "\n".join(lines)
+
+
+def test_generated_tables_against_a_grid():
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = [
+            [("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(1, 4))]
+            for _ in range(rng.randint(1, 5))
+        ]
+        shown = [rng.choice(["", "<i hidden>no</i>", "<b style='display:none'>no</b>", "<s style='visibility:hidden'>no</s>"]) for _ in range(20)]
+        page = "<table>" + "".join(
+            "<tr>" + "".join(f"<td colspan={a} rowspan={d}>{rng.choice(shown)}{t}" for t, a, d in row) for row in rows
+        ) + "</table>"
+        assert html_to_text(page) == rendered(rows).strip("\n")
 
 
 def test_visibility():
