@@ -3,42 +3,57 @@
 Sets of word shingles link when intersection / union >= numerator /
 denominator. Sizes fall in bands; two sets that link, the larger one in a band
 whose largest size is r, differ in at most k = 2 r (den-num)/(den+num)
-elements. The shingle domain is cut by hash into n1 partitions of two halves
-each (n2 = 2), and the enumerated subsets are the halves: with 2 n1 > k halves
-at least one is equal in both sets. Each set signs every half for its own band
-and for the bands in which a larger partner may lie. A half empty in a set is
-signed only when the set has so many empty halves that the others would not
-be enough, so empty halves make no common signature.
+elements. The shingle domain is cut by hash into n1 partitions of n2 parts
+each; k differences leave at least one partition with no more than k2 =
+k // n1 (rounded down) parts that differ, so one of its subsets of n2 - k2
+parts is equal in both sets. Each set signs every such subset for its own band
+and for the bands in which a larger partner may lie. (n1, n2, k2) is the
+cheapest choice whose subsets hold TARGET shingles or more. A subset empty in
+a set is signed only when the set has so many that the others would not be
+enough, so empty subsets make no common signature.
 
 Candidates are not multiplied out. Within a signature group the members'
 parity sketches (the shingles' hashes modulo a power of two, counted modulo 2)
 differ in no more bits than the sets differ in elements, so a larger distance
 proves that two sets do not link. A sketch has four bits or more per shingle,
 within bounds, and folds to half its length to meet a shorter one. Of the remaining pairs a group reports a
-minimum spanning forest; these are verified on the texts. Where a forest edge
-turns out not to be a link, every pair of that group that is still possible
-and joins two components is verified as well, so no link is lost.
+minimum spanning forest; these are verified on the texts' own shingles. Where a
+forest edge turns out not to be a link, every pair of that group that is still
+possible and joins two components is verified as well, so no link is lost.
 
-Groups above BLOCK members are dealt as pairs of blocks over several tasks.
+Groups above BLOCK members are dealt as pairs of blocks over several tasks:
+first every block with itself and with block 0, which is linear in the group
+and enough where its members are copies of each other; then, only for groups
+whose members are still in several components, the other pairs of blocks.
+
+Sets are told apart by 128 bits. The signatures carry 64 of them: sets that
+agree in these only bring more candidates, and are candidates themselves.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import combinations
+from math import comb, exp
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, release, shuffle_partitions, tidy
 from .components import connected_components
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, shingles
 
 BAND_RATIO = (7, 5)
 SKETCH_BITS = (512, 16_384)
-BLOCK = 2048
+BLOCK = 768
+TARGET = 5.5
+#: (parts of a partition n2, parts that may differ k2), by rising number of signatures.
+SCHEMES = ((1, 0), (3, 1), (4, 2), (5, 2))
 
 
 def _bands(limit: int) -> np.ndarray:
@@ -50,11 +65,6 @@ def _bands(limit: int) -> np.ndarray:
     return np.array(ends)
 
 
-def set_id(elements: np.ndarray) -> int:
-    whole = np.array([mix(elements, seed=7).sum(dtype=np.uint64), len(elements)], dtype=np.uint64)
-    return int(mix(mix(whole[:1], seed=8) + whole[1:], seed=9).view(np.int64)[0])
-
-
 def sketch(elements: np.ndarray) -> bytes:
     """Parity of the number of elements in each cell, a bit each."""
     bits = SKETCH_BITS[0]
@@ -75,6 +85,19 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack(words)
 
 
+@lru_cache(maxsize=4096)
+def scheme(least: int, top: int, k: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) for sets of ``least`` to ``top`` elements that differ in up to k."""
+    for n2, k2 in SCHEMES:
+        needed = k // (k2 + 1) + 1
+        held = top * (n2 - k2) / (needed * n2)
+        if held >= TARGET:
+            break
+    # More partitions than needed make up for the subsets that a small set leaves empty.
+    empty = min(0.5, comb(n2, k2) * exp(-least * (n2 - k2) / (needed * n2)))
+    return int((needed + 1) / (1 - empty)) + 1, n2, k2
+
+
 def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     """PartEnum signatures of one set (int64); none where only equal sets can link."""
     size = len(elements)
@@ -91,47 +114,58 @@ def signatures(elements: np.ndarray, num: int, den: int) -> np.ndarray:
         k = 2 * top * (den - num) // (den + num)
         if k == 0:
             continue
-        # Halves beyond k + 1 make up for the halves that a set leaves empty.
-        filled = max(0.5, 1 - 1.5 * np.exp(-0.7 * top / (k + 1)))
-        halves = 2 * -(-(int((k + 1) / filled) + 2) // 2)
-        half = (places % np.uint64(halves)).astype(np.int64)
-        order = np.argsort(half, kind="stable")
-        sorted_half = half[order]
-        first = np.flatnonzero(np.diff(sorted_half, prepend=-1))
-        sums = np.zeros(halves, dtype=np.uint64)
-        sums[sorted_half[first]] = np.add.reduceat(values[order], first)
-        label = np.arange(halves, dtype=np.uint64) * np.uint64(1 << 12) + np.uint64(band)
-        signed = mix(mix(sums, seed=14) + mix(label, seed=15), seed=16)
-        if len(first) >= k + 1:
-            signed = signed[sorted_half[first]]
-        out.append(signed)
+        n1, n2, k2 = scheme(max(1, int(bands[band]) * num // den), top, k)
+        part = (places % np.uint64(n1 * n2)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        sorted_part = part[order]
+        first = np.flatnonzero(np.diff(sorted_part, prepend=-1))
+        sums, filled = np.zeros(n1 * n2, dtype=np.uint64), np.zeros(n1 * n2, dtype=bool)
+        sums[sorted_part[first]] = np.add.reduceat(values[order], first)
+        filled[sorted_part[first]] = True
+        sums, filled = mix(sums, seed=14).reshape(n1, n2), filled.reshape(n1, n2)
+        subsets = [list(x) for x in combinations(range(n2), n2 - k2)]
+        odd = np.arange(n2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        label = np.arange(n1, dtype=np.uint64) * np.uint64(1 << 12) + np.uint64(band)
+        total = np.stack([(sums[:, x] * odd[x]).sum(axis=1, dtype=np.uint64) + mix(label, seed=20 + i) for i, x in enumerate(subsets)], axis=1)
+        used = np.stack([filled[:, x].any(axis=1) for x in subsets], axis=1)
+        signed = mix(total, seed=16)
+        # With k differences at least so many partitions have an equal subset.
+        sure = n1 - k // (k2 + 1)
+        out.append(signed[used] if (~used.all(axis=1)).sum() < sure else signed.ravel())
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
 def _describe(words: int):
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, ids, sketches = [], [], []
-            for s in shingle_sets(pdf["text"].tolist(), words):
-                n.append(len(s))
-                ids.append(set_id(s) if len(s) else None)
-                sketches.append(sketch(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "set_id": pd.array(ids, dtype="Int64"), "sketch": sketches})
+    """Appends n_shingles, high, low and sketch to rows with ``text`` as the last column, which goes."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_described(batch.column(batch.num_columns - 1).to_pylist(), words))
+            n, high, low, sketches = zip(*sets) if sets else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sketches, pa.binary())],
+                names=[*batch.schema.names[:-1], "n_shingles", "high", "low", "sketch"],
+            )
 
     return describe
 
 
+def _described(texts: list[str | None], words: int) -> Iterator[tuple]:
+    for s, key in shingle_sets(texts, words):
+        yield len(s), *(key or (None, None)), sketch(s) if key else None
+
+
 def _sign(words: int, num: int, den: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # copies within the task sign once
+        seen: set[tuple[int, int]] = set()  # copies within the task sign once
         for pdf in batches:
             ids, signed, held = [], [], 0
-            for s in shingle_sets(pdf["text"].tolist(), words):
-                if not len(s) or (one := set_id(s)) in seen:
+            for s, key in shingle_sets(pdf["text"].tolist(), words):
+                if key is None or key in seen:
                     continue
-                seen.add(one)
+                seen.add(key)
                 signed.append(signatures(s, num, den))
-                ids.append(one)
+                ids.append(key[1])
                 held += len(signed[-1])
                 if held > 500_000:
                     yield _rows(ids, signed)
@@ -140,20 +174,20 @@ def _sign(words: int, num: int, den: int):
                 yield _rows(ids, signed)
 
     def _rows(ids: list[int], signed: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"sig": np.concatenate(signed), "set_id": np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in signed])})
+        return pd.DataFrame({"sig": np.concatenate(signed), "low": np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in signed])})
 
     return sign
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (sig, set_id): the distinct ones whose signature has
+    """Of rows sorted by (sig, low): the distinct ones whose signature has
     two sets or more, numbered within the signature. Only the last rows of a
     batch are held."""
     none = np.zeros(0, dtype=np.int64)
     sig, ids, rank0, emitted = none, none, 0, False
     for pdf in batches:
         sig = np.concatenate([sig, pdf["sig"].to_numpy()])
-        ids = np.concatenate([ids, pdf["set_id"].to_numpy()])
+        ids = np.concatenate([ids, pdf["low"].to_numpy()])
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
         sig, ids = sig[fresh], ids[fresh]
@@ -171,7 +205,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         elif emitted:
             out[0] = False
         if out.any():
-            yield pd.DataFrame({"sig": sig[out], "rank": rank[out], "set_id": ids[out]})
+            yield pd.DataFrame({"sig": sig[out], "rank": rank[out], "low": ids[out]})
         rank0, emitted = int(rank[-1]), not last_single
         sig, ids = sig[-1:], ids[-1:]
 
@@ -240,7 +274,7 @@ def _candidates(num: int, den: int, all_pairs: bool):
         found: list[np.ndarray] = []
         for start, size in zip(starts, sizes):
             part = slice(start, start + size)
-            if size < 2 or all_pairs and (component[part] == component[start]).all():
+            if size < 2 or (component[part] == component[start]).all():
                 continue
             bits = folded(sketches[part])
             if size == 2:
@@ -253,6 +287,7 @@ def _candidates(num: int, den: int, all_pairs: bool):
             if one:
                 found.append(np.array(one, dtype=np.int64) + start)
         pairs_found = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+        pairs_found = pairs_found[component[pairs_found[:, 0]] != component[pairs_found[:, 1]]]
         a, b = pairs_found[:, 0], pairs_found[:, 1]
         ids = pdf["set_id"].to_numpy()
         out = pdf[["sig", "left", "right"]].iloc[a].reset_index(drop=True)
@@ -266,8 +301,9 @@ def _packed(words: int):
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
-            ids = [set_id(s) if len(s) else 0 for s in shingle_sets(texts, words)]
-            yield pd.DataFrame({"set_id": ids, "packed": [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts]})
+            keys = [key for _, key in shingle_sets(texts, words)]
+            high, low = zip(*keys) if keys else ((), ())
+            yield pd.DataFrame({"high": high, "low": low, "packed": [zlib.compress(t.encode(), 1) for t in texts]})
 
     return packed
 
@@ -278,62 +314,62 @@ def _verify(words: int, num: int, den: int):
             ok = np.zeros(len(pdf), dtype=bool)
             for start in range(0, len(pdf), 256):
                 part = pdf.iloc[start: start + 256]
-                blobs = list(dict.fromkeys([*part["packed_a"], *part["packed_b"]]))
-                texts = [zlib.decompress(x).decode("utf-8", "surrogatepass") for x in blobs]
-                sets = dict(zip(blobs, shingle_sets(texts, words)))
+                sets = {x: shingles(zlib.decompress(x), words) for x in {*part["packed_a"], *part["packed_b"]}}
                 for i, (x, y) in enumerate(zip(part["packed_a"], part["packed_b"])):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    both = len(sets[x] & sets[y])
                     ok[start + i] = den * both >= num * (len(sets[x]) + len(sets[y]) - both)
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": ok})
 
     return verify
 
 
-def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def _row_key(docs: DataFrame) -> list:
+    """k1 and k2, 96 hash bits of all columns of ``docs``: rows that differ have other keys."""
+    parts = [c for c, kind in docs.dtypes if "map" not in kind]
+    return [F.xxhash64(*parts).alias("k1"), F.hash(*parts).alias("k2")]
 
-    Words are runs of characters other than space and \\t..\\r, with A-Z
-    lower-cased. A text with fewer than ``words`` words has its whole sequence
-    as its one shingle. A null, empty or wordless text has no shingle and is
-    linked with nothing: its component_id is its own doc_id. Equal sets always
-    link. Rows that repeat a doc_id are rows of their own with the same ids in
-    the result; a null doc_id counts only where no other is in its component.
-    An empty table gives an empty result. Only doc_id and text are read.
-    """
+
+def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_shingles, high, low of every row; high, low, component, component_id of every set)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    plain = docs.select("doc_id", "text")
-    sets = materialise(plain.mapInPandas(tidy(_describe(words)), f"doc_id {kind}, n_shingles long, set_id long, sketch binary"), "sets")
+    plain = docs.select("doc_id", *_row_key(docs), "text")
+    sets = materialise(
+        plain.mapInArrow(tidy(_describe(words)), f"doc_id {kind}, k1 long, k2 int, n_shingles long, high long, low long, sketch binary"), "sets"
+    )
     classes = materialise(
-        sets.filter("set_id IS NOT NULL").groupBy("set_id")
-        .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
+        sets.filter("low IS NOT NULL").groupBy("high", "low").agg(
+            F.min("doc_id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("row"),
+            F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+        ).withColumn("set_id", F.monotonically_increasing_id()),
         "classes",
     )
 
     shared = materialise(
-        docs.select("text").mapInPandas(tidy(_sign(words, num, den)), "sig long, set_id long")
-        .repartition(parts, "sig").sortWithinPartitions("sig", "set_id")
-        .mapInPandas(tidy(_shared), "sig long, rank long, set_id long"),
+        docs.select("text").mapInPandas(tidy(_sign(words, num, den)), "sig long, low long")
+        .repartition(parts, "sig").sortWithinPartitions("sig", "low")
+        .mapInPandas(tidy(_shared), "sig long, rank long, low long"),
         "shared",
     )
+    numbered = materialise(shared.join(classes.select("low", "set_id"), "low").select("sig", "rank", "set_id"), "numbered")
     # Groups with the same members count once.
-    groups = (
-        shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("set_id")).alias("f"), F.bit_xor(F.hash("set_id")).alias("g"))
-        .groupBy("members", "f", "g").agg(F.min("sig").alias("sig"))
+    groups = materialise(
+        numbered.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max("rank").alias("last"), F.bit_xor(F.xxhash64("set_id")).alias("f"), F.bit_xor(F.hash("set_id")).alias("g"))
+        .groupBy("members", "f", "g").agg(F.min_by(F.struct("sig", "last"), "sig").alias("s")).select("s.*"),
+        "groups",
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.floor(F.col("rank") / BLOCK).cast("int")
-    members = materialise(
-        shared.join(groups.select("sig", "members"), "sig")
-        .select("sig", "set_id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "set_id"),
-        "members",
-    )
-    release(shared)
+    blocks = F.floor(F.col("last") / BLOCK).cast("int")
+    placed = materialise(numbered.join(groups, "sig").select("sig", "set_id", own.alias("own"), blocks.alias("last")), "placed")
+    release(shared, numbered, groups)
+
+    def dealt(rows: DataFrame, others) -> DataFrame:
+        return rows.select("*", F.explode(others).alias("other")).select(
+            *[c for c in rows.columns if c not in ("own", "last")], F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+        )
 
     def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
-        group = ["sig", "left", "right"]
         return materialise(
             rows.join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
             .repartition(parts, *group).sortWithinPartitions(*group)
@@ -344,10 +380,11 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("a", "b").distinct()
         wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-        ids = classes.join(wanted, "set_id", "left_semi").select(F.col("least_id").alias("doc_id")).distinct()
+        chosen = classes.join(wanted, "set_id", "left_semi")
         texts = materialise(
-            plain.join(ids, "doc_id", "left_semi").mapInPandas(tidy(_packed(words)), "set_id long, packed binary")
-            .dropDuplicates(["set_id"]).join(wanted, "set_id", "left_semi"),
+            plain.select("k1", "k2", "text").join(chosen.select("row.k1", "row.k2"), ["k1", "k2"], "left_semi")
+            .select("text").mapInPandas(tidy(_packed(words)), "high long, low long, packed binary")
+            .dropDuplicates(["high", "low"]).join(chosen.select("high", "low", "set_id"), ["high", "low"]).select("set_id", "packed"),
             "texts",
         )
         side = lambda s: texts.select(F.col("set_id").alias(s), F.col("packed").alias(f"packed_{s}"))
@@ -359,25 +396,93 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
         release(texts)
         return out
 
-    first = candidates(members.withColumn("component", F.col("set_id")), all_pairs=False)
-    checked = verified(first)
-    found = connected_components(checked.filter("linked"))
-    doubtful = first.join(checked.filter("NOT linked"), ["a", "b"], "left_semi").select("sig", "left", "right").distinct()
-    again = candidates(
-        members.join(doubtful, ["sig", "left", "right"], "left_semi")
-        .join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .withColumn("component", F.coalesce("component", "set_id")),
-        all_pairs=True,
+    def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+    def merged(checks: list[DataFrame]) -> DataFrame:
+        return connected_components(reduce(DataFrame.unionByName, [c.filter("linked").select("a", "b") for c in checks]))
+
+    def doubted(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+        return pairs.join(seen.filter("NOT linked"), ["a", "b"], "left_semi").select(*group).distinct()
+
+    # Sets that agree in the half of the key that signatures carry are candidates of their own.
+    twins = (
+        classes.groupBy("low").agg(F.array_sort(F.collect_set("set_id")).alias("ids")).filter("size(ids) > 1")
+        .select(F.explode(F.expr("flatten(transform(ids, x -> transform(filter(ids, y -> y > x), y -> struct(x AS a, y AS b))))")).alias("p"))
+        .select("p.a", "p.b")
+    )
+    group = ["sig", "left", "right"]
+    # Every block with itself and with block 0.
+    near = materialise(
+        dealt(placed, F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("own")))), "near"
     )
-    rechecked = verified(again)
-    found = connected_components(checked.filter("linked").select("a", "b").unionByName(rechecked.filter("linked").select("a", "b")))
-    release(members, first, checked, again, rechecked)
-
-    placed = classes.select("set_id", "least_id").join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "set_id"))
-    smallest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_set = placed.join(smallest, "component").select("set_id", "component_id")
-    return sets.join(by_set, "set_id", "left").select(
+    first = candidates(near.withColumn("component", F.col("set_id")), all_pairs=False)
+    checks = [verified(first.select("a", "b").unionByName(twins))]
+    found = merged(checks)
+    doubtful = near.join(doubted(first, checks[0]), group, "left_semi")
+    done = [placed, near, first]
+    if not placed.filter("last > 1").isEmpty():
+        # All other pairs of blocks, where the members of a group are not all in one component by now.
+        wide = with_component(placed.filter("last > 1"), found)
+        split = wide.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("sig")
+        far = materialise(dealt(
+            wide.filter("own > 0").join(split, "sig", "left_semi"),
+            F.filter(F.sequence(F.lit(1), F.col("last")), lambda x: x != F.col("own")),
+        ), "far")
+        second = candidates(far, all_pairs=False)
+        checks.append(verified(second))
+        found = merged(checks)
+        doubtful = doubtful.unionByName(far.drop("component").join(doubted(second, checks[1]), group, "left_semi"))
+        done += [far, second]
+    doubtful = materialise(doubtful, "doubtful")
+    if not doubtful.isEmpty():
+        again = candidates(with_component(doubtful, found), all_pairs=True)
+        checks.append(verified(again))
+        found = merged(checks)
+        done.append(again)
+    release(doubtful, *done, *checks)
+
+    named = with_component(classes.select("set_id", "high", "low", "least_id"), found)
+    smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    by_set = materialise(named.join(smallest, "component").select("high", "low", "component", "component_id"), "by-set")
+    return sets.drop("sketch"), by_set
+
+
+def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row.
+
+    Words are runs of characters other than space and \\t..\\r, with A-Z
+    lower-cased. A text with fewer than ``words`` words has its whole sequence
+    as its one shingle. A null, empty or wordless text has no shingle and is
+    linked with nothing: its component_id is its own doc_id. Equal sets always
+    link. Rows that repeat a doc_id are rows of their own with the same ids in
+    the result; a null doc_id counts only where no other is in its component.
+    An empty table gives an empty result. Only doc_id and text are read.
+    """
+    sets, by_set = _components(docs.select("doc_id", "text"), words, num, den)
+    return sets.join(by_set, ["high", "low"], "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays.
+
+    It is the row with the smallest doc_id (a null doc_id counts last, ties go
+    by a hash of the whole row); rows alike in all columns count as one. Other
+    rows may share its doc_id: they stay or go with their own texts. Rows
+    without a word (null, empty, white space) are linked with nothing and all stay.
+    """
+    sets, by_set = _components(docs, words, num, den)
+    first = (
+        sets.join(by_set, ["high", "low"])
+        .groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("row"))
+        .select("row.k1", "row.k2")
+    )
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    stay = (
+        docs.filter(worded).select(F.struct(*docs.columns).alias("row"), *_row_key(docs))
+        .join(materialise(first, "first"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
     )
+    return stay.unionByName(docs.filter(~worded))

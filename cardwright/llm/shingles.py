@@ -1,20 +1,21 @@
-"""Word shingles of whole texts as 64-bit hashes, a slice of texts at a time."""
+"""Word shingles of whole texts, a slice of texts at a time: as 64-bit hashes
+for candidate search, and as they are for verification.
+
+A slice is cut into words by Arrow; each distinct word is hashed once, by a
+keyed 128-bit hash of its bytes. A set's key is 128 bits wide.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
-SLICE_BYTES = 500_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+SLICE_BYTES = 1_000_000
+_SEED = 0x632BE59BD9B4E019
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -25,36 +26,24 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            all_ = np.full(size, base, dtype=np.uint64)
-            all_[0] = 1
-            _POWERS[name] = np.multiply.accumulate(all_)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of each text); A-Z count as a-z."""
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
-    raw = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
-    space = _SPACE[raw]
-    before = np.concatenate([[True], space[:-1]])
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    up, down = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * up, dtype=np.uint64)])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _INVERSE)
-    edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-    return hashes, np.diff(edges)
-
-
-def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(two 64-bit hashes of every word, as rows, number of words of each text); A-Z count as a-z."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    counts, flat = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # not so before and behind outer white space
+    coded = flat.dictionary_encode()
+    hashed = [xxhash.xxh3_128_digest(w, _SEED) for w in coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()]
+    each = np.frombuffer(b"".join(hashed), dtype="<u8").reshape(-1, 2)
+    owner = np.repeat(np.arange(len(counts)), counts)[full]
+    codes = coded.indices.to_numpy(zero_copy_only=False)[full]
+    return each[codes].T, np.bincount(owner, minlength=len(counts))
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
-        held.append(text)
-        size += len(text)
+        held.append(text or "")
+        size += len(held[-1])
         if size >= SLICE_BYTES:
             yield held
             held, size = [], 0
@@ -62,25 +51,43 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its ``words``-word shingles.
+def _set_key(elements: np.ndarray, others: np.ndarray) -> tuple[int, int]:
+    """128 bits (two signed numbers) of a set, whose elements have two hashes each."""
+    sums = np.array([mix(elements, seed=7).sum(dtype=np.uint64), mix(others, seed=8).sum(dtype=np.uint64)], dtype=np.uint64)
+    low, high = mix(sums + np.uint64(len(elements)), seed=9).view(np.int64).tolist()
+    return high, low
+
+
+def shingle_sets(texts: list[str | None], words: int) -> Iterator[tuple[np.ndarray, tuple[int, int] | None]]:
+    """For each text the sorted distinct hashes of its ``words``-word shingles, and the set's key.
 
     A text with fewer words gives its whole sequence as one shingle; null and
-    wordless texts give an empty set.
+    wordless texts give an empty set, whose key is None.
     """
-    encoded = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    for part in _slices(encoded):
-        hashes, counts = _words(part)
-        grams = np.zeros(len(hashes), dtype=np.uint64)
+    for part in _slices(texts):
+        hashes, counts = _words(pa.array(part, pa.string()))
+        grams = np.zeros(hashes.shape, dtype=np.uint64)
         for j in range(words):
-            grams[: len(hashes) - j] += mix(hashes[j:], seed=j + 1)
+            grams[:, : hashes.shape[1] - j] += mix(hashes[:, j:], seed=j + 1)
         grams = mix(grams, seed=99)
         stops = np.cumsum(counts)
         for start, stop in zip(stops - counts, stops):
             if stop - start >= words:
-                yield np.unique(grams[start: stop - words + 1])
+                elements, first = np.unique(grams[0, start: stop - words + 1], return_index=True)
+                yield elements, _set_key(elements, grams[1, start: stop - words + 1][first])
             elif stop > start:
-                short = sum(int(mix(hashes[start + j: start + j + 1], seed=j + 1)[0]) for j in range(stop - start))
-                yield mix(np.array([short % (1 << 64)], dtype=np.uint64), seed=100 + int(stop - start))
+                both = np.zeros(2, dtype=np.uint64)
+                for j in range(stop - start):
+                    both += mix(hashes[:, start + j], seed=j + 1)
+                both = mix(both, seed=100 + int(stop - start))
+                yield both[:1], _set_key(both[:1], both[1:])
             else:
-                yield np.zeros(0, dtype=np.uint64)
+                yield np.zeros(0, dtype=np.uint64), None
+
+
+def shingles(text: bytes, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles of one text (UTF-8) themselves."""
+    own = text.lower().split()  # of bytes: A-Z alone are lowered, and these six spaces part words
+    if len(own) < words:
+        return {tuple(own)} if own else set()
+    return set(zip(*[own[j:] for j in range(words)]))

@@ -5,9 +5,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import cardwright.llm.ngram_join as join
-from cardwright.llm.ngram_join import ngram_components
+from cardwright.llm.ngram_join import drop_near_duplicates, ngram_components
 from tests.llm.conftest import ODD_ROWS
 
 
@@ -94,14 +95,63 @@ def test_odd_rows(make_docs):
     assert ngram_components(make_docs([])).collect() == []
 
 
+def test_null_ids_link_and_bridge(make_docs):
+    base = [f"w{i}" for i in range(200)]
+    change = lambda at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(None, change({3})), (5, change({3, 90})), (None, change(())), (9, change({3, 90, 150})), (9, "something else"), (7, change(()))]
+    rows += [(None, "w1 w2 w3 w4"), (None, "w1 w2 w3 w4"), (2**60 + 1, "far away from all"), (2**60 + 3, "far away from all")]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows), 3, 90, 100).collect())
+    assert got == brute(rows, 3, 90, 100)
+
+
+def test_long_words_that_a_polynomial_hash_confuses(make_docs):
+    """Thue-Morse words of equal length are alike for any polynomial hash modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, one), (2, one.translate({97: 98, 98: 97})), (3, "A b"), (4, "a B"), (5, "ab")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_components(make_docs(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+
+
+def test_one_row_of_each_component_stays(make_docs):
+    a, near, b = " ".join(map(str, range(100))), " ".join(map(str, [*range(99), "x"])), "quite another text of its own"
+    rows = [(3, a), (5, near), (5, b), (None, a), (8, a), (8, a), (None, "alone in the world with no id"), (None, None), (6, " "), (6, " ")]
+    docs = make_docs(rows).withColumn("k1", F.lit("x")).withColumn("row", F.lit(1))
+    out = drop_near_duplicates(docs, 5, 80, 100)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(3, a), (5, b), (None, "alone in the world with no id"), (None, None), (6, " "), (6, " ")], key=repr)
+    assert drop_near_duplicates(make_docs([])).collect() == []
+
+
+def test_linked_sets_share_a_signature():
+    """Signatures of linked sets always meet, whatever scheme the sizes take."""
+    rng = np.random.default_rng(3)
+    for num, den in ((90, 100), (80, 100), (60, 100)):
+        for n in (6, 10, 19, 40, 90, 300, 2000):
+            for _ in range(6):
+                one = rng.integers(0, 2**63, n, dtype=np.uint64)
+                gone = int(n * (den - num) / den)  # the other set lacks these
+                two = one[gone:]
+                swapped = np.concatenate([one[: n - (m := n * (den - num) // (den + num))], rng.integers(0, 2**63, m, dtype=np.uint64)])
+                own = set(join.signatures(one, num, den).tolist())
+                assert gone == 0 or own & set(join.signatures(two, num, den).tolist())
+                assert m == 0 or own & set(join.signatures(swapped, num, den).tolist())
+
+
+def test_subsets_are_enumerated_where_parts_are_small():
+    assert join.scheme(900, 1000, 2 * 1000 * 10 // 190)[1:] == (1, 0)
+    n1, n2, k2 = join.scheme(800, 1000, 2 * 1000 * 20 // 180)
+    assert k2 > 0 and n1 * n2 < 1000
+
+
 def test_shared_signatures_across_batches():
     rng = random.Random(1)
     for _ in range(200):
         rows = sorted((rng.randint(0, 6), rng.randint(0, 4)) for _ in range(rng.randint(1, 25)))
-        frame = pd.DataFrame(rows, columns=["sig", "set_id"])
+        frame = pd.DataFrame(rows, columns=["sig", "low"])
         cuts = sorted(rng.sample(range(1, len(rows)), min(len(rows) - 1, rng.randint(0, 4))))
         parts = [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        got = sorted((r.sig, r.set_id, r.rank) for x in join._shared(iter(parts)) for r in x.itertuples())
+        got = sorted((r.sig, r.low, r.rank) for x in join._shared(iter(parts)) for r in x.itertuples())
         want = []
         for s in {r[0] for r in rows}:
             ids = sorted({r[1] for r in rows if r[0] == s})
