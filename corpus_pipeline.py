@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cardwright.llm.common import shuffle_partitions, table, work_path
 from cardwright.llm.decontamination import drop_contaminated
 from cardwright.llm.language_id import UNDETERMINED, fit_language_model, held_out, identify
-from cardwright.llm.ngram_join import ngram_components
+from cardwright.llm.ngram_join import drop_near_duplicates
 from cardwright.llm.queries import MIX_WEIGHTS
 from cardwright.llm.source_mix import mix_sources
 from cardwright.llm.token_output import read_token_file, write_token_file
@@ -33,12 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id
-    stays, once; documents without a doc_id stay."""
-    groups = ngram_components(docs, words=5, num=80, den=100)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest doc_id stays, once; a null doc_id counts last."""
+    return drop_near_duplicates(docs, words=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
