@@ -5,29 +5,39 @@ letters and digits as one space. An item of m characters may be matched with up
 to k = m // ERROR_EVERY edits; cut into k + 1 pieces, at least one piece of it
 stands unchanged in any such match. One pass of an automaton over a text finds
 all piece hits, and around each hit Myers' bit-parallel algorithm finds the
-least edit distance of the item to any part of the window.
-
-The benchmark is the query set: it is taken in blocks of at most BLOCK_CHARS
-characters, so what tasks hold is bounded however large it is. Documents are
-never shuffled.
+least edit distance of the item to any part of the window. An item shorter
+than WHOLE_WORDS characters is matched without edits and at word boundaries
+only, as it would else be found inside other words.
+
+The benchmark is the query set: its items, normalised once, travel as broadcast
+blocks of at most BLOCK_CHARS characters, PASS_BLOCKS of them in one pass over
+the documents; a larger benchmark takes another pass for each so many. A task
+normalises a text once and runs it through the blocks one after another, a
+batch of texts at a time, and keeps as many automata as KEPT_CHARS allows.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import tidy
 
 ERROR_EVERY = 15
-MIN_ITEM_CHARS = 24
-BLOCK_CHARS = 1_000_000
+WHOLE_WORDS = 24
+BLOCK_CHARS = 500_000
+PASS_BLOCKS = 64
+KEPT_CHARS = 2_000_000
+BATCH_CHARS = 8_000_000
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -75,16 +85,21 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def error_budget(item: str) -> int:
+    """Edits that a normalised item may be matched with."""
+    return 0 if len(item) < WHOLE_WORDS else len(item) // ERROR_EVERY
+
+
 class PieceIndex:
     """The pieces of a block of items, and matching a text against them."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...]):
+    def __init__(self, items: list[tuple]):
         import ahocorasick
 
         self.items = items
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(items):
-            pieces = len(text) // ERROR_EVERY + 1
+            pieces = error_budget(text) + 1
             cuts = [len(text) * i // pieces for i in range(pieces + 1)]
             for start, stop in zip(cuts, cuts[1:]):
                 where.setdefault(text[start:stop], []).append((n, start))
@@ -94,7 +109,7 @@ class PieceIndex:
         self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, stop) of the best match of each item in a normalised text."""
+        """(item_id, distance, budget, start, stop) of the best match of each item in a normalised text."""
         if not self.items:
             return []
         seen: set[tuple[int, int]] = set()
@@ -102,8 +117,12 @@ class PieceIndex:
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 item = self.items[n][1]
-                budget = len(item) // ERROR_EVERY
+                budget = error_budget(item)
                 start = end - size + 1 - offset
+                if len(item) < WHOLE_WORDS:
+                    if n not in found and text[max(0, start - 1): start] in ("", " ") and text[end + 1: end + 2] in ("", " "):
+                        found[n] = (0, start, end + 1)
+                    continue
                 # Hits that put the item's start in the same cell share a window wide enough for all of them.
                 cell = start // (budget + 1)
                 if (n, cell) in seen or found.get(n, (1,))[0] == 0:
@@ -118,27 +137,57 @@ class PieceIndex:
                     distance, stop = best_match(item, window)
                 if distance <= budget and distance < found.get(n, (budget + 1,))[0]:
                     found[n] = (distance, max(0, low + stop - len(item)), low + stop)
-        return [(self.items[n][0], *m) for n, m in sorted(found.items())]
+        return [(self.items[n][0], d, error_budget(self.items[n][1]), a, b) for n, (d, a, b) in sorted(found.items())]
+
 
+#: The indexes that a worker keeps, the one used last at the end: block name -> (characters, index).
+_KEPT: dict[str, tuple[int, PieceIndex]] = {}
 
-@lru_cache(maxsize=1)
-def _index(items: tuple[tuple[int, str], ...]) -> PieceIndex:
-    return PieceIndex(items)
+Blocks = list[tuple[str, Broadcast]]
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The usable items (normalised, MIN_ITEM_CHARS or more) in blocks of bounded size."""
-    block, size = [], 0
+def _index(name: str, block: Broadcast) -> PieceIndex:
+    size, index = _KEPT.pop(name, (0, None))
+    if index is None:
+        items = block.value
+        size, index = sum(len(t) for _, t in items), PieceIndex(items)
+        while _KEPT and size + sum(n for n, _ in _KEPT.values()) > KEPT_CHARS:
+            del _KEPT[next(iter(_KEPT))]
+    _KEPT[name] = (size, index)
+    return index
+
+
+def benchmark_passes(benchmark: DataFrame) -> Iterator[Blocks]:
+    """The normalised items with a letter or digit, in broadcast blocks, for as many passes as they need (one at least)."""
+    sc = benchmark.sparkSession.sparkContext
+    blocks: Blocks = []
+    items: list[tuple] = []
+    size = 0
     for row in benchmark.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        text = normalise(row["text"])
-        if len(text) < MIN_ITEM_CHARS:
+        if not (text := normalise(row["text"])):
             continue
-        block.append((row["item_id"], text))
+        if size and size + len(text) > BLOCK_CHARS:
+            blocks.append((uuid.uuid4().hex, sc.broadcast(items)))
+            items, size = [], 0
+            if len(blocks) == PASS_BLOCKS:
+                yield blocks
+                blocks = []
+        items.append((row["item_id"], text))
         size += len(text)
-        if size >= BLOCK_CHARS:
-            yield tuple(block)
-            block, size = [], 0
-    yield tuple(block)
+    yield [*blocks, (uuid.uuid4().hex, sc.broadcast(items))]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.RecordBatch]:
+    """With several blocks, batches together until they hold BATCH_CHARS, so that each block's turn is worth its index."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if not several or size >= BATCH_CHARS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -146,54 +195,56 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item that a document holds within the item's error budget.
 
     start and stop are places in the text itself (up to the edits at its ends)
-    of the best match, the first of equals. Items that are null or shorter than MIN_ITEM_CHARS once
-    normalised are too short to tell anything and match nothing. Null and empty
-    texts match nothing. Equal items match alike under their own ids. Repeated
-    rows give repeated results; an empty table gives none. Only doc_id and text
-    are read.
+    of the best match, the first of equals. Items that are null or without a
+    letter or digit match nothing; short ones (WHOLE_WORDS) are matched as they
+    are, as whole words. Null and empty texts match nothing. Equal items match
+    alike under their own ids. Repeated rows give repeated results; an empty
+    table gives none. Only doc_id and text are read.
     """
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType),
         *[T.StructField(c, T.LongType()) for c in ("distance", "error_budget", "start", "stop")],
     ])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
-    def finder(items: tuple[tuple[int, str], ...]):
-        budgets = {i: len(t) // ERROR_EVERY for i, t in items}
-
+    def finder(blocks: Blocks):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(items)
-            for batch in batches:
+            for batch in _gathered(batches, len(blocks) > 1):
+                texts = batch.column("text").to_pylist()
+                plain = [normalise(t) for t in texts]
+                hits: list[list[tuple]] = [[] for _ in texts]
+                for name, block in blocks:
+                    index = _index(name, block)
+                    for own, text in zip(hits, plain):
+                        own += index.matches(text)
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    hits = index.matches(normalise(text))
-                    places = normalised_offsets(text) if hits else []
-                    rows += [
-                        (doc_id, i, d, budgets[i], places[min(a, len(places) - 1)], places[b - 1] + 1) for i, d, a, b in hits
-                    ]
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [batch.schema.field("doc_id").type, pa.int64(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=schema.names)
+                for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), texts, hits):
+                    places = normalised_offsets(text) if own else []
+                    rows += [(doc_id, i, d, k, places[min(a, len(places) - 1)], places[b - 1] + 1) for i, d, k, a, b in own]
+                columns = list(zip(*rows)) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
 
         return find
 
-    out = None
-    for items in benchmark_blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(tidy(finder(items)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = docs.select("doc_id", "text")
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(tidy(finder(blocks)), schema) for blocks in benchmark_passes(benchmark)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
 
-    def cleaner(items: tuple[tuple[int, str], ...]):
+    def cleaner(blocks: Blocks):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(items)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.matches(normalise(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+            for batch in _gathered(batches, len(blocks) > 1):
+                plain = [normalise(t) for t in batch.column("text").to_pylist()]
+                clear = [True] * len(plain)
+                for name, block in blocks:
+                    index = _index(name, block)
+                    clear = [ok and not index.matches(text) for ok, text in zip(clear, plain)]
+                yield batch.filter(pa.array(clear, pa.bool_()))
 
         return clean
 
-    for items in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(tidy(cleaner(items)), docs.schema)
+    for blocks in benchmark_passes(benchmark):
+        docs = docs.mapInArrow(tidy(cleaner(blocks)), docs.schema)
     return docs

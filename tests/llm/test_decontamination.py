@@ -1,5 +1,6 @@
 import random
 
+from cardwright.llm import decontamination
 from cardwright.llm.decontamination import PieceIndex, best_match, drop_contaminated, find_contamination, normalise, normalised_offsets
 from tests.llm.conftest import ODD_ROWS
 
@@ -47,6 +48,33 @@ def test_offsets():
         assert len(normalised_offsets(t)) == len(normalise(t))
 
 
+def test_short_items_and_several_blocks(spark, make_docs, monkeypatch):
+    """Items of 5, 18 and 24 characters, blocks of one or two items, a pass for each two blocks."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    items = [(1, "cat's"), (2, "the answer is (42)!"), (3, "is one plus one only two"), (4, "\u6f22\u5b57\u6f22\u5b57"), (5, "?!")]
+    items += [(k, " ".join(word() for _ in range(12))) for k in range(6, 15)]
+    rows = [(1, "A CAT S life"), (2, "bobcat s"), (3, "so: The  answer-is 42"), (4, "the answer is 421"), (5, "Is one plus ona only two?"), (6, "x \u6f22\u5b57\u6f22\u5b57."), (7, "clean")]
+    rows += [(100 + k, f"{word()} {edited(rng, t, 2)} {word()}") for k, t in items[5:]]
+    want = set()
+    for d, text in rows:
+        for i, item in items:
+            n, text_ = normalise(item), f" {normalise(text)} "
+            if n and (f" {n} " in text_ if len(n) < 24 else distance(n, text_) <= len(n) // 15):
+                want.add((d, i))
+    assert {(1, 1), (3, 2), (5, 3), (6, 4)} <= want and not {d for d, _ in want} & {2, 4, 7}
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    for block, passes in ((1_000_000, 8), (60, 2), (1, 3)):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+        monkeypatch.setattr(decontamination, "PASS_BLOCKS", passes)
+        found = find_contamination(make_docs(rows), bench)
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+        assert {r["doc_id"] for r in drop_contaminated(make_docs(rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    monkeypatch.setattr(decontamination, "PASS_BLOCKS", 64)
+    plan = find_contamination(make_docs(rows), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_spans_and_odd_rows(spark, make_docs):
     item = "The quick brown fox jumps over the lazy dog near the river bank"
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "short", "x"), (4, item.upper(), "x")], "item_id long, text string, doc_id string")
