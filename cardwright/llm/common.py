@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
@@ -84,9 +84,38 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_work_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            release_path(df.sparkSession, path)
+
+
+def release_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: 64-bit words of a key filter: 2 MB, whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def key_filter(keys: DataFrame, hashed: Column) -> DataFrame:
+    """One row: FILTER_WORDS words with a bit set for each 64-bit hash
+    ``hashed`` of ``keys``. With very many keys it is full and lets everything
+    through, so it saves work and decides nothing."""
+    word = F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int").alias("word")
+    words = keys.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), _filter_bit(hashed)).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    whole = keys.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return whole.agg(F.transform(pairs, lambda p: p["bits"]).alias("bits"))
+
+
+def _filter_bit(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 58).cast("int")
+
+
+def may_hold(filter_: DataFrame, hashed: Column) -> Column:
+    """False where no key of :func:`key_filter` has this hash."""
+    word = F.get(filter_.scalar(), F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int"))
+    return F.call_function("shiftrightunsigned", word, _filter_bit(hashed)).bitwiseAND(F.lit(1)) == 1
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

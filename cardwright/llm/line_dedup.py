@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import key_filter, materialise, may_hold
+
 WINDOW = 3
 
 
+def _lines() -> Column:
+    return F.split("text", "\n", -1)
+
+
 def _windows(docs: DataFrame) -> DataFrame:
     """(d, t, pos, h1, h2) of every window of consecutive lines; d and t name the document."""
     lines = F.col("lines")
@@ -36,29 +42,33 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Windows travel as two hashes (96 bits). Counts and first places are summed
     on the map side, and a window that a third of all texts hold is joined to
-    its first place, which skewed joins may split.
+    its first place, which skewed joins may split. Of the texts only those cross
+    the network that a filter of 2 MB cannot tell to be untouched.
     """
-    keyed = docs.select(
-        F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text"),
-        F.split("text", "\n", -1).alias("lines"),
-    )
-    windows = _windows(keyed)
+    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text"))
+    windows = _windows(keyed.withColumn("lines", _lines()))
     repeated = (
         windows.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "pos")).alias("first"))
         .filter("n > 1").select("h1", "h2", "first")
     )
     later = windows.join(repeated, ["h1", "h2"]).filter(~F.struct("d", "t", "pos").eqNullSafe(F.col("first")))
-    covered = (
+    covered = materialise(
         later.select("d", "t", F.explode(F.array(*[F.col("pos") + j for j in range(WINDOW)])).alias("pos"))
-        .groupBy("d", "t").agg(F.collect_set("pos").alias("covered"))
+        .groupBy("d", "t").agg(F.collect_set("pos").alias("covered")),
+        "covered-lines",
     )
-    left, right = keyed.alias("l"), covered.alias("r")
-    joined = left.join(right, (F.col("l.t") == F.col("r.t")) & F.col("l.d").eqNullSafe(F.col("r.d")), "left")
+    # Texts whose hash falls in no cell of the covered ones need not move; only the others meet their covered lines.
+    hit = may_hold(key_filter(covered, F.col("t")), F.col("t"))
+    marked = keyed.withColumn("mark", hit)
+    hit = F.col("mark")
+    left, right = marked.filter(hit).drop("mark").alias("l"), covered.alias("r")
+    joined = left.join(right, (F.col("l.t") == F.col("r.t")) & F.col("l.d").eqNullSafe(F.col("r.d")), "left").select("l.d", "l.text", "covered")
+    both = joined.unionByName(marked.filter(~hit).select("d", "text", F.lit(None).cast("array<int>").alias("covered"))).withColumn("lines", _lines())
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
-    return joined.select(
-        F.col("l.d").alias("doc_id"),
+    return both.select(
+        F.col("d").alias("doc_id"),
         n_lines.cast("long").alias("n_lines"),
         F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
         F.when(F.col("covered").isNull(), F.col("text"))
