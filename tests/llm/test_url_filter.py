@@ -1,7 +1,10 @@
+import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from cardwright.llm.queries import URL_RULES
-from cardwright.llm.url_filter import MiningParams, filter_urls
+from cardwright.llm.url_filter import MiningParams, filter_urls, url_parts
 
 LABELS, PAGES = "doc_id long, quality int, toxic int", "page_id long, url string, html string, rule string, token string"
 
@@ -74,3 +77,29 @@ def test_rules_of_four_tokens(spark):
         labels.append((i, 1, int(i < 40)))
     got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in run(spark, urls, labels)}
     assert got[0] == ("block", "p:big p:hot p:new p:red") and got[100] == ("allow", None)
+
+
+def test_tokens_that_always_meet_do_not_multiply(spark):
+    """25 fixed words in a site's paths: without merging, FP-growth would list 2**25 combinations."""
+    fixed = "/".join(chr(97 + k // 5) + chr(97 + k % 5) for k in range(25))
+    urls = [(i, f"http://spam.net/{fixed}/{i}" if i < 60 else f"http://fine.net/x/{i}") for i in range(200)]
+    labels = [(i, 1, int(i < 60)) for i in range(200)]
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in run(spark, [*urls, (900, "http://other.net/cc"), (901, "http://other.net/zz")], labels)}
+    assert got[0] == ("block", "h:spam.net") and got[100] == ("allow", None)
+    assert got[900] == ("block", "p:cc") and got[901] == ("allow", None)
+
+
+def test_parts_of_a_column_of_any_name(spark):
+    df = spark.createDataFrame([("https://A.b/C?d",), (None,)], "address string")
+    assert [tuple(r) for r in df.select(*url_parts(F.col("address"))).collect()] == [("a.b", "/C"), ("", "")]
+
+
+def test_planted_labels_on_the_pages_of_the_test_tables(spark):
+    """Most pages of one path are called bad: the operator blocks all pages of that path, labelled or not, and no others."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = [r for r in pages.select("page_id", url_parts(F.col("url"))[0].alias("host"), url_parts(F.col("url"))[1].alias("path")).collect()]
+    words = {r["page_id"]: set(re.findall("[a-z]+", r["path"].lower())) for r in hosts}
+    rows = [(r["page_id"], 1, int("es" in words[r["page_id"]] and r["page_id"] % 20 != 0)) for r in hosts if r["page_id"] % 2 == 0]
+    got = filter_urls(pages, spark.createDataFrame(rows, LABELS), [], MiningParams(min_count=5)).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {p for p, own in words.items() if "es" in own}
+    assert all("p:es" in r["mined_rule"].split() for r in got if r["mined_rule"])
