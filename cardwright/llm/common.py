@@ -36,7 +36,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/cardwright/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/cardwright/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all work tables and token files of this application, when nothing reads its results any more."""
+    release_path(spark, _own_root(spark))
 
 
 @contextmanager

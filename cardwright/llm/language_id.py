@@ -30,16 +30,21 @@ SLICE_CHARS = 250_000
 _TABLE: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    """Code point -> lower-case letter or mark, 32 for everything else."""
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Code points as lower-case letters or marks, 32 for everything else. A
+    worker's table is filled in rows of 256, those that it meets."""
     if not _TABLE:
-        table = np.full(0x110000, 32, dtype=np.uint32)
-        for code in range(0x110000):
-            c = chr(code)
+        _TABLE.extend([np.full((0x110000 >> 8, 256), 32, dtype=np.uint32), np.zeros(0x110000 >> 8, dtype=bool)])
+    table, known = _TABLE
+    met = np.zeros(len(known), dtype=bool)
+    met[codes >> 8] = True
+    for row in np.flatnonzero(met & ~known).tolist():
+        for low in range(256):
+            c = chr(row << 8 | low)
             if unicodedata.category(c)[0] in "LM":
-                table[code] = ord(c.lower()[0])
-        _TABLE.append(table)
-    return _TABLE[0]
+                table[row, low] = ord(c.lower()[0])
+        known[row] = True
+    return table.ravel()[codes]
 
 
 def _ngrams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,7 +61,7 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             last += 1
         lengths = np.fromiter((len(t) + 2 for t in texts[first:last]), dtype=np.int64, count=last - first)
         joined = "".join(f" {t} " for t in texts[first:last]).encode("utf-32-le", "surrogatepass")
-        codes = _letters()[np.frombuffer(joined, dtype=np.uint32)]
+        codes = _letters(np.frombuffer(joined, dtype=np.uint32))
         owner = np.repeat(np.arange(last - first), lengths)
         blank = codes == 32
         keep = np.ones(len(codes), dtype=bool)

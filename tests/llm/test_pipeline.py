@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cardwright.llm import queries
+from cardwright.llm import common, queries
 from cardwright.llm.decontamination import ERROR_EVERY, normalise
 from cardwright.llm.source_mix import edf_period
 from tests.llm.test_ngram_join import brute as brute_components
@@ -78,6 +79,29 @@ def test_whole_pipeline(spark, tmp_path):
     assert got == want
 
 
+def test_mixed_documents_stand_in_order_over_all_files(spark, make_docs, tmp_path):
+    docs = make_docs([(k, f"t{k}", "en", f"src{k % 7}") for k in range(300)])
+    corpus_pipeline.mix(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    got = spark.read.parquet(f"{tmp_path}/mixed").selectExpr("doc_id", "_metadata.file_name AS f", "_metadata.row_index AS r").orderBy("f", "r").collect()
+    want = queries.mix_sources(docs, queries.MIX_WEIGHTS).orderBy("mix_position").collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want] and len({r["f"] for r in got}) > 1
+
+
+def test_repeated_and_null_ids_lose_no_document(spark, make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = make_docs([(3, a), (5, a), (5, b), (None, b), (None, c), (7, c.replace("c0 ", "x "))])
+    got = sorted(((r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert got == [(3, "a"), (5, "b"), (7, "x")]
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark):
+    corpus_pipeline.run(spark, SF).count()
+    left = {p.name.rsplit("-", 1)[0] for p in Path(common._own_root(spark).removeprefix("file://")).iterdir()}
+    assert not any(name.startswith("pipeline-") and name != "pipeline-tokens" for name in left)
+    common.clear_work(spark)
+    assert not Path(common._own_root(spark).removeprefix("file://")).exists()
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
