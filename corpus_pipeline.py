@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import shuffle_partitions, table, work_path
+from cardwright.llm.common import release_path, shuffle_partitions, table, work_path
 from cardwright.llm.decontamination import drop_contaminated
 from cardwright.llm.language_id import UNDETERMINED, fit_language_model, held_out, identify
 from cardwright.llm.ngram_join import drop_near_duplicates
@@ -44,9 +44,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the target mix: sorted over and within partitions."""
+    parts, rows = shuffle_partitions(spark), max(1, docs.count())
     mixed = mix_sources(docs, MIX_WEIGHTS)
+    # Positions run from 0 to rows - 1, so a row's partition is arithmetic and needs no sample.
     return (
-        mixed.repartitionByRange(shuffle_partitions(spark), "mix_position").sortWithinPartitions("mix_position")
+        mixed.repartitionById(parts, F.expr(f"cast(mix_position * {parts} div {rows} as int)")).sortWithinPartitions("mix_position")
         .select(*docs.columns)
     )
 
@@ -75,10 +77,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``, each on the files of the one before."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``, each on the files of the one before,
+    which go when the next ones are written. Work tables and the token file
+    stay until ``cardwright.llm.common.clear_work(spark)``."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = work_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            release_path(spark, before)
+        before = path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # it has written its file, and reads that alone
+    release_path(spark, before)
+    return out
