@@ -1,9 +1,10 @@
 """Weight-of-evidence binning.
 
-Rows are read twice, whatever the number of features: once for all quantile
-edges, once for all counts (feature, interval, n, bad). Merging bins only adds
-intervals up, so it is a fold over a handful of integers; the fitted binning is
-plain numbers that become column expressions.
+The source is read once, whatever the number of features: the features and the
+target are kept while two or three jobs find all quantile edges and one counts
+(feature, interval, n, bad). Merging bins only adds intervals up, so it is a
+fold over a handful of integers; the fitted binning is plain numbers that
+become column expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import band_open_closed
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, kept
 
 SMOOTHING = 0.5
 
@@ -131,10 +132,10 @@ def to_binning(feature: str, cells: Intervals) -> Binning:
     return Binning(feature, tuple(bins), sum(b.iv for b in bins), is_monotonic(cells.rates()))
 
 
-def quantile_edges(df: DataFrame, features: list[str], max_bins: int = 6) -> dict[str, list[float] | None]:
+def quantile_edges(df: DataFrame, features: list[str], max_bins: int = 6, keep: bool = True) -> dict[str, list[float] | None]:
     """Inner edges of each feature: its distinct quantiles without the outermost
     two; None for a feature with fewer than two (it gets no bin)."""
-    quantiles = exact_quantiles(df, features, [i / max_bins for i in range(max_bins + 1)])
+    quantiles = exact_quantiles(df, features, [i / max_bins for i in range(max_bins + 1)], keep)
     out: dict[str, list[float] | None] = {}
     for f in features:
         distinct = sorted(set(quantiles[f]))
@@ -160,12 +161,13 @@ def fit_binnings(
 ) -> dict[str, Binning]:
     """Binnings of all features: quantile intervals, thin ones merged, then
     merged to a monotonic bad rate. ``merge=False`` leaves the intervals."""
-    edges = quantile_edges(df, features, max_bins)
-    cells = {f: Intervals(list(e), [0] * (len(e) + 1), [0] * (len(e) + 1)) if e is not None else Intervals([], [], []) for f, e in edges.items()}
-    if any(e is not None for e in edges.values()):
-        for row in interval_counts(df, target, edges).filter("interval IS NOT NULL").collect():
-            cells[row["feature"]].n[row["interval"]] = row["n"]
-            cells[row["feature"]].bad[row["interval"]] = row["bad"]
+    with kept(df.select(F.col(target).cast("long").alias(target), *[F.col(f).cast("double").alias(f) for f in features])) as plain:
+        edges = quantile_edges(plain, features, max_bins, keep=False)
+        cells = {f: Intervals(list(e), [0] * (len(e) + 1), [0] * (len(e) + 1)) if e is not None else Intervals([], [], []) for f, e in edges.items()}
+        if any(e is not None for e in edges.values()):
+            for row in interval_counts(plain, target, edges).filter("interval IS NOT NULL").collect():
+                cells[row["feature"]].n[row["interval"]] = row["n"]
+                cells[row["feature"]].bad[row["interval"]] = row["bad"]
     out = {}
     for f, c in cells.items():
         if merge:

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bands import band_closed_open, ratio
-from .quantiles import exact_quantiles
+from ..functions.bands import band_closed_open, ratio, sorted_index
+from .quantiles import exact_quantiles, kept, small
 
-BUCKETS = 1024
+BUCKETS = 256
 
 
 def cumulative(df: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
     """Per distinct score (and ``by``): pos, neg, and how many of each lie below.
 
     Running sums go in two steps, over BUCKETS ranges of the score and within
-    each, so no task sees all distinct scores.
+    each. The ranges hold about as many rows each, however the scores lie, so no
+    task sees all distinct scores; one job finds their ends.
     """
     by = by or []
     grouped = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(
         F.count(F.when(F.col(target) == 1, 1)).alias("pos"), F.count(F.when(F.col(target) == 0, 1)).alias("neg")
     )
-    ends = grouped.agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    width = F.col("high") - F.col("low")
-    ranged = grouped.crossJoin(F.broadcast(ends)).withColumn(
-        "_b", F.when(width > 0, F.floor((F.col("s") - F.col("low")) / width * (BUCKETS - 1))).otherwise(0)
-    ).drop("low", "high")
+    marks = [i / BUCKETS for i in range(1, BUCKETS)]
+    ends = df.agg(F.percentile_approx(F.col(score).cast("double"), marks, 8 * BUCKETS)).first()[0]
+    ranged = grouped.withColumn("_b", sorted_index(F.col("s"), sorted(set(ends or []))))
     sums = ranged.groupBy(*by, "_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     over = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
     before = sums.select(*by, "_b", (F.sum("p").over(over) - F.col("p")).alias("pos_before"), (F.sum("n").over(over) - F.col("n")).alias("neg_before"))
@@ -33,7 +32,7 @@ def cumulative(df: DataFrame, score: str, target: str, by: list[str] | None = No
     running = ranged.withColumns({
         "pos_in": F.coalesce(F.sum("pos").over(inside), F.lit(0)), "neg_in": F.coalesce(F.sum("neg").over(inside), F.lit(0)),
     })
-    return running.join(before, [*by, "_b"]).select(
+    return running.join(F.broadcast(before), [*by, "_b"]).select(
         *by, "s", "pos", "neg", (F.col("pos_before") + F.col("pos_in")).alias("pos_below"), (F.col("neg_before") + F.col("neg_in")).alias("neg_below"),
     )
 
@@ -57,21 +56,35 @@ def brier(df: DataFrame, score: str, target: str, by: list[str] | None = None) -
     return df.groupBy(*(by or [])).agg(F.avg(F.pow(F.col(score) - F.col(target), 2)).alias("brier"))
 
 
-def model_summary(scores: DataFrame, models: dict[str, str], target: str) -> DataFrame:
-    """(model, auc, gini, ks, brier) of several score columns of one frame."""
-    long = scores.select(
+def _long(df: DataFrame, models: dict[str, str], target: str) -> DataFrame:
+    """(y, model, p): a row for each row and model."""
+    return df.select(
         F.col(target).alias("y"),
         F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("p")) for m, c in models.items()])).alias("x"),
     ).select("y", "x.model", "x.p")
-    return ranking_metrics(long, "p", "y", ["model"]).join(brier(long, "p", "y", ["model"]), "model")
+
+
+def model_summary(scores: DataFrame, models: dict[str, str], target: str) -> DataFrame:
+    """(model, auc, gini, ks, brier) of several score columns of one frame, which is read once."""
+    with kept(_long(scores, models, target)) as long:
+        return small(ranking_metrics(long, "p", "y", ["model"]).join(brier(long, "p", "y", ["model"]), "model"))
 
 
 def calibration(df: DataFrame, score: str, target: str, bins: int = 8) -> DataFrame:
     """(bin, n, mean_score, observed) over ``[lo, hi)`` bands of the score's own quantiles; empty bands are left out."""
-    inner = exact_quantiles(df, [score], [i / bins for i in range(1, bins)])[score]
-    return df.groupBy(band_closed_open(F.col(score), inner).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(target).alias("observed")
-    )
+    return calibrations(df, {"": score}, target, bins).drop("model")
+
+
+def calibrations(df: DataFrame, models: dict[str, str], target: str, bins: int = 8) -> DataFrame:
+    """(model, bin, n, mean_score, observed) of several score columns of one frame, each over its own bands."""
+    with kept(df.select(*set(models.values()), target)) as scores:
+        inner = exact_quantiles(scores, sorted(set(models.values())), [i / bins for i in range(1, bins)], keep=False)
+        band = F.lit(None).cast("int")
+        for m, c in models.items():
+            band = F.when(F.col("model") == m, band_closed_open(F.col("p"), inner[c])).otherwise(band)
+        return small(_long(scores, models, target).groupBy("model", band.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_score"), F.avg("y").alias("observed")
+        ))
 
 
 def approval_threshold(df: DataFrame, score: str, share: float = 0.80) -> float | None:
@@ -82,12 +95,17 @@ def approval_threshold(df: DataFrame, score: str, share: float = 0.80) -> float
 
 def swap_set(df: DataFrame, champion: str, challenger: str, target: str, share: float = 0.80) -> DataFrame:
     """(cell, n, bad_rate) of approved by both, swap-in (challenger only) and swap-out (champion only); always three rows."""
-    cuts = exact_quantiles(df, [champion, challenger], [share])
+    with kept(df.select(champion, challenger, F.col(target).alias("_y"))) as scores:
+        return small(_swap_cells(scores, champion, challenger, share))
+
+
+def _swap_cells(df: DataFrame, champion: str, challenger: str, share: float) -> DataFrame:
+    cuts = exact_quantiles(df, [champion, challenger], [share], keep=False)
     old = F.col(champion) <= F.lit(cuts[champion][0] if cuts[champion] else None)
     new = F.col(challenger) <= F.lit(cuts[challenger][0] if cuts[challenger] else None)
     cell = F.when(old & new, "both").when(~old & new, "swap_in").when(old & ~new, "swap_out")
     cells = df.sparkSession.createDataFrame([("both",), ("swap_in",), ("swap_out",)], "cell string")
-    counted = df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("bad_rate"))
+    counted = df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("bad_rate"))
     return F.broadcast(cells).join(counted, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"), "bad_rate")
 
 

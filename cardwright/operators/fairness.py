@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import ratio
 from .evaluation import approval_threshold, ranking_metrics
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, kept, small
 from .scorecard import fit_logistic
 
 FOUR_FIFTHS = 0.80
@@ -76,18 +76,18 @@ def adverse_impact_log_interval(df: DataFrame, approved: str, group: str) -> Dat
 def score_distribution(df: DataFrame, score: str, group: str) -> DataFrame:
     """(group_value, n, mean, median, p10) per group, with mean_gap (group 1 less
     group 0) and separation_auc (of the negated score for group 1) on each row."""
-    stats = []
-    for g in (1, 0):
-        own = df.filter(F.col(group) == g)
-        median, p10 = (exact_quantiles(own, [score], [0.5, 0.1])[score] or [None, None])
-        stats.append((g, median, p10))
-    quantiles = df.sparkSession.createDataFrame(stats, "group_value int, median double, p10 double")
-    means = df.groupBy(F.col(group).alias("group_value")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
-    gap = df.agg((F.avg(F.when(F.col(group) == 1, F.col(score))) - F.avg(F.when(F.col(group) == 0, F.col(score)))).alias("mean_gap"))
-    apart = ranking_metrics(df.select((-F.col(score)).alias("s"), F.col(group).alias("y")), "s", "y").select(F.col("auc").alias("separation_auc"))
-    return F.broadcast(quantiles).join(means, "group_value").crossJoin(F.broadcast(gap)).crossJoin(F.broadcast(apart)).select(
-        "group_value", "n", "mean", "median", "p10", "mean_gap", "separation_auc"
-    )
+    with kept(df.select(F.col(score).alias("s"), F.col(group).alias("g"))) as held:
+        sides = held.select(*[F.when(F.col("g") == g, F.col("s")).alias(f"s{g}") for g in (1, 0)])
+        found = exact_quantiles(sides, ["s1", "s0"], [0.5, 0.1], keep=False)
+        quantiles = df.sparkSession.createDataFrame(
+            [(g, *(found[f"s{g}"] or [None, None])) for g in (1, 0)], "group_value int, median double, p10 double"
+        )
+        means = held.groupBy(F.col("g").alias("group_value")).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"))
+        gap = held.agg((F.avg(F.when(F.col("g") == 1, F.col("s"))) - F.avg(F.when(F.col("g") == 0, F.col("s")))).alias("mean_gap"))
+        apart = ranking_metrics(held.select((-F.col("s")).alias("s"), "g"), "s", "g").select(F.col("auc").alias("separation_auc"))
+        return small(F.broadcast(quantiles).join(means, "group_value").crossJoin(F.broadcast(gap)).crossJoin(F.broadcast(apart)).select(
+            "group_value", "n", "mean", "median", "p10", "mean_gap", "separation_auc"
+        ))
 
 
 def standardised(df: DataFrame, features: list[str], *others: str) -> DataFrame:

@@ -1,99 +1,163 @@
-"""Exact quantiles by narrowing brackets.
+"""Exact quantiles in few reads.
 
-Each wanted order statistic has a bracket that surely holds it. One job for
-all columns and ranks counts a bracket's rows and takes approximate quantiles
-inside it to draw the next, narrower one; once brackets hold few rows, their
-value counts come to the driver and give the exact answer. Memory is bounded
-by SMALL whatever the data; a trillion rows need three or four passes.
+One job takes an approximate sketch of every column; around each wanted rank it
+leaves two edges that surely hold the answer between them. One more counts what
+lies at the edges and between them, with the value counts of the gaps in
+question, which come to the driver and give the exact order statistics: about
+SMALL of them over all columns and ranks together. Where these gaps hold more
+rows, a job in between takes finer sketches inside them; a trillion rows need
+two of these. The columns are kept for the time of the search, so the source is
+read once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 20_000
-ACCURACY = 5_000
+ACCURACY = 10_000
+GRID = 1_000
 
+Interval = tuple[float, float]
 
-def order_statistics(df: DataFrame, ranks: dict[str, set[int]], rows: dict[str, int]) -> dict[tuple[str, int], float]:
-    """The value at each rank (from 0) of each column's non-null values in ascending order."""
-    inf = float("inf")
-    state = {(c, r): {"lo": -inf, "hi": inf, "below": 0, "n": rows[c]} for c, rs in ranks.items() for r in rs}
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` in the executors' memory and disks while it is worked on."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A frame of few rows (bins, models, cells, groups), worked out now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+@dataclass
+class Search:
+    """A column's open ranks and its sorted edges. Cell 2 i + 1 is the i-th edge's
+    value itself, cell 2 i the open gap below it; values are wanted from some gaps only."""
+
+    ranks: set[int]
+    edges: list[float]
+    wanted: set[int]
+
+    @classmethod
+    def between(cls, ranks: set[int], intervals: list[Interval]) -> Search:
+        edges = sorted({e for i in intervals for e in i})
+        place = {e: k for k, e in enumerate(edges)}
+        return cls(ranks, edges, {2 * k for low, high in intervals for k in range(place[low] + 1, place[high] + 1)})
+
+    def cell(self, x: Column) -> Column:
+        steps = [s.cast("int") for e in self.edges for s in (x >= F.lit(e), x > F.lit(e))]
+        return reduce(lambda a, b: a + b, steps, F.lit(0))
+
+    def gap(self, cell: int) -> Interval:
+        ends = [-math.inf, *self.edges, math.inf]
+        return ends[cell // 2], ends[cell // 2 + 1]
+
+
+def _cells(df: DataFrame, searches: dict[str, Search]) -> DataFrame:
+    """(column, cell, value): a row for each value; null values in cells that want none."""
+    each = F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), s.cell(F.col(c)).alias("cell"), F.col(c).alias("value")))
+        for c, s in searches.items()
+    ])
+    wanted = F.lit(False)
+    for c, s in searches.items():
+        wanted = wanted | (F.col("x.column") == c) & F.col("x.cell").isin(sorted(s.wanted))
+    return df.select(F.explode(F.array_compact(each)).alias("x")).select("x.column", "x.cell", F.when(wanted, F.col("x.value")).alias("value"))
+
+
+def order_statistics(df: DataFrame, searches: dict[str, Search], inside: float) -> dict[tuple[str, int], float]:
+    """The value at each open rank (from 0) of each column's non-null values in
+    ascending order; ``inside`` bounds the rows in the wanted gaps."""
     found: dict[tuple[str, int], float] = {}
-    while state:
-        within = lambda c, s: (F.col(c) >= F.lit(s["lo"])) & (F.col(c) <= F.lit(s["hi"]))
-        wide = {k: s for k, s in state.items() if s["n"] > SMALL}
-        small = sorted({(k[0], s["lo"], s["hi"], s["below"]) for k, s in state.items() if k not in wide})
-        if small:
-            cells = F.array(*[
-                F.when((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)), F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")))
-                for i, (c, lo, hi, _) in enumerate(small)
-            ])
-            counts = df.select(F.explode(F.array_compact(cells)).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()
-            values: dict[int, list] = {i: [] for i in range(len(small))}
-            for row in sorted(counts, key=lambda x: (x["i"], x["v"])):
-                values[row["i"]].append((row["v"], row["n"]))
-            for i, (c, lo, hi, below) in enumerate(small):
-                wanted = sorted(k[1] for k, s in state.items() if k[0] == c and (s["lo"], s["hi"]) == (lo, hi))
-                upto = below
-                for v, n in values[i]:
-                    upto += n
-                    while wanted and wanted[0] < upto:
-                        found[c, wanted.pop(0)] = v
-        state = wide
-        if not wide:
-            break
-        keys = list(wide)
-        guesses = df.agg(*[
-            F.percentile_approx(
-                F.when(within(c, wide[c, r]), F.col(c).cast("double")),
-                [min(1.0, max(0.0, (r - wide[c, r]["below"]) / wide[c, r]["n"] + d)) for d in (-2 / ACCURACY, 2 / ACCURACY)],
-                ACCURACY,
-            ).alias(f"g{i}")
-            for i, (c, r) in enumerate(keys)
-        ]).first()
-        marks = {k: tuple(guesses[f"g{i}"]) for i, k in enumerate(keys)}
-        tally = df.agg(*[
-            e for i, (c, r) in enumerate(keys) for e in (
-                F.count(F.when(F.col(c) < F.lit(marks[c, r][0]), 1)).alias(f"b{i}"),
-                F.count(F.when(F.col(c) <= F.lit(marks[c, r][1]), 1)).alias(f"u{i}"),
-                F.count(F.when(F.col(c) <= F.lit(marks[c, r][0]), 1)).alias(f"e{i}"),
-            )
-        ]).first()
-        for i, (c, r) in enumerate(keys):
-            s, (low, high) = state[c, r], marks[c, r]
-            below, upto, equal = tally[f"b{i}"], tally[f"u{i}"], tally[f"e{i}"]
-            if below <= r < equal:  # a heavily repeated value
-                found[c, r] = low
-                del state[c, r]
-            elif low < high and equal <= r < upto:
-                if upto - below >= s["n"]:  # no narrower: one value fills nearly all of it
-                    low = math.nextafter(low, inf)
-                    below = equal
-                s.update(lo=low, hi=high, below=below, n=upto - below)
-            elif r < below:
-                s.update(hi=math.nextafter(low, -inf), n=below - s["below"])
-            else:
-                s.update(lo=math.nextafter(high, inf), n=s["below"] + s["n"] - upto, below=upto)
+    while searches:
+        cells = _cells(df, searches)
+        fine = inside > SMALL
+        if fine:
+            rows = cells.groupBy("column", "cell").agg(
+                F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [j / GRID for j in range(GRID + 1)], ACCURACY).alias("grid")
+            ).collect()
+        else:
+            rows = cells.groupBy("column", "cell", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+        inside, following = 0.0, {}
+        for c, s in searches.items():
+            upto, narrower, left = 0, [], set()
+            for r in sorted((r for r in rows if r["column"] == c), key=lambda r: (r["cell"], 0 if fine or r["value"] is None else r["value"])):
+                below, upto = upto, upto + r["n"]
+                for k in [k for k in s.ranks if below <= k < upto]:
+                    if r["cell"] % 2:
+                        found[c, k] = s.edges[r["cell"] // 2]
+                        continue
+                    if r["cell"] in s.wanted and not fine:
+                        found[c, k] = r["value"]
+                        continue
+                    if r["cell"] in s.wanted:
+                        at, grid = (k - below) / r["n"] * GRID, r["grid"]
+                        low, high, share = grid[max(0, math.floor(at) - 1)], grid[min(GRID, math.ceil(at) + 1)], 5 / GRID
+                    else:  # the sketch was farther off than it should be
+                        low, high, share = *s.gap(r["cell"]), 1
+                    if low == high:
+                        found[c, k] = low
+                        continue
+                    narrower.append((low, high))
+                    left.add(k)
+                    inside += r["n"] * share
+            if left:
+                following[c] = Search.between(left, narrower)
+        searches = following
     return found
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], keep: bool = True) -> dict[str, list[float]]:
     """Quantiles with linear interpolation between order statistics.
 
     Null and NaN values are left out. A column without values has no quantiles
-    (an empty list).
+    (an empty list). ``keep=False`` where ``df`` is kept already.
     """
     plain = df.select(*[
         F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns
     ])
-    rows = plain.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    if keep:
+        with kept(plain) as held:
+            return exact_quantiles(held, columns, probs, keep=False)
+    step = 2 / ACCURACY
+    marks = [min(1.0, max(0.0, p + d)) for p in probs for d in (-step, step)]
+    first = plain.agg(*[
+        e for i, c in enumerate(columns) for e in (
+            F.count(c).alias(f"n{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"), F.percentile_approx(c, marks, ACCURACY).alias(f"q{i}"),
+        )
+    ]).first()
+    rows = {c: first[f"n{i}"] for i, c in enumerate(columns)}
     places = {c: [p * (rows[c] - 1) for p in probs] for c in columns if rows[c]}
     ranks = {c: {f(p) for p in ps for f in (math.floor, math.ceil)} for c, ps in places.items()}
-    at = order_statistics(plain, ranks, rows)
+    searches, inside = {}, 0.0
+    for i, c in enumerate(columns):
+        if not rows[c]:
+            continue
+        brackets = []
+        for j, place in enumerate(places[c]):
+            low, high = first[f"q{i}"][2 * j: 2 * j + 2]
+            # At the ends the sketch may stop short of the least and the greatest value.
+            low = first[f"l{i}"] if place <= 3 * step * rows[c] else low
+            high = first[f"h{i}"] if place >= (1 - 3 * step) * (rows[c] - 1) else high
+            brackets.append((low, high))
+            inside += 4 * step * rows[c] if low < high else 0
+        searches[c] = Search.between(ranks[c], brackets)
+    at = order_statistics(plain, searches, inside)
     out: dict[str, list[float]] = {c: [] for c in columns}
     for c, ps in places.items():
         for p in ps:

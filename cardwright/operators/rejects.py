@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.bands import band_closed_open, ratio
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, kept, small
 
 BANDS = 10
 RATE_CAP = 0.999
 
 
-def _bands(df: DataFrame, score: str, n: int) -> list[float]:
-    return exact_quantiles(df, [score], [i / n for i in range(1, n)])[score]
-
-
 def parcel_rates(funded: DataFrame, score: str, target: str, n_bands: int = BANDS) -> tuple[list[float], list[float]]:
     """(inner edges of the funded scores' quantile bands, bad rate of each band;
     a band without funded rows has the overall rate)."""
-    inner = _bands(funded, score, n_bands)
-    rows = funded.groupBy(band_closed_open(F.col(score), inner).alias("b")).agg(F.sum(F.col(target).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
+    with kept(funded.select(score, target)) as held:
+        inner = exact_quantiles(held, [score], [i / n_bands for i in range(1, n_bands)], keep=False)[score]
+        rows = _band_counts(held, score, target, inner)
     bad, n = sum(r["bad"] for r in rows), sum(r["n"] for r in rows)
     known = {r["b"]: r["bad"] / r["n"] for r in rows}
     return inner, [known.get(b, bad / n if n else 0.0) for b in range(len(inner) + 1)]
 
 
+def _band_counts(funded: DataFrame, score: str, target: str, inner: list[float]) -> list[Row]:
+    return funded.groupBy(band_closed_open(F.col(score), inner).alias("b")).agg(F.sum(F.col(target).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
+
+
 def inferred(score: Column, inner: list[float], rates: list[float], multiplier: Column | float) -> Column:
     """Default probability of a reject: its band's rate times the multiplier, at most 0.999."""
     rate = F.get(F.array(*map(F.lit, rates)), band_closed_open(score, inner))
@@ -46,22 +47,26 @@ def multiplier_sweep(
     inner, rates = parcel_rates(funded, score, target, n_bands)
     means = rejects.agg(
         F.avg(F.col(target).cast("double")).alias("actual_rate"),
-        F.array(*[F.struct(F.lit(k).alias("multiplier"), F.avg(inferred(F.col(score), inner, rates, k)).alias("inferred_rate")) for k in multipliers]).alias("each"),
+        F.array(*[
+            F.struct(F.lit(i).alias("place"), F.lit(float(k)).alias("multiplier"), F.avg(inferred(F.col(score), inner, rates, k)).alias("inferred_rate"))
+            for i, k in enumerate(multipliers)
+        ]).alias("each"),
     )
     rows = means.select("actual_rate", F.inline("each")).withColumn("signed_error", F.col("inferred_rate") - F.col("actual_rate"))
-    best = rows.agg(F.min(F.struct(F.abs("signed_error").alias("e"), "multiplier"))["multiplier"].alias("best_multiplier"))
+    best = rows.agg(F.min(F.struct(F.abs("signed_error").alias("e"), "place"))["place"].alias("best_place"))
     return rows.crossJoin(F.broadcast(best)).select(
-        "multiplier", "inferred_rate", "actual_rate", "signed_error", (F.col("multiplier") == F.col("best_multiplier")).alias("best")
+        "multiplier", "inferred_rate", "actual_rate", "signed_error", (F.col("place") == F.col("best_place")).alias("best")
     )
 
 
 def augmentation_weights(df: DataFrame, score: str, approved: str, n_bands: int = BANDS) -> DataFrame:
     """(band, n_all, n_funded, weight): how much a funded row of a band of all
     scores must count to stand for the band; 1 without funded rows."""
-    inner = _bands(df, score, n_bands)
-    counts = df.groupBy(band_closed_open(F.col(score), inner).alias("band")).agg(
-        F.count(F.lit(1)).alias("n_all"), F.count(F.when(F.col(approved) == 1, 1)).alias("n_funded")
-    )
+    with kept(df.select(score, approved)) as held:
+        inner = exact_quantiles(held, [score], [i / n_bands for i in range(1, n_bands)], keep=False)[score]
+        counts = small(held.groupBy(band_closed_open(F.col(score), inner).alias("band")).agg(
+            F.count(F.lit(1)).alias("n_all"), F.count(F.when(F.col(approved) == 1, 1)).alias("n_funded")
+        ))
     total = counts.agg(F.sum("n_all").alias("all"), F.sum("n_funded").alias("f"))
     weight = ratio(F.col("n_all") / F.col("all"), F.col("n_funded").cast("double") / F.col("f"))
     return counts.crossJoin(F.broadcast(total)).select("band", "n_all", "n_funded", F.coalesce(weight, F.lit(1.0)).alias("weight"))

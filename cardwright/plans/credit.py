@@ -108,13 +108,11 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apps = funded(scored(spark, sf_dir))
-    each = [evaluation.calibration(apps, c, TARGET).withColumn("model", F.lit(m)) for m, c in (("card", "pd_a"), ("challenger", "pd_b"))]
-    return _rounded(each[0].unionByName(each[1]))
+    return _rounded(evaluation.calibrations(funded(scored(spark, sf_dir)), {"card": "pd_a", "challenger": "pd_b"}, TARGET))
 
 
 def approval_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apps = funded(scored(spark, sf_dir))
+    apps = funded(scored(spark, sf_dir)).select("pd_a")
     cut = evaluation.approval_threshold(apps, "pd_a")
     return _rounded(apps.agg(F.lit(cut).alias("threshold"), F.count(F.when(F.col("pd_a") <= cut, 1)).alias("n_approved"), F.count(F.lit(1)).alias("n")), 9)
 
@@ -261,25 +259,31 @@ def _air_and_auc(scores: DataFrame) -> tuple[float, float]:
     return air, evaluation.ranking_metrics(scores, "pd", TARGET).first()["auc"]
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The champion card, the card without proxies and the booster, fitted on the table."""
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the champion card, the card without proxies and the booster, fitted on the table; the row of the ablation)."""
     train, test = (d.cache() for d in _split(spark, sf_dir, proxies=True))
-    _, scores = _ablation(train, test)
+    row, scores = _ablation(train, test)
     pick = lambda d: as_features(d, LDA_FEATURES, TARGET, GROUP)
     gbm = boosting.fit_gbt_candidate(pick(train), pick(test), LDA_FEATURES, TARGET, rounds=GBM_ROUNDS)
     scores["gbm_challenger"] = gbm.select(TARGET, GROUP, F.round("pd", 9).alias("pd")).cache()
     found = {name: _air_and_auc(s) for name, s in scores.items()}
     for d in (train, test, *scores.values()):
         d.unpersist()
-    return fairness.candidates_frame(spark, found)
+    return fairness.candidates_frame(spark, found), row
+
+
+def alternatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the judged candidates, the numbers of the ablation with their narrative), from one set of fits."""
+    candidates, row = _candidates(spark, sf_dir)
+    return _rounded(fairness.lda_search(candidates)), _rounded(fairness.ablation_narrative(row))
 
 
 def lda_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(fairness.lda_search(_candidates(spark, sf_dir)))
+    return alternatives(spark, sf_dir)[0]
 
 
 def lda_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fairness.lda_conclusion(fairness.lda_search(_candidates(spark, sf_dir)))
+    return fairness.lda_conclusion(fairness.lda_search(_candidates(spark, sf_dir)[0]))
 
 
 def ablation_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,21 +27,25 @@ def scorecard_report(spark: SparkSession, sf_dir: str) -> str:
         ("Population", credit.population_summary(spark, sf_dir)),
         ("Information value", credit.iv_summary(spark, sf_dir)),
         ("Bins", credit.woe_merged(spark, sf_dir).orderBy("feature", "bin")),
+        ("Points", credit.points_table(spark, sf_dir).orderBy("feature", "bin")),
         ("Models", credit.model_summary(spark, sf_dir)),
         ("Calibration", credit.calibration(spark, sf_dir).orderBy("model", "bin")),
         ("Swap set", credit.swap_set(spark, sf_dir)),
         ("Verdict", credit.swap_verdict(spark, sf_dir)),
-        ("Declined first", credit.decline_sample(spark, sf_dir)),
+        ("Adverse impact", credit.adverse_impact(spark, sf_dir)),
+        ("Declined first", declined := credit.decline_sample(spark, sf_dir)),
+        ("Their reasons", credit.reason_codes(spark, sf_dir).join(declined.select("app_id"), "app_id").orderBy("app_id", "rank")),
     ])
 
 
 def fairness_report(spark: SparkSession, sf_dir: str) -> str:
-    judged = credit.lda_search(spark, sf_dir)
+    judged, ablation = credit.alternatives(spark, sf_dir)
     return _report("Fair lending", [
         ("Adverse impact", credit.adverse_impact(spark, sf_dir)),
         ("Interval (closed form)", credit.adverse_impact_log_interval(spark, sf_dir)),
         ("Interval (bootstrap)", credit.adverse_impact_bootstrap(spark, sf_dir)),
         ("Score distribution", credit.score_distribution(spark, sf_dir)),
+        ("Reconstruction of the group, and ablation of the proxies", ablation),
         ("Less discriminatory alternatives", judged),
         ("Conclusion", fairness.lda_conclusion(judged)),
     ])
@@ -53,6 +57,7 @@ def rejects_report(spark: SparkSession, sf_dir: str) -> str:
         ("Parcelling by multiplier", credit.parcelling_sweep(spark, sf_dir).orderBy("multiplier")),
         ("Against the truth", credit.counterfactual(spark, sf_dir)),
         ("Augmentation weights", credit.augmentation_weights(spark, sf_dir).orderBy("band")),
+        ("Refit with inferred rejects", credit.parcelled_refit(spark, sf_dir)),
     ])
 
 

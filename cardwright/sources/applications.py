@@ -6,14 +6,17 @@ so a table of one's own works as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.bands import sorted_index
+
 APPLICATION_SCHEMA = T.StructType([
     T.StructField("app_id", T.LongType()),
     T.StructField("income", T.DoubleType()),
@@ -74,25 +77,24 @@ def as_features(apps: DataFrame, features: list[str], *others: str) -> DataFrame
     return apps.select(*others, *[F.col(f).cast("double").alias(f) for f in features])
 
 
-def positional_split(apps: DataFrame, key: str, share: float = 0.7, buckets: int = 4096) -> DataFrame:
+def positional_split(apps: DataFrame, key: str, share: float = 0.7, buckets: int = 256) -> DataFrame:
     """Adds ``pos`` (from 1, in order of ``key``) and ``is_train`` (pos <= floor(share * n)).
 
-    Ranges of the key are counted first and rows numbered within their range,
-    so no single task sees all rows.
+    The key is cut into ranges of about as many rows each, wherever the keys
+    lie; ranges are counted and rows numbered within theirs, so no single task
+    sees all rows.
     """
     from pyspark.sql import Window
 
-    low, high, n = apps.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if not n:
-        return apps.withColumn("pos", F.lit(1).cast("long")).withColumn("is_train", F.lit(True))
-    width = (high - low) // buckets + 1
-    ranged = apps.withColumn("_range", F.expr(f"(`{key}` - {low}) div {width}"))
+    marks = [i / buckets for i in range(1, buckets)]
+    ends, n = apps.agg(F.percentile_approx(F.col(key).cast("double"), marks, 8 * buckets), F.count(F.lit(1))).first()
+    ranged = apps.withColumn("_range", sorted_index(F.col(key).cast("double"), sorted(set(ends or []))))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
     numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
     cut = int(n * share)
     return (
-        numbered.join(before, "_range").withColumn("pos", (F.col("_before") + F.col("_at")).cast("long"))
+        numbered.join(F.broadcast(before), "_range").withColumn("pos", (F.col("_before") + F.col("_at")).cast("long"))
         .withColumn("is_train", F.col("pos") <= cut).drop("_range", "_at", "_before")
     )
 
@@ -107,30 +109,46 @@ DEFAULT_COEFFICIENTS = {
 }
 
 
+# The draws in the order in which they use up the stream (name, law, parameters).
+DRAWS = (
+    ("log_income", "normal", (10.9, 0.55)),
+    ("employment_years", "gamma", (2.2, 2.6)),
+    ("loan_share", "uniform", (0.08, 0.65)),
+    ("other_debt", "normal", (12, 6)),
+    ("used", "beta", (2.2, 3.0)),
+    ("delinq_2y", "poisson", (0.28,)),
+    ("inquiries_6m", "poisson", (0.9,)),
+    ("credit_age_months", "gamma", (5.0, 26.0)),
+    ("region_risk", "beta", (2, 5)),
+    ("noise", "normal", (0, NOISE)),
+    ("default_draw", "uniform", (0, 1)),
+    ("group_draw", "uniform", (0, 1)),
+)
+# Bounds of the columns that have some, and digits of those that are rounded.
+BOUNDS = {
+    "income": (12_000, 400_000), "employment_years": (0, 40), "loan_amount": (1_000, 60_000), "dti": (1, 75),
+    "delinq_2y": (0, 8), "inquiries_6m": (0, 12), "credit_age_months": (6, 500),
+}
+DIGITS = {"income": 0, "dti": 2, "utilization": 2, "credit_age_months": 0, "employment_years": 1, "loan_amount": 0, "region_risk": 4}
+
+
 def _draw(rng: np.random.Generator, n: int) -> pd.DataFrame:
-    """n applications from the documented laws."""
-    income = np.clip(np.exp(rng.normal(10.9, 0.55, n)), 12_000, 400_000)
-    employment = np.clip(rng.gamma(2.2, 2.6, n), 0, 40)
-    loan = np.clip(income * rng.uniform(0.08, 0.65, n), 1_000, 60_000)
-    dti = np.clip(loan / income * 100 + rng.normal(12, 6, n), 1, 75)
-    utilization = rng.beta(2.2, 3.0, n) * 100
-    delinquencies = np.minimum(rng.poisson(0.28, n), 8)
-    inquiries = np.minimum(rng.poisson(0.9, n), 12)
-    age = np.clip(rng.gamma(5.0, 26.0, n), 6, 500)
-    region = rng.beta(2, 5, n)
-    risk = {
-        "dti": dti, "utilization": utilization, "delinq_2y": delinquencies, "inquiries_6m": inquiries,
-        "credit_age_months": age, "employment_years": employment, "log_income": np.log(income) - LOG_INCOME_CENTRE, "region_risk": region,
-    }
-    logit = INTERCEPT + sum(c * risk[name] for name, c in DEFAULT_COEFFICIENTS.items()) + rng.normal(0, NOISE, n)
-    defaulted = rng.random(n) < 1 / (1 + np.exp(-logit))
-    protected = rng.random(n) < 0.25 + 0.45 * region
-    approved = (dti < 45) & (delinquencies <= 2) & (utilization < 85) & (income > 20_000)
+    """n applications from the documented laws, the columns of APPLICATION_SCHEMA after the key."""
+    d = {name: getattr(rng, law)(*parameters, n) for name, law, parameters in DRAWS}
+    bounded = lambda name, x: np.clip(x, *BOUNDS[name]) if name in BOUNDS else x
+    d |= {name: bounded(name, x) for name, x in d.items()}
+    d["income"] = bounded("income", np.exp(d["log_income"]))
+    d["loan_amount"] = bounded("loan_amount", d["income"] * d["loan_share"])
+    d["dti"] = bounded("dti", d["loan_amount"] / d["income"] * 100 + d["other_debt"])
+    d["utilization"] = d["used"] * 100
+    d["log_income"] = np.log(d["income"]) - LOG_INCOME_CENTRE
+    logit = INTERCEPT + sum(c * d[name] for name, c in DEFAULT_COEFFICIENTS.items()) + d["noise"]
+    d[TARGET] = d["default_draw"] < 1 / (1 + np.exp(-logit))
+    d[GROUP] = d["group_draw"] < 0.25 + 0.45 * d["region_risk"]
+    d[APPROVED] = (d["dti"] < 45) & (d["delinq_2y"] <= 2) & (d["utilization"] < 85) & (d["income"] > 20_000)
+    columns = {f.name: d[f.name] for f in APPLICATION_SCHEMA.fields[1:]}
     return pd.DataFrame({
-        "income": income.round(0), "dti": dti.round(2), "utilization": utilization.round(2), "delinq_2y": delinquencies,
-        "inquiries_6m": inquiries, "credit_age_months": age.round(0), "employment_years": employment.round(1),
-        "loan_amount": loan.round(0), "region_risk": region.round(4), "protected_group_synthetic": protected.astype("int32"),
-        "approved_by_incumbent": approved.astype("int32"), "defaulted": defaulted.astype("int32"),
+        c: x.astype("int32") if x.dtype == bool else np.round(x, DIGITS[c]) if c in DIGITS else x for c, x in columns.items()
     })
 
 
@@ -154,12 +172,37 @@ def synthetic_applications(spark: SparkSession, n: int = 60_000, seed: int = 21,
     return spark.range(blocks).mapInPandas(draw, APPLICATION_SCHEMA)
 
 
-def add_proxy_features(apps: DataFrame, seed: int = 4) -> DataFrame:
-    """Two features that carry region_risk: closely, and thinly with utilization."""
+def _normal(key: str, seed: int) -> Column:
+    """A standard normal draw for each key, the same however rows are partitioned."""
+    uniform = lambda k: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(k)), F.lit(2**53)) + 0.5) / float(2**53)
+    return F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+
+
+def _noise_stream(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(app_id, a, b): two runs of n standard normal draws out of one stream, for ids from 0."""
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            rng = np.random.default_rng(seed)
+            yield pd.DataFrame({"app_id": np.arange(n), "a": rng.standard_normal(n), "b": rng.standard_normal(n)})
+
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "app_id long, a double, b double")
+
+
+def add_proxy_features(apps: DataFrame, seed: int = 4, stream_rows: int | None = None) -> DataFrame:
+    """Two features that carry region_risk: closely, and thinly with utilization.
+
+    The noise hangs on app_id and the seed. With ``stream_rows`` it comes from
+    one random stream of that many rows in the order of app_id (from 0), as the
+    published figures need it; that stream is drawn by one task.
+    """
+    if stream_rows:
+        apps, a, b = apps.join(_noise_stream(apps.sparkSession, stream_rows, seed), "app_id"), F.col("a"), F.col("b")
+    else:
+        a, b = _normal("app_id", seed), _normal("app_id", seed + 1)
     return apps.withColumns({
-        "region_risk_proxy_a": F.round(F.col("region_risk") * 100 + F.randn(seed) * 6, 2),
-        "region_risk_proxy_b": F.round(F.col("region_risk") * 40 + F.col("utilization") * 0.15 + F.randn(seed + 1) * 4, 2),
-    })
+        "region_risk_proxy_a": F.round(F.col("region_risk") * 100 + a * 6, 2),
+        "region_risk_proxy_b": F.round(F.col("region_risk") * 40 + F.col("utilization") * 0.15 + b * 4, 2),
+    }).drop("a", "b")
 
 
 def write_applications(apps: DataFrame, path: str) -> None:

@@ -101,7 +101,7 @@ def test_transform_adds_columns(toy):
     assert transform(toy, bins).filter("x_woe IS NULL").count() == 0
 
 
-def test_exact_quantiles_by_narrowing(spark):
+def test_exact_quantiles_by_narrowing(spark, monkeypatch):
     import cardwright.operators.quantiles as q
 
     rng = np.random.default_rng(5)
@@ -111,4 +111,8 @@ def test_exact_quantiles_by_narrowing(spark):
     for c in pdf:
         assert np.allclose(got[c], np.quantile(pdf[c], probs), rtol=1e-12, atol=0)
     assert q.SMALL < 60_000
+    monkeypatch.setattr(q, "SMALL", 50)  # several finer rounds
+    assert exact_quantiles(spark.createDataFrame(pdf).repartition(8), ["a", "b", "c"], probs) == got
+    monkeypatch.setattr(q, "GRID", 20)
+    assert exact_quantiles(spark.createDataFrame(pdf[:5000]), ["a", "c"], probs) == {c: pytest.approx(np.quantile(pdf[c][:5000], probs).tolist(), rel=1e-12) for c in "ac"}
     assert exact_quantiles(spark.createDataFrame([(None,), (float("nan"),)], "a double"), ["a"], [0.5]) == {"a": []}

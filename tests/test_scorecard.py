@@ -14,11 +14,11 @@ from cardwright.plans.fixtures import fixed_card
 
 @pytest.fixture(scope="module")
 def data(spark):
-    rng = np.random.default_rng(2)
-    x = rng.uniform(0, 100, 6000)
-    y = (rng.random(6000) < 0.05 + 0.006 * x).astype(int)
-    x2 = np.clip(x + rng.normal(0, 20, 6000), 0, 200)
-    return spark.createDataFrame(pd.DataFrame({"id": range(6000), "x": x, "x2": x2, "y": y})).cache()
+    rng = np.random.default_rng(91)
+    x = 90 * rng.beta(1.5, 2, 5000)
+    y = (rng.random(5000) < 0.08 + 0.55 * (x / 90) ** 1.2).astype(int)
+    x2 = x + rng.laplace(0, 15, 5000)
+    return spark.createDataFrame(pd.DataFrame({"id": range(5000), "x": x, "x2": x2, "y": y})).cache()
 
 
 @pytest.fixture(scope="module")
