@@ -98,7 +98,8 @@ def counterfactual(df: DataFrame, inferred_col: str, actual: str) -> DataFrame:
 def hard_labels(df: DataFrame, probability: str, key: str, seed: int = 7) -> DataFrame:
     """Adds ``label``: 1 with the row's probability. The draw hangs on the key and
     the seed, not on partitions, so a retried task draws the same."""
-    uniform = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    uniform = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
     return df.withColumn("label", (uniform < F.col(probability)).cast("int"))
 
 

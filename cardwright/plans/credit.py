@@ -11,7 +11,7 @@ from ..sources.applications import (
 )
 from .fixtures import ABLATIONS, CANDIDATES, fixed_card, scored
 
-CARD_FEATURES = ["income", "dti", "delinq_2y", "inquiries_6m", "region_risk"]
+CARD_FEATURES = FEATURES
 #: Of the search for less discriminatory models: as in the original, region_risk shows through its proxies only.
 PROXIES = ["proxy_a", "proxy_b"]
 LDA_FEATURES = [*[f for f in FEATURES if f != "region_risk"], *PROXIES]
@@ -66,7 +66,7 @@ def woe_merged_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def woe_bin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.bin_table(spark, _bins(spark, sf_dir, merge_policy="adjacent"), digits=4)
+    return _rounded(binning.bin_table(spark, _bins(spark, sf_dir, merge_policy="adjacent"), digits=4))
 
 
 def iv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +169,12 @@ def parcelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rejects.parcelling(funded(apps), rejected(apps), "pd_a", TARGET).select("app_id", "inferred"))
 
 
+def parcelled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apps = scored(spark, sf_dir)
+    inferred = rejects.parcelling(funded(apps), rejected(apps), "pd_a", TARGET)
+    return rejects.hard_labels(inferred, "inferred", "app_id").select("app_id", "label")
+
+
 def parcelling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = scored(spark, sf_dir)
     return _rounded(rejects.multiplier_sweep(funded(apps), rejected(apps), "pd_a", TARGET))
@@ -233,8 +239,8 @@ def proxy_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proxy_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir, proxies=True)
-    names = ["dti", "delinq_2y", "income", "proxy_a", "proxy_b"]
-    out = fairness.proxy_ablation(train.cache(), test.cache(), names, ["proxy_a", "proxy_b"], fit_predict, GROUP)
+    names = LDA_FEATURES
+    out = fairness.proxy_ablation(train.cache(), test.cache(), names, PROXIES, fit_predict, GROUP)
     train.unpersist(), test.unpersist()
     return _rounded(spark.createDataFrame([out]), 4)
 
@@ -331,10 +337,10 @@ WITH_ORACLE = (
     bin_lookup, card_scaling, card_scores, points_table, reason_codes, model_summary, calibration, approval_cut, swap_set, swap_verdict,
     decline_sample, adverse_impact, adverse_impact_log_interval, score_distribution, lda_search_fixture, lda_conclusion_fixture,
     ablation_narrative_fixture,
-    parcelling, parcelling_sweep, augmentation_weights, fuzzy_augmentation, counterfactual, stacked_population, funded_model_on_rejects,
+    woe_bin_labels, parcelling, parcelled_labels, parcelling_sweep, augmentation_weights, fuzzy_augmentation, counterfactual, stacked_population, funded_model_on_rejects,
 )
 ROWS_ONLY = (
-    woe_bin_labels, adverse_impact_bootstrap, card_fitted, card_fitted_metrics, proxy_reconstruction, proxy_ablation, lda_search,
+    adverse_impact_bootstrap, card_fitted, card_fitted_metrics, proxy_reconstruction, proxy_ablation, lda_search,
     lda_conclusion, ablation_narrative, gbm_monotone,
     gbm_candidate, parcelled_refit, synthetic_population,
 )

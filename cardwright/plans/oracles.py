@@ -11,7 +11,14 @@ OFFSET = f"(600e0 - {FACTOR} * ln(20e0))"
 SIXTHS = "[" + ", ".join(f"{i}e0 / 6" for i in range(7)) + "]"
 
 
-def _merged_state(feature: str, share: float, start_phase: int) -> str:
+#: Which edge goes for a thin bin, by policy: thin is its place among the filled bins, thin_at among all intervals.
+_THIN_POP = {
+    "reference": "CASE WHEN thin IS NULL THEN NULL WHEN thin = 1 THEN 1 ELSE greatest(thin - 2, 1) END",
+    "adjacent": "CASE WHEN thin IS NULL THEN NULL ELSE greatest(thin_at - 1, 1) END",
+}
+
+
+def _merged_state(feature: str, share: float, start_phase: int, policy: str = "reference") -> str:
     """CTEs ending in ``last_{feature}``: the interval counts c and inner edges ed after merging."""
     f = feature
     return f"""
@@ -30,11 +37,12 @@ def _merged_state(feature: str, share: float, start_phase: int) -> str:
             FROM (
                 SELECT *, CASE
                     WHEN len(v) <= 2 THEN NULL
-                    WHEN phase = 1 THEN CASE WHEN thin IS NULL THEN NULL WHEN thin = 1 THEN 1 ELSE greatest(thin - 2, 1) END
+                    WHEN phase = 1 THEN {_THIN_POP[policy]}
                     WHEN list_bool_and(list_transform(drops, lambda d: d <= 0)) OR list_bool_and(list_transform(drops, lambda d: d >= 0)) THEN NULL
                     ELSE list_position(list_transform(drops, lambda d: d * way), list_max(list_transform(drops, lambda d: d * way))) END AS pop
                 FROM (
                     SELECT *, nullif(list_position(list_transform(v, lambda s: s.n < {share} * nn), true), 0) AS thin,
+                           list_position(list_transform(c, lambda s: s.n > 0 AND s.n < {share} * nn), true) AS thin_at,
                            list_transform(range(1, len(r)), lambda j: r[j] - r[j + 1]) AS drops, CASE WHEN r[1] <= r[-1] THEN 1 ELSE -1 END AS way
                     FROM (SELECT *, list_transform(v, lambda s: s.bad / s.n) AS r
                           FROM (SELECT *, list_filter(c, lambda s: s.n > 0) AS v FROM m_{f} WHERE phase <= 2))
@@ -44,8 +52,8 @@ def _merged_state(feature: str, share: float, start_phase: int) -> str:
         last_{f} AS (SELECT c, ed FROM m_{f} WHERE phase = 3)"""
 
 
-def _bins(share: float, start_phase: int) -> str:
-    states = ",".join(_merged_state(f, share, start_phase) for f in FEATURES)
+def _bins(share: float, start_phase: int, policy: str = "reference") -> str:
+    states = ",".join(_merged_state(f, share, start_phase, policy) for f in FEATURES)
     rows = " UNION ALL ".join(
         f"SELECT '{f}' AS feature, {i} AS place, p, c[p].n AS n, c[p].bad AS bad, ed[p - 1] AS lo, ed[p] AS hi FROM (SELECT c, ed, unnest(range(1, len(c) + 1)) AS p FROM last_{f})"
         for i, f in enumerate(FEATURES)
@@ -157,6 +165,9 @@ def all_sql() -> dict[str, str]:
         "woe_unmerged": f"{_bins(0.05, 3)} {_BIN_ROWS}",
         "woe_merged": f"{_bins(0.05, 1)} {_BIN_ROWS}",
         "woe_merged_thin": f"{_bins(0.10, 1)} {_BIN_ROWS}",
+        "woe_bin_labels": f"""{_bins(0.05, 1, "adjacent")}
+            SELECT feature, bin, format('({{:.4g}}, {{:.4g}}]', coalesce(lo, '-inf'::DOUBLE), coalesce(hi, 'inf'::DOUBLE)) AS label,
+                   round(lo, 6) AS lo, round(hi, 6) AS hi, n, bad AS n_bad, round(rate, 4) AS bad_rate, round(woe, 4) AS woe, round(iv, 4) AS iv FROM bins""",
         "iv_summary": f"""{_bins(0.05, 1)}, k AS (SELECT *, lag(rate) OVER (PARTITION BY feature ORDER BY bin) AS before FROM bins),
             s AS (SELECT feature, sum(iv) AS v, count(*) AS k,
                   coalesce(bool_and(rate >= before), true) OR coalesce(bool_and(rate <= before), true) AS monotonic FROM k GROUP BY feature)
@@ -208,6 +219,8 @@ def all_sql() -> dict[str, str]:
         "ablation_narrative_fixture": f"""SELECT name, CASE WHEN abs(a1 - a0) < 0.01e0 AND r0 - r1 > 0.02e0 THEN 'cosmetic' WHEN a1 - a0 > 0.01e0 THEN 'driver' ELSE 'neutral' END AS narrative_code
             FROM (VALUES {ablations}) AS t(name, a0, a1, r0, r1)""",
         "parcelling": f"{PARCEL} SELECT app_id, round(inferred, 6) AS inferred FROM i",
+        "parcelled_labels": f"""{PARCEL} SELECT app_id,
+            CAST(('0x' || substr(md5(CAST(app_id AS VARCHAR) || ':7'), 1, 12))::BIGINT / 281474976710656e0 < inferred AS INTEGER) AS label FROM i""",
         "parcelling_sweep": f"""{PARCEL}, k AS (SELECT unnest([1e0, 1.5e0, 2e0, 3e0, 4e0]) AS k),
             s AS (SELECT k, avg(least(rate * k, 0.999e0)) AS inf, avg(defaulted) AS act FROM r, k GROUP BY k)
             SELECT k AS multiplier, round(inf, 6) AS inferred_rate, round(act, 6) AS actual_rate, round(inf - act, 6) AS signed_error,
