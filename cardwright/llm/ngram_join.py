@@ -18,8 +18,9 @@ differ in no more bits than the sets differ in elements, so a larger distance
 proves that two sets do not link. A sketch has four bits or more per shingle,
 within bounds, and folds to half its length to meet a shorter one. Of the remaining pairs a group reports a
 minimum spanning forest; these are verified on the texts' own shingles. Where a
-forest edge turns out not to be a link, every pair of that group that is still
-possible and joins two components is verified as well, so no link is lost.
+forest edge turns out not to be a link, and no other links join its ends, every
+pair of that group that is still possible and joins two components is verified
+as well, so no link is lost.
 
 Groups above BLOCK members are dealt as pairs of blocks over several tasks:
 first every block with itself and with block 0, which is linear in the group
@@ -50,7 +51,7 @@ from .shingles import mix, shingle_sets, shingles
 
 BAND_RATIO = (7, 5)
 SKETCH_BITS = (512, 16_384)
-BLOCK = 768
+BLOCK = 1024
 TARGET = 5.5
 #: (parts of a partition n2, parts that may differ k2), by rising number of signatures.
 SCHEMES = ((1, 0), (3, 1), (4, 2), (5, 2))
@@ -403,7 +404,13 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
         return connected_components(reduce(DataFrame.unionByName, [c.filter("linked").select("a", "b") for c in checks]))
 
     def doubted(pairs: DataFrame, seen: DataFrame) -> DataFrame:
-        return pairs.join(seen.filter("NOT linked"), ["a", "b"], "left_semi").select(*group).distinct()
+        """Groups with a forest edge that is no link and whose ends nothing else has joined: in
+        all others the forest's trees are joined up, and no two trees have a possible pair."""
+        failed = seen.filter("NOT linked").select("a", "b")
+        for side in ("a", "b"):
+            failed = failed.join(found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+        apart = failed.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        return pairs.join(apart, ["a", "b"], "left_semi").select(*group).distinct()
 
     # Sets that agree in the half of the key that signatures carry are candidates of their own.
     twins = (
@@ -419,7 +426,7 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     first = candidates(near.withColumn("component", F.col("set_id")), all_pairs=False)
     checks = [verified(first.select("a", "b").unionByName(twins))]
     found = merged(checks)
-    doubtful = near.join(doubted(first, checks[0]), group, "left_semi")
+    seconds = [(near, first)]
     done = [placed, near, first]
     if not placed.filter("last > 1").isEmpty():
         # All other pairs of blocks, where the members of a group are not all in one component by now.
@@ -432,9 +439,11 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
         second = candidates(far, all_pairs=False)
         checks.append(verified(second))
         found = merged(checks)
-        doubtful = doubtful.unionByName(far.drop("component").join(doubted(second, checks[1]), group, "left_semi"))
+        seconds.append((far.drop("component"), second))
         done += [far, second]
-    doubtful = materialise(doubtful, "doubtful")
+    doubtful = materialise(reduce(DataFrame.unionByName, [
+        rows.join(doubted(pairs, seen), group, "left_semi") for (rows, pairs), seen in zip(seconds, checks)
+    ]), "doubtful")
     if not doubtful.isEmpty():
         again = candidates(with_component(doubtful, found), all_pairs=True)
         checks.append(verified(again))
