@@ -51,7 +51,7 @@ from .shingles import mix, shingle_sets, shingles
 
 BAND_RATIO = (7, 5)
 SKETCH_BITS = (512, 16_384)
-BLOCK = 1024
+BLOCK = 4096
 TARGET = 5.5
 #: (parts of a partition n2, parts that may differ k2), by rising number of signatures.
 SCHEMES = ((1, 0), (3, 1), (4, 2), (5, 2))
