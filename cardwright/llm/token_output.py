@@ -133,10 +133,11 @@ class ChunkEncoder(WholeEncoder):
     Arrow cuts a batch into chunks and finds its distinct ones; only these meet
     the cache. Chunks of plain Latin text are lower-cased and cut as the
     tokenizer cuts them (``_piece`` is its pattern), and its model encodes the
-    unknown pieces. Other chunks go through the whole tokenizer one by one.
+    unknown pieces. Other chunks, those with white space beyond ASCII among
+    them, go through the whole tokenizer one by one.
     """
 
-    _plain = re.compile("[\t-\r -~\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]*")
+    _plain = re.compile("[\t-\r -~\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e]*")
     _piece = re.compile(r"[a-z\xb5\xdf-\xf6\xf8-\u017f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z0-9\xb5\xdf-\xf6\xf8-\u017f]+")
 
     def __init__(self, path: str):
@@ -340,6 +341,8 @@ def write_token_file(
     Documents follow each other in ascending ``order_by`` (nulls first; rows
     with equal keys in any order). Null text counts as empty, so it gives the
     end id alone. Columns other than doc_id, text and the order are not read.
+    doc_id is kept as a long: one that is no number becomes null, or is an
+    error in ANSI mode.
     An empty table gives a file without shards.
     """
     spark = docs.sparkSession

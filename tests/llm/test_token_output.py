@@ -48,6 +48,31 @@ def test_chunks_give_the_library_s_ids(library):
     assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
 
 
+def same_ids(library, texts):
+    ids, sizes = ChunkEncoder(PATH).encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    return [t for t, w, a, b in zip(texts, want, ends - sizes, ends) if ids[a:b].tolist() != w.ids]
+
+
+def test_every_plain_and_every_white_character(library):
+    """Alone, before and after a letter, between, behind an apostrophe and between spaces."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = [c for c in every if c.isspace() or c < "\u3100" or ChunkEncoder._plain.fullmatch(c)]
+    assert not same_ids(library, [t for c in some for t in (c, f"a{c}", f"{c}a", f"a{c}b", f"1{c}'s", f"'{c}ll", f"foo {c} bar")])
+
+
+def test_texts_over_all_planes(library):
+    rng = random.Random(5)
+    near = [*map(chr, range(0x20, 0x250)), *map(chr, range(0x2000, 0x2070)), *"\u00a0\u1680\u202f\u3000\u0085\ufeff"]
+
+    def one():
+        c = rng.randrange(0x110000)
+        return rng.choice(near) if rng.random() < 0.8 or 0xD800 <= c < 0xE000 else chr(c)
+
+    assert not same_ids(library, ["".join(one() for _ in range(rng.randint(0, 12))) for _ in range(60_000)])
+
+
 def test_a_small_cache_gives_the_same_ids(library, monkeypatch):
     monkeypatch.setattr(token_output, "CACHE_WORDS", 50)
     monkeypatch.setattr(token_output, "BLOCK_CHUNKS", 7)
@@ -69,7 +94,7 @@ def test_another_tokenizer_file(spark, make_docs, tmp_path):
     assert got == {d: own.encode(t or "", add_special_tokens=False).ids + [50256] for d, t in rows}
 
 
-@pytest.mark.parametrize("rows", [[r[:2] for r in ODD_ROWS], []])
+@pytest.mark.parametrize("rows", [[r[:2] for r in ODD_ROWS] + [(20, "Il a dit\u00a0: bonjour"), (21, "a\u00a0b \u00a0 it's\u00a0ok\u202f!\u3000\u6f22")], []])
 def test_file_round_trip(spark, make_docs, library, tmp_path, rows):
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"
     write_token_file(make_docs(rows).repartition(3), path, PATH)
