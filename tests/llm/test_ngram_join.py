@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cardwright.llm.ngram_join as join
+from cardwright.llm import linking
 from cardwright.llm.ngram_join import drop_near_duplicates, ngram_components
 from tests.llm.conftest import ODD_ROWS
 
@@ -69,25 +70,63 @@ def test_sketches_fold_and_bound_the_difference():
         a, b = rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, m, dtype=np.uint64)
         both = rng.integers(0, 2**63, 500, dtype=np.uint64)
         one, two = np.concatenate([a, both]), np.concatenate([b, both])
-        rows = join.folded([join.sketch(one), join.sketch(two)])
+        rows = linking.folded([linking.sketch(one), linking.sketch(two)])
         apart = int(np.bitwise_count(rows[0] ^ rows[1]).sum())
         assert apart <= n + m and (apart > 0.7 * (n + m) or n + m > 5000)
 
 
 def test_groups_dealt_as_blocks(make_docs, monkeypatch):
-    monkeypatch.setattr(join, "BLOCK", 4)
+    monkeypatch.setattr(linking, "BLOCK", 4)
     rows = near_copies(3)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows), 3, 80, 100).collect())
     assert got == brute(rows, 3, 80, 100)
 
 
 def test_coarse_sketches_lose_no_link(make_docs, monkeypatch):
-    monkeypatch.setattr(join, "_forest", lambda bits, n, num, den: [(i, i + 1) for i in range(len(n) - 1)])
+    monkeypatch.setattr(linking, "_forest", lambda bits, n, num, den: [(i, i + 1) for i in range(len(n) - 1)])
     rows = near_copies(5)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows), 3, 80, 100).collect())
     assert got == brute(rows, 3, 80, 100)
 
 
+def borderline(seed, n):
+    """One base text, each copy with so many changes that about half of the pairs just fail."""
+    rng = random.Random(seed)
+    base = [str(rng.randrange(300)) for _ in range(120)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(300)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("block, nearest", [(2048, 1), (8, 1), (8, 4)])
+def test_rounds_find_the_links_that_forests_miss(make_docs, monkeypatch, block, nearest):
+    """Clusters as a whole and by signature group; several rounds, as every component starts with one pair."""
+    monkeypatch.setattr(linking, "BLOCK", block)
+    monkeypatch.setattr(linking, "NEAREST", nearest)
+    # The farthest possible pairs first, so that as many as can be are no links.
+    real = linking._distance_limit
+    monkeypatch.setattr(linking, "_forest", lambda bits, n, num, den: [(0, i) for i in range(1, len(n)) if real(n[:1], n[i:i + 1], num, den)[0] >= 0])
+    rows = borderline(7, 60)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows), 5, 80, 100).collect())
+    want = brute(rows, 5, 80, 100)
+    assert got == want and len({c for _, _, c in want}) > 2
+
+
+def test_nearest_pairs_name_every_component(monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    n, component = np.full(40, 2000), np.repeat([5, 6, 7, 8], [20, 10, 6, 4])
+    every = {(i, j) for i in range(40) for j in range(40) if component[i] != component[j] and component[i] != 5}
+    pairs, more = linking._nearest(bits, n, component, 90, 100, 10_000)
+    assert set(pairs) == every and not more
+    pairs, more = linking._nearest(bits, n, component, 90, 100, 3)
+    assert more and Counter(component[i] for i, _ in pairs) == {6: 3, 7: 3, 8: 3}
+
+
 def test_odd_rows(make_docs):
     rows = [r[:2] for r in ODD_ROWS]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows)).collect())
@@ -151,7 +190,7 @@ def test_shared_signatures_across_batches():
         frame = pd.DataFrame(rows, columns=["sig", "low"])
         cuts = sorted(rng.sample(range(1, len(rows)), min(len(rows) - 1, rng.randint(0, 4))))
         parts = [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        got = sorted((r.sig, r.low, r.rank) for x in join._shared(iter(parts)) for r in x.itertuples())
+        got = sorted((r.sig, r.low, r.rank) for x in linking._shared(iter(parts)) for r in x.itertuples())
         want = []
         for s in {r[0] for r in rows}:
             ids = sorted({r[1] for r in rows if r[0] == s})
