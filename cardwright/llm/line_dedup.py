@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialise, may_hold
+from .common import key_filter, materialise, may_hold, release
 
 WINDOW = 3
 
@@ -40,17 +40,21 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     rows that repeat a doc_id with other text are told apart by the text's
     hash. An empty table gives an empty result. Other columns are not read.
 
-    Windows travel as two hashes (96 bits). Counts and first places are summed
-    on the map side, and a window that a third of all texts hold is joined to
-    its first place, which skewed joins may split. Of the texts only those cross
-    the network that a filter of 2 MB cannot tell to be untouched.
+    Windows are cut once and written as two hashes (96 bits), on which equality
+    rests; lines are not compared again. Counts and first places are summed on
+    the map side, and the table of windows is joined to the first places, so a
+    window that a third of all texts hold is a skewed key that the join splits.
+    Of the texts only those cross the network that a filter of key hashes cannot
+    tell to be untouched.
     """
     keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text"))
-    windows = _windows(keyed.withColumn("lines", _lines()))
-    repeated = (
+    # Both sides of the join are read from tables, so that adaptive execution may split a hot window.
+    windows = materialise(_windows(keyed.withColumn("lines", _lines())), "windows")
+    repeated = materialise(
         windows.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "pos")).alias("first"))
-        .filter("n > 1").select("h1", "h2", "first")
+        .filter("n > 1").select("h1", "h2", "first"),
+        "repeated-windows",
     )
     later = windows.join(repeated, ["h1", "h2"]).filter(~F.struct("d", "t", "pos").eqNullSafe(F.col("first")))
     covered = materialise(
@@ -58,6 +62,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         .groupBy("d", "t").agg(F.collect_set("pos").alias("covered")),
         "covered-lines",
     )
+    release(windows, repeated)
     # Texts whose hash falls in no cell of the covered ones need not move; only the others meet their covered lines.
     hit = may_hold(key_filter(covered, F.col("t")), F.col("t"))
     marked = keyed.withColumn("mark", hit)

@@ -430,3 +430,11 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
     return sets.drop("sketch"), by_set
 
 
+
+
+def component_rows(sets: DataFrame, by_set: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, from :func:`linked_sets`; a row without words is its own component."""
+    return sets.join(by_set, ["high", "low"], "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .linking import linked_sets, row_key
+from .linking import component_rows, linked_sets, row_key
 from .shingles import mix
 
 BAND_RATIO = (7, 5)
@@ -109,11 +109,7 @@ def ngram_components(docs: DataFrame, words: int = 3, num: int = 90, den: int =
     the result; a null doc_id counts only where no other is in its component.
     An empty table gives an empty result. Only doc_id and text are read.
     """
-    sets, by_set = _linked(docs.select("doc_id", "text"), words, num, den)
-    return sets.join(by_set, ["high", "low"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return component_rows(*_linked(docs.select("doc_id", "text"), words, num, den))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

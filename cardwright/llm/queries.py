@@ -1,4 +1,4 @@
-"""The driver's queries of the ten operators, with production parameters."""
+"""The driver's queries of the thirteen operators, with production parameters."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import conversation_digests
+from .collocations import collocations
 from .common import table, work_path
 from .decontamination import find_contamination
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle, restore_text
 from .html_text import extract_text
 from .language_id import fit_language_model, held_out, identify
 from .line_dedup import line_dedup
+from .minhash import minhash_components
 from .ngram_join import ngram_components
 from .source_mix import mix_sources
 from .token_output import read_token_file, write_token_file
@@ -84,6 +87,44 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed="7", percent=100, spm_percent=50)
+    back = restore_text(made.withColumn("output_sha256", F.sha2("output", 256)))
+    return back.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"), words=5, num=85, den=100)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
+#: Components of documents by exact Jaccard similarity of their shingles.
+_COMPONENTS = r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < %(words)d THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - %(words)d + 2), lambda i: array_to_string(w[i:i + %(words)d - 1], ' ')))
+                   END AS s FROM w
+        ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= %(num)d * (any_value(a.n) + any_value(b.n) - count(*))
+        ), both_ways AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        r AS (
+            SELECT a AS doc_id, a AS other FROM both_ways
+            UNION SELECT r.doc_id, l.b FROM r JOIN both_ways l ON l.a = r.other
+        ), c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id%(more)s
+        FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+    """
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id,
@@ -205,25 +246,54 @@ SQL: dict[str, str] = {
                     WHEN mined_rule IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, mined_rule
         FROM r
     """,
-    "op8_ngram_join": r"""
-        WITH RECURSIVE w AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    "op8_ngram_join": _COMPONENTS % {"words": 3, "num": 90, "more": ""},
+    "op12_minhash": _COMPONENTS % {"words": 5, "num": 85, "more": ", coalesce(c.component_id, s.doc_id) = s.doc_id AS kept"},
+    "op11_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                   sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+        ), c AS (
+            SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                   CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+        ), f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+        ), p AS (
+            SELECT *, array_to_string(u[1:low], '') AS a, array_to_string(u[low + 1:high], '') AS b, array_to_string(u[high + 1:], '') AS c FROM f
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                      ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p
+    """,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        o AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)
+        ), f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM o GROUP BY lang, k, phrase),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+        held AS (
+            SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE k = 3)
+            GROUP BY lang, phrase
+        ), x AS (
+            SELECT c.* FROM c LEFT JOIN held ON c.lang = held.lang AND c.phrase = held.phrase WHERE longer IS NULL OR 100 * longer < 50 * a
+        ), cuts AS (
+            SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+            FROM x, (VALUES (1), (2)) AS s(cut) WHERE cut < k
         ), s AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
-                   END AS s FROM w
-        ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-        p AS (
-            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
-            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
-        ), both_ways AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-        r AS (
-            SELECT a AS doc_id, a AS other FROM both_ways
-            UNION SELECT r.doc_id, l.b FROM r JOIN both_ways l ON l.a = r.other
-        ), c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
-        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
-        FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+            SELECT cuts.*, l.a AS l, r.a AS r, (1000000 * cuts.a * cuts.a) // (l.a * r.a) AS score
+            FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = cuts.first JOIN f r ON r.lang = cuts.lang AND r.phrase = cuts.rest
+        ), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+               n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN n USING (lang) WHERE rank <= 2000
     """,
     "op10_line_dedup": r"""
         WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
@@ -247,7 +317,7 @@ SQL: dict[str, str] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_chat_format, op3_source_mix, op4_decontamination, op5_html_text, op6_language_id,
-        op7_url_filter, op8_ngram_join, op9_token_output, op10_line_dedup,
+        op7_url_filter, op8_ngram_join, op9_token_output, op10_line_dedup, op11_fill_in_middle, op12_minhash, op13_collocations,
     )}
 
 

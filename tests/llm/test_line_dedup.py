@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cardwright.llm import line_dedup as line_dedup_module
 from cardwright.llm.line_dedup import line_dedup
 from tests.llm.conftest import ODD_ROWS
 
@@ -40,3 +41,31 @@ def test_odd_rows(make_docs):
     assert sorted((r["n_removed"], r["text"]) for r in line_dedup(make_docs(twice)).collect()) in (
         [(0, "a\nb\nc"), (0, "a\nb\nc"), (3, "x")], [(0, "x\na\nb\nc"), (3, ""), (3, "")])
     assert line_dedup(make_docs([])).collect() == []
+
+
+def test_a_hot_window_is_split(spark, make_docs, monkeypatch):
+    """The join's final plan deals a window that most texts hold out to several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.files.maxPartitionBytes": "32k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    real, plans = line_dedup_module.materialise, []
+
+    def watched(df, name, *more):
+        if name == "covered-lines":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(line_dedup_module, "materialise", watched)
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(i, "same one\nsame two\nsame three" if i % 8 else f"own {i}\n\nother {i}") for i in range(20_000)]
+        got = line_dedup(make_docs(rows).repartition(24)).filter("n_removed > 0").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == 20_000 * 7 // 8 - 1 and "skew=true" in plans[0]
