@@ -24,17 +24,6 @@ def band_closed_open(x: Column, inner: list[float]) -> Column:
     return F.when(x.isNull(), None).otherwise(reduce(lambda a, b: a + b, steps, F.lit(0))).cast("int")
 
 
-def sorted_index(x: Column, edges: list[float]) -> Column:
-    """How many of the sorted ``edges`` are less than ``x``, by halving: for many edges. Null counts as none."""
-    def halve(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(x > F.lit(edges[middle]), halve(middle + 1, high)).otherwise(halve(low, middle))
-
-    return halve(0, len(edges))
-
-
 # Upper ends of the information-value bands.
 IV_BANDS = ((0.02, "useless"), (0.10, "weak"), (0.30, "medium"), (0.50, "strong"))
 IV_TOP = "SUSPICIOUS - check leakage"

@@ -37,6 +37,39 @@ def adverse_impact(df: DataFrame, approved: str, group: str) -> DataFrame:
     )
 
 
+def intersectional_impact(df: DataFrame, approved: str, groups: list[str], least: int = 30) -> DataFrame:
+    """Approval over the lattice of ``groups``: a row for each cell of each set of
+    attributes, from one cube over the table.
+
+    (attributes, values, n, rate, ratio, small, flagged): the attributes' names
+    and values in their order, joined by " x "; the rate over the best one among
+    the same attributes' cells of at least ``least`` rows. Smaller cells are
+    marked, have a ratio too, and are never flagged; others are below 0.80.
+    Rows where an attribute is null form cells of their own.
+    """
+    names = {g: F.coalesce(F.col(g).cast("string"), F.lit("(null)")) for g in groups}
+    plain = df.select(F.col(approved).cast("double").alias("_ok"), *[e.alias(f"_{i}") for i, e in enumerate(names.values())])
+    keys = [f"_{i}" for i in range(len(groups))]
+    cube = plain.cube(*keys).agg(F.grouping_id().alias("_set"), F.count("_ok").alias("n"), F.avg("_ok").alias("rate"))
+    joined = lambda parts: F.array_join(F.array_compact(F.array(*parts)), " x ")
+    within = lambda i: (F.shiftright("_set", len(groups) - 1 - i).bitwiseAND(1)) == 0
+    cells = cube.filter(F.col("_set") < 2 ** len(groups) - 1).select(
+        joined([F.when(within(i), F.lit(g)) for i, g in enumerate(groups)]).alias("attributes"),
+        joined([F.when(within(i), F.col(k)) for i, k in enumerate(keys)]).alias("values"), "n", "rate",
+    )
+    cells = small(cells)
+    best = cells.filter(F.col("n") >= least).groupBy("attributes").agg(F.max("rate").alias("best"))
+    judged = cells.join(F.broadcast(best), "attributes", "left").withColumn("ratio", ratio(F.col("rate"), F.col("best"))).withColumn("small", F.col("n") < least)
+    return judged.select("attributes", "values", "n", "rate", "ratio", "small", (~F.col("small") & F.coalesce(F.col("ratio") < FOUR_FIFTHS, F.lit(False))).alias("flagged"))
+
+
+def worst_cells(cells: DataFrame) -> DataFrame:
+    """(attributes, worst_ratio, worst_values, least_n, n_flagged) of :func:`intersectional_impact`: the worst of the cells that are large enough, and the size of the least cell."""
+    large = F.when(~F.col("small"), F.struct("ratio", "values"))
+    out = cells.groupBy("attributes").agg(F.min(large).alias("w"), F.min("n").alias("least_n"), F.count(F.when(F.col("flagged"), 1)).alias("n_flagged"))
+    return out.select("attributes", F.col("w.ratio").alias("worst_ratio"), F.col("w.values").alias("worst_values"), "least_n", "n_flagged")
+
+
 def _cells(df: DataFrame, approved: str, group: str) -> dict[tuple[int, int], int]:
     rows = df.groupBy(F.col(group).cast("int").alias("g"), F.col(approved).cast("int").alias("a")).agg(F.count(F.lit(1)).alias("n")).collect()
     return {(r["g"], r["a"]): r["n"] for r in rows}
@@ -98,13 +131,15 @@ def standardised(df: DataFrame, features: list[str], *others: str) -> DataFrame:
 
 
 def proxy_reconstruction(df: DataFrame, features: list[str], group: str) -> float:
-    """How well the features give the group away: AUC of a logistic probe on the rows that it was fitted on."""
-    x = standardised(df, features, F.col(group).alias("g"))
-    intercept, betas = fit_logistic(x, features, "g")
-    z = F.lit(intercept)
-    for f, b in zip(features, betas):
-        z = z + F.lit(b) * F.col(f)
-    return ranking_metrics(x.select(z.alias("z"), "g"), "z", "g").first()["auc"]
+    """How well the features give the group away: AUC of a logistic probe on the
+    rows that it was fitted on. These are kept while Newton's steps read them."""
+    with kept(df.select(group, *[F.col(f).cast("double").alias(f) for f in features])) as rows:
+        x = standardised(rows, features, F.col(group).alias("g"))
+        intercept, betas = fit_logistic(x, features, "g", grouped=False)
+        z = F.lit(intercept)
+        for f, b in zip(features, betas):
+            z = z + F.lit(b) * F.col(f)
+        return ranking_metrics(x.select(z.alias("z"), "g"), "z", "g").first()["auc"]
 
 
 def proxy_ablation(

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binning import Binning
+from .quantiles import kept
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,9 @@ class Scorecard:
         return F.lit(self.base) - F.lit(self.config.factor) * total
 
     def points(self, feature: str) -> list[float]:
-        """Points of each bin, not rounded; over all features they sum up to the score."""
+        """Points of each bin and reserved cell, not rounded; over all features they sum up to the score."""
         share = self.base / len(self.coefficients)
-        return [share - self.config.factor * self.coefficients[feature] * b.woe for b in self.binnings[feature].bins]
+        return [share - self.config.factor * self.coefficients[feature] * b.woe for b in self.binnings[feature].cells]
 
 
 def fit_scorecard(
@@ -87,29 +87,77 @@ def fit_scorecard(
     return Scorecard(binnings, intercept, dict(zip(names, betas)), config, intercept_mode)
 
 
-def fit_logistic(df: DataFrame, names: list[str], target: str, weight: str | None = None) -> tuple[float, list[float]]:
-    """(intercept, coefficients) of a ridge-penalised logistic fit on grouped rows."""
-    w = F.col(weight) if weight else F.lit(1.0)
+def fit_logistic(
+    df: DataFrame, names: list[str], target: str, weight: str | None = None, grouped: bool = True, ridge: float = 1.0,
+    steps: int = 50, tolerance: float = 1e-11,
+) -> tuple[float, list[float]]:
+    """(intercept, coefficients) of a logistic fit with ``ridge`` / 2 times the squared norm as penalty (none on the intercept).
+
+    Newton's method: a step takes one aggregate over the rows, the sums of the
+    gradient and of the upper half of the second derivatives, and solves for as
+    many unknowns as there are columns. It is halved while it does not lower the
+    penalised loss. ``grouped`` first adds up rows that are alike, which is right
+    for weights of evidence; continuous inputs are read as they are, and are best
+    kept or written, as every step reads them. Rows with a null are left out.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     inputs = [f"x{i}" for i in range(len(names))]
-    rows = df.select(*[F.col(c).alias(x) for c, x in zip(names, inputs)], F.col(target).alias("label"), w.alias("w"))
-    grouped = rows.groupBy(*inputs, "label").agg(F.sum("w").alias("w"))
-    grouped = VectorAssembler(inputCols=inputs, outputCol="x").transform(grouped).select("x", "label", "w").cache()
-    total = grouped.agg(F.sum("w")).first()[0] or 0.0
-    if not total:
-        grouped.unpersist()
-        return 0.0, [0.0] * len(names)
-    model = LogisticRegression(
-        featuresCol="x", labelCol="label", weightCol="w", maxIter=1000, tol=1e-12, regParam=1.0 / total, elasticNetParam=0.0, standardization=False,
-    ).fit(grouped)
-    grouped.unpersist()
-    return float(model.intercept), [float(b) for b in model.coefficients]
+    rows = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(names, inputs)], F.col(target).cast("double").alias("y"), w.alias("w")).dropna()
+    if not grouped:
+        return _newton(rows, inputs, ridge, steps, tolerance)
+    with kept(rows.groupBy(*inputs, "y").agg(F.sum("w").alias("w"))) as held:
+        return _newton(held, inputs, ridge, steps, tolerance)
+
+
+def newton_sums(rows: DataFrame, inputs: list[str], beta: np.ndarray) -> DataFrame:
+    """One row: the loss, the gradient (g0, g1, ...) and second derivatives (h0_0, h0_1, ...) of the logistic loss at ``beta``, the intercept first."""
+    x = [F.lit(1.0), *map(F.col, inputs)]
+    z = F.lit(float(beta[0]))
+    for b, c in zip(beta[1:], inputs):
+        z = z + F.lit(float(b)) * F.col(c)
+    at = rows.select("*", z.alias("z")).select("*", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
+    # log(1 + e^z) - y z without overflow.
+    loss = F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("y") * F.col("z")
+    at = at.select("*", (F.col("w") * (F.col("p") - F.col("y"))).alias("r"), (F.col("w") * F.col("p") * (1 - F.col("p"))).alias("v"))
+    return at.agg(
+        F.sum(F.col("w") * loss).alias("loss"), *[F.sum(F.col("r") * c).alias(f"g{i}") for i, c in enumerate(x)],
+        *[F.sum(F.col("v") * a * b).alias(f"h{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j],
+    )
+
+
+def _newton(rows: DataFrame, inputs: list[str], ridge: float, steps: int, tolerance: float) -> tuple[float, list[float]]:
+    n = len(inputs) + 1
+    penalty = np.diag([0.0, *[ridge] * (n - 1)])
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+        s = newton_sums(rows, inputs, beta).first()
+        if s["loss"] is None:
+            return None
+        h = np.array([[s[f"h{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+        g = np.array([s[f"g{i}"] for i in range(n)])
+        return s["loss"] + beta @ penalty @ beta / 2, g + penalty @ beta, h + penalty
+
+    beta = np.zeros(n)
+    now = at(beta)
+    if now is None:
+        return 0.0, [0.0] * len(inputs)
+    for _ in range(steps):
+        step = np.linalg.lstsq(now[2], now[1], rcond=None)[0]
+        if np.abs(step).max() <= tolerance * (1 + np.abs(beta).max()):
+            break
+        tried = at(beta - step)
+        while tried[0] > now[0] * (1 + 1e-12) and np.abs(step).max() > tolerance:
+            step = step / 2
+            tried = at(beta - step)
+        beta, now = beta - step, tried
+    return float(beta[0]), [float(b) for b in beta[1:]]
 
 
 def points_table(spark: SparkSession, card: Scorecard) -> DataFrame:
     """(feature, bin, label, n, bad_rate, woe, points), points to one decimal."""
     rows = [
-        (f, i, b.label, b.n, b.bad_rate, b.woe, p)
-        for f in card.coefficients for i, (b, p) in enumerate(zip(card.binnings[f].bins, card.points(f)))
+        (f, i, b.label, b.n, b.bad_rate if b.n else None, b.woe, p)
+        for f in card.coefficients for i, (b, p) in enumerate(zip(card.binnings[f].cells, card.points(f)))
     ]
     df = spark.createDataFrame(rows, "feature string, bin int, label string, n long, bad_rate double, woe double, points double")
     return df.withColumns({"bad_rate": F.round("bad_rate", 4), "woe": F.round("woe", 4), "points": F.round("points", 1)})

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credit, oracles
+from . import credit, fitted, oracles, surface
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*credit.WITH_ORACLE, *credit.ROWS_ONLY)}
+    return {f.__name__: f for f in (*credit.WITH_ORACLE, *credit.ROWS_ONLY, *surface.QUERIES, *fitted.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    return oracles.all_sql() | surface.oracle_sql()

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import binning, boosting, evaluation, fairness, rejects, scorecard
+from ..operators.quantiles import kept
 from ..sources.applications import (
     APPROVED, FEATURES, GROUP, TARGET, add_proxy_features, app_view, as_features, funded, positional_split, rejected, synthetic_applications,
 )
-from .fixtures import ABLATIONS, CANDIDATES, fixed_card, scored
+from ..sources.work import release, written
+from .fixtures import fixed_card, scored
 
 CARD_FEATURES = FEATURES
 #: Of the search for less discriminatory models: as in the original, region_risk shows through its proxies only.
@@ -84,8 +86,12 @@ def bin_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaling, and the points that stand for the odds of the funded applications."""
     c = scorecard.ScorecardConfig()
-    return _rounded(spark.createDataFrame([(c.factor, c.offset)], "factor double, offset double"))
+    odds = F.sum(1 - F.col(TARGET)) / F.sum(TARGET)
+    return _rounded(funded(app_view(spark, sf_dir)).agg(
+        F.lit(c.factor).alias("factor"), F.lit(c.offset).alias("offset"), odds.alias("odds"), (F.lit(c.offset) + F.lit(c.factor) * F.ln(odds)).alias("score_at_odds"),
+    ))
 
 
 def card_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +102,14 @@ def card_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorecard.points_table(spark, fixed_card()).select("feature", "bin", "woe", "points")
+    """Points of the fixed card's bins, with the funded applications in each."""
+    card = fixed_card()
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), b.index(F.col(f).cast("double")).alias("bin")) for f, b in card.binnings.items()])
+    counts = funded(app_view(spark, sf_dir)).select(TARGET, F.explode(cells).alias("c")).groupBy("c.feature", "c.bin").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(TARGET), 4).alias("bad_rate")
+    )
+    points = scorecard.points_table(spark, card).select("feature", "bin", "woe", "points")
+    return F.broadcast(points).join(counts, ["feature", "bin"], "left").select("feature", "bin", "woe", "points", F.coalesce("n", F.lit(0)).alias("n"), "bad_rate")
 
 
 def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,17 +164,33 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fairness.score_distribution(funded(scored(spark, sf_dir)), "pd_a", GROUP))
 
 
+def _fixed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio and AUC of the fixed scores and of their mean, on the table."""
+    apps = funded(scored(spark, sf_dir)).withColumn("pd_c", F.round((F.col("pd_a") + F.col("pd_b")) / 2, 9))
+    with kept(apps.select(TARGET, GROUP, "pd_a", "pd_b", "pd_c")) as rows:
+        found = {n: _air_and_auc(rows.select(TARGET, GROUP, F.col(c).alias("pd"))) for n, c in (("champion", "pd_a"), ("challenger", "pd_b"), ("mean", "pd_c"))}
+    return fairness.candidates_frame(spark, found)
+
+
 def lda_search_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(fairness.lda_search(fairness.candidates_frame(spark, CANDIDATES)))
+    return _rounded(fairness.lda_search(_fixed_candidates(spark, sf_dir)))
 
 
 def lda_conclusion_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fairness.lda_conclusion(fairness.lda_search(fairness.candidates_frame(spark, CANDIDATES)))
+    return fairness.lda_conclusion(fairness.lda_search(_fixed_candidates(spark, sf_dir)))
 
 
 def ablation_narrative_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(ABLATIONS, "name string, air_full double, air_ablated double, reconstruction_full double, reconstruction_ablated double")
-    return fairness.ablation_narrative(rows).select("name", "narrative_code")
+    """What it would mean for the first fixed score to give way to the second, with the AUC for the group as its reconstruction."""
+    with kept(funded(scored(spark, sf_dir)).select(TARGET, GROUP, "pd_a", "pd_b")) as rows:
+        seen = []
+        for c in ("pd_a", "pd_b"):
+            one = rows.select(TARGET, GROUP, F.col(c).alias("pd"))
+            seen.append((_air_and_auc(one)[0], evaluation.ranking_metrics(one, "pd", GROUP).first()["auc"]))
+    (air_a, group_a), (air_b, group_b) = seen
+    names = "name string, air_full double, air_ablated double, reconstruction_full double, reconstruction_ablated double"
+    swaps = [("a to b", air_a, air_b, group_a, group_b), ("b to a", air_b, air_a, group_b, group_a)]
+    return _rounded(fairness.ablation_narrative(spark.createDataFrame(swaps, names)))
 
 
 def parcelling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,22 +269,21 @@ def proxy_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proxy_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir, proxies=True)
     names = LDA_FEATURES
-    out = fairness.proxy_ablation(train.cache(), test.cache(), names, PROXIES, fit_predict, GROUP)
-    train.unpersist(), test.unpersist()
+    out = fairness.proxy_ablation(train, test, names, PROXIES, fit_predict, GROUP)
     return _rounded(spark.createDataFrame([out]), 4)
 
 
 def _ablation(train: DataFrame, test: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(the row of :func:`fairness.ablation_narrative`, {card: its scored test rows}), of the cards with and without proxies."""
-    kept: dict[str, DataFrame] = {}
+    """(the row of :func:`fairness.ablation_narrative`, {card: its scored test rows, written}), of the cards with and without proxies."""
+    scores: dict[str, DataFrame] = {}
 
     def fit(train: DataFrame, test: DataFrame, names: list[str]) -> DataFrame:
         name = "champion" if PROXIES[0] in names else "scorecard_without_proxies"
-        kept[name] = fit_predict(train, test, names).select(TARGET, GROUP, "pd").cache()
-        return kept[name]
+        scores[name] = written(fit_predict(train, test, names).select(TARGET, GROUP, "pd"), name)
+        return scores[name]
 
     out = fairness.proxy_ablation(train, test, LDA_FEATURES, PROXIES, fit, GROUP)
-    return train.sparkSession.createDataFrame([("proxies", *out.values())], f"name string, {', '.join(f'{k} double' for k in out)}"), kept
+    return train.sparkSession.createDataFrame([("proxies", *out.values())], f"name string, {', '.join(f'{k} double' for k in out)}"), scores
 
 
 def _air_and_auc(scores: DataFrame) -> tuple[float, float]:
@@ -265,23 +293,23 @@ def _air_and_auc(scores: DataFrame) -> tuple[float, float]:
     return air, evaluation.ranking_metrics(scores, "pd", TARGET).first()["auc"]
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(the champion card, the card without proxies and the booster, fitted on the table; the row of the ablation)."""
-    train, test = (d.cache() for d in _split(spark, sf_dir, proxies=True))
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the champion card, the card without proxies and the booster, fitted on the table; the row of the ablation; the champion's scores)."""
+    train, test = _split(spark, sf_dir, proxies=True)
     row, scores = _ablation(train, test)
     pick = lambda d: as_features(d, LDA_FEATURES, TARGET, GROUP)
     gbm = boosting.fit_gbt_candidate(pick(train), pick(test), LDA_FEATURES, TARGET, rounds=GBM_ROUNDS)
-    scores["gbm_challenger"] = gbm.select(TARGET, GROUP, F.round("pd", 9).alias("pd")).cache()
+    scores["gbm_challenger"] = written(gbm.select(TARGET, GROUP, F.round("pd", 9).alias("pd")), "gbm-challenger")
     found = {name: _air_and_auc(s) for name, s in scores.items()}
-    for d in (train, test, *scores.values()):
-        d.unpersist()
-    return fairness.candidates_frame(spark, found), row
+    champion = scores.pop("champion")
+    release(*scores.values())
+    return fairness.candidates_frame(spark, found), row, champion
 
 
-def alternatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(the judged candidates, the numbers of the ablation with their narrative), from one set of fits."""
-    candidates, row = _candidates(spark, sf_dir)
-    return _rounded(fairness.lda_search(candidates)), _rounded(fairness.ablation_narrative(row))
+def alternatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the judged candidates, the numbers of the ablation with their narrative, the champion's scored test rows), from one set of fits."""
+    candidates, row, champion = _candidates(spark, sf_dir)
+    return _rounded(fairness.lda_search(candidates)), _rounded(fairness.ablation_narrative(row)), champion
 
 
 def lda_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,42 +321,60 @@ def lda_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = (d.cache() for d in _split(spark, sf_dir, proxies=True))
-    row, scores = _ablation(train, test)
-    for d in (train, test, *scores.values()):
-        d.unpersist()
+    row, scores = _ablation(*_split(spark, sf_dir, proxies=True))
+    release(*scores.values())
     return fairness.ablation_narrative(row).select("name", "narrative_code")
 
 
+#: Directions of the features that have one.
+WAYS = {"income": -1, "dti": 1, "utilization": 1, "delinq_2y": 1, "inquiries_6m": 1}
+
+
+def monotone_params() -> boosting.BoosterParams:
+    return boosting.BoosterParams(rounds=MONOTONE_ROUNDS, bins=255, monotone=WAYS, patience=10)
+
+
 def gbm_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = (d.cache() for d in _split(spark, sf_dir))
-    ways = {"income": -1, "dti": 1, "utilization": 1, "delinq_2y": 1, "inquiries_6m": 1}
-    params = boosting.BoosterParams(rounds=MONOTONE_ROUNDS, depth=4, bins=255, monotone=ways, patience=10)
-    model = boosting.fit_monotone_booster(train, FEATURES, TARGET, params)
+    train, test = _split(spark, sf_dir)
+    model = boosting.fit_monotone_booster(train, FEATURES, TARGET, monotone_params())
     scores = test.select(TARGET, F.round(model.batch_pd(FEATURES), 9).alias("pd"))
     return _rounded(evaluation.model_summary(scores, {"gbm_monotone": "pd"}, TARGET), 4)
 
 
 def gbm_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = (d.cache() for d in _split(spark, sf_dir))
+    train, test = _split(spark, sf_dir)
     pick = lambda d: as_features(d, FEATURES, TARGET, GROUP)
     fitted = boosting.fit_gbt_candidate(pick(train), pick(test), FEATURES, TARGET, rounds=GBM_ROUNDS)
-    scores = fitted.select(TARGET, GROUP, F.round("pd", 9).alias("pd")).cache()
-    air, _ = _air_and_auc(scores)
-    return _rounded(evaluation.model_summary(scores, {"gbm": "pd"}, TARGET).withColumn("air", F.lit(air)), 4)
+    with kept(fitted.select(TARGET, GROUP, F.round("pd", 9).alias("pd"))) as scores:
+        air, _ = _air_and_auc(scores)
+        return _rounded(evaluation.model_summary(scores, {"gbm": "pd"}, TARGET).withColumn("air", F.lit(air)), 4)
 
 
-def parcelled_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apps = scored(spark, sf_dir)
-    labelled = rejects.hard_labels(rejects.parcelling(funded(apps), rejected(apps), "pd_a", TARGET), "inferred", "app_id")
+def funded_card_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All applications with ``pd`` of a card that is fitted on all funded ones."""
+    apps = app_view(spark, sf_dir)
+    return fit_predict(funded(apps), apps, CARD_FEATURES)
+
+
+def refit_with_rejects(apps: DataFrame) -> DataFrame:
+    """(auc_funded_only, auc_with_rejects, delta) on all of ``apps``, which hold the
+    funded card's ``pd``: rejects are parcelled by it, labelled, and stacked under the funded for a second card."""
+    labelled = rejects.hard_labels(rejects.parcelling(funded(apps), rejected(apps), "pd", TARGET), "inferred", "app_id")
     both = rejects.stack_inferred(funded(apps), labelled, TARGET)
-    before, after = fit_predict(funded(apps), apps, CARD_FEATURES), fit_predict(both, apps, CARD_FEATURES)
-    auc = [evaluation.ranking_metrics(s, "pd", TARGET).first()["auc"] for s in (before, after)]
-    return _rounded(spark.createDataFrame([(auc[0], auc[1], auc[1] - auc[0])], "auc_funded_only double, auc_with_rejects double, delta double"), 4)
+    after = fit_predict(both.drop("pd"), apps.drop("pd"), CARD_FEATURES)
+    auc = [evaluation.ranking_metrics(s, "pd", TARGET).first()["auc"] for s in (apps, after)]
+    return apps.sparkSession.createDataFrame([(auc[0], auc[1], auc[1] - auc[0])], "auc_funded_only double, auc_with_rejects double, delta double")
+
+
+def parcelled_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with kept(funded_card_scores(spark, sf_dir)) as apps:
+        return _rounded(refit_with_rejects(apps), 4)
 
 
 def synthetic_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apps = add_proxy_features(synthetic_applications(spark, 60_000))
+    """As many synthetic applications as the table has line items."""
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    apps = add_proxy_features(synthetic_applications(spark, n))
     return _rounded(apps.groupBy(APPROVED).agg(F.count(F.lit(1)).alias("n"), F.avg(TARGET).alias("default_rate"), F.corr("region_risk", "region_risk_proxy_a").alias("proxy_corr")), 4)
 
 

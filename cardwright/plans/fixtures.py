@@ -27,17 +27,6 @@ CARD_BINS = {
 CARD_BETAS = {"dti": -0.9, "delinq_2y": -0.75, "income": -1.1}
 CARD_INTERCEPT = -0.93
 
-#: Candidates (name, air, auc) of the search for less discriminatory alternatives.
-CANDIDATES = {
-    "champion": (0.80, 0.700), "fair_and_good": (0.85, 0.698), "fair_but_weak": (0.90, 0.650),
-    "no_difference": (0.801, 0.699), "fairest": (0.93, 0.697),
-}
-#: Rows of ablation numbers: name, air_full, air_ablated, reconstruction_full, reconstruction_ablated.
-ABLATIONS = [
-    ("still", 0.96, 0.963, 0.59, 0.52), ("moved", 0.96, 0.99, 0.59, 0.52), ("worse", 0.96, 0.93, 0.59, 0.52), ("nothing", 0.96, 0.962, 0.59, 0.585),
-]
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return app_view(spark, sf_dir).selectExpr("*", f"{PD_A} AS pd_a", f"{PD_B} AS pd_b")
 

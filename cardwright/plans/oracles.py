@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from ..sources.applications import FEATURES
-from .fixtures import ABLATIONS, APP_CTE, CANDIDATES, CARD_BETAS, CARD_BINS, CARD_INTERCEPT, SCORED_CTE
+from .fixtures import APP_CTE, CARD_BETAS, CARD_BINS, CARD_INTERCEPT, SCORED_CTE
 
 FACTOR = "(20e0 / ln(2e0))"
 OFFSET = f"(600e0 - {FACTOR} * ln(20e0))"
@@ -18,11 +18,11 @@ _THIN_POP = {
 }
 
 
-def _merged_state(feature: str, share: float, start_phase: int, policy: str = "reference") -> str:
+def _merged_state(feature: str, share: float, start_phase: int, policy: str = "reference", kept: str = "true") -> str:
     """CTEs ending in ``last_{feature}``: the interval counts c and inner edges ed after merging."""
     f = feature
     return f"""
-        x_{f} AS (SELECT CAST({f} AS DOUBLE) AS x, defaulted AS y FROM app WHERE approved_by_incumbent = 1),
+        x_{f} AS (SELECT CAST({f} AS DOUBLE) AS x, defaulted AS y FROM app WHERE approved_by_incumbent = 1 AND {kept}),
         e_{f} AS (SELECT list_sort(list_distinct(quantile_cont(x, {SIXTHS})))[2:-2] AS ed FROM x_{f}),
         g_{f} AS (SELECT len(list_filter(ed, lambda v: x > v)) AS b, count(*) AS n, sum(y)::BIGINT AS bad FROM x_{f}, e_{f} GROUP BY 1),
         c_{f} AS (SELECT list({{'n': coalesce(n, 0), 'bad': coalesce(bad, 0)}} ORDER BY p) AS c
@@ -108,11 +108,14 @@ def _reason_sql() -> str:
 
 
 def _points_sql() -> str:
-    rows = []
+    rows, seen = [], []
     for f in CARD_BETAS:
         for k, (p, w) in enumerate(zip(_points(f), CARD_BINS[f][1])):
             rows.append(f"SELECT '{f}' AS feature, {k}::INTEGER AS bin, round({w}::DOUBLE, 4) AS woe, round({p}, 1) AS points")
-    return " UNION ALL ".join(rows)
+        seen.append(f"SELECT '{f}' AS feature, {_case(f, list(range(len(CARD_BINS[f][1]))), len(CARD_BINS[f][1]) - 1)} AS bin, defaulted FROM app WHERE approved_by_incumbent = 1")
+    return f"""WITH {APP_CTE}, p AS ({' UNION ALL '.join(rows)}), s AS ({' UNION ALL '.join(seen)}),
+        c AS (SELECT feature, bin, count(*) AS n, round(avg(defaulted), 4) AS bad_rate FROM s GROUP BY feature, bin)
+        SELECT p.feature, p.bin, woe, points, coalesce(n, 0) AS n, bad_rate FROM p LEFT JOIN c ON p.feature = c.feature AND p.bin = c.bin"""
 
 
 def _scores_sql() -> str:
@@ -144,11 +147,17 @@ def _auc(score: str, label: str, source: str, tag: str) -> str:
 
 def all_sql() -> dict[str, str]:
     """Name of the query -> DuckDB SQL."""
-    candidates = ", ".join(f"('{n}', {a}::DOUBLE, {u}::DOUBLE)" for n, (a, u) in CANDIDATES.items())
-    lda = f"""WITH c AS (SELECT * FROM (VALUES {candidates}) AS t(name, air, auc)),
+    air = lambda c: f"""(SELECT least(r1, r0) / greatest(r1, r0) FROM (
+        SELECT avg(({c} <= cut)::INT) FILTER (protected_group_synthetic = 1) AS r1, avg(({c} <= cut)::INT) FILTER (protected_group_synthetic = 0) AS r0
+        FROM f3, (SELECT quantile_cont({c}, 0.8) AS cut FROM f3)))"""
+    f3 = f"{FUNDED}, f3 AS (SELECT *, round((pd_a + pd_b) / 2, 9) AS pd_c FROM f)"
+    candidates = " UNION ALL ".join(f"SELECT '{n}' AS name, {air(f'pd_{c}')} AS air, (SELECT auc FROM m_{c}) AS auc" for n, c in (("champion", "a"), ("challenger", "b"), ("mean", "c")))
+    lda = f"""{f3}, {", ".join(_auc(f"pd_{c}", "defaulted", "f3", c) for c in "abc")}, c AS ({candidates}),
         d AS (SELECT c.*, c.air - b.air AS gain, b.auc - c.auc AS cost FROM c, c b WHERE b.name = 'champion' AND c.name <> 'champion'),
         v AS (SELECT *, CASE WHEN gain < 0.02e0 THEN 'not_material' WHEN cost > 0.005e0 THEN 'blocked_on_cost' ELSE 'qualifies' END AS verdict FROM d)"""
-    ablations = ", ".join(f"('{n}', {', '.join(f'{x}::DOUBLE' for x in xs)})" for n, *xs in ABLATIONS)
+    swaps = f"""{f3}, {", ".join(_auc(f"pd_{c}", "protected_group_synthetic", "f3", c) for c in "ab")},
+        x AS (SELECT {air("pd_a")} AS a, {air("pd_b")} AS b, (SELECT auc FROM m_a) AS ra, (SELECT auc FROM m_b) AS rb),
+        t AS (SELECT 'a to b' AS name, a AS a0, b AS a1, ra AS r0, rb AS r1 FROM x UNION ALL SELECT 'b to a', b, a, rb, ra FROM x)"""
     return {
         "population_summary": f"""WITH {APP_CTE}, p AS (
                 SELECT 'all' AS population, * FROM app UNION ALL SELECT CASE approved_by_incumbent WHEN 1 THEN 'funded' ELSE 'rejected' END, * FROM app)
@@ -178,7 +187,8 @@ def all_sql() -> dict[str, str]:
         "bin_lookup": f"WITH {APP_CTE} SELECT app_id, " + ", ".join(
             f"CAST({_case(f, list(range(len(w))), len(w) - 1)} AS INTEGER) AS {f}_bin" for f, (_, w) in CARD_BINS.items()
         ) + " FROM app",
-        "card_scaling": f'SELECT round({FACTOR}, 6) AS factor, round({OFFSET}, 6) AS "offset"',
+        "card_scaling": f"""{FUNDED}, o AS (SELECT sum(1 - defaulted) / sum(defaulted) AS odds FROM f)
+            SELECT round({FACTOR}, 6) AS factor, round({OFFSET}, 6) AS "offset", round(odds, 6) AS odds, round({OFFSET} + {FACTOR} * ln(odds), 6) AS score_at_odds FROM o""",
         "card_scores": _scores_sql(),
         "points_table": _points_sql(),
         "reason_codes": _reason_sql(),
@@ -216,8 +226,8 @@ def all_sql() -> dict[str, str]:
         "lda_conclusion_fixture": f"""{lda}, k AS (SELECT count(*) FILTER (verdict = 'qualifies') AS n_qualifying, count(*) FILTER (verdict = 'blocked_on_cost') AS n_blocked FROM v)
             SELECT *, CASE WHEN n_qualifying > 0 THEN 'a less discriminatory alternative qualifies'
                 WHEN n_blocked > 0 THEN 'fairer candidates exist but exceed the accuracy tolerance' ELSE 'no candidate is materially fairer' END AS conclusion FROM k""",
-        "ablation_narrative_fixture": f"""SELECT name, CASE WHEN abs(a1 - a0) < 0.01e0 AND r0 - r1 > 0.02e0 THEN 'cosmetic' WHEN a1 - a0 > 0.01e0 THEN 'driver' ELSE 'neutral' END AS narrative_code
-            FROM (VALUES {ablations}) AS t(name, a0, a1, r0, r1)""",
+        "ablation_narrative_fixture": f"""{swaps} SELECT name, round(a0, 6) AS air_full, round(a1, 6) AS air_ablated, round(r0, 6) AS reconstruction_full, round(r1, 6) AS reconstruction_ablated,
+            CASE WHEN abs(a1 - a0) < 0.01e0 AND r0 - r1 > 0.02e0 THEN 'cosmetic' WHEN a1 - a0 > 0.01e0 THEN 'driver' ELSE 'neutral' END AS narrative_code FROM t""",
         "parcelling": f"{PARCEL} SELECT app_id, round(inferred, 6) AS inferred FROM i",
         "parcelled_labels": f"""{PARCEL} SELECT app_id,
             CAST(('0x' || substr(md5(CAST(app_id AS VARCHAR) || ':7'), 1, 12))::BIGINT / 281474976710656e0 < inferred AS INTEGER) AS label FROM i""",

@@ -4,9 +4,12 @@ models, cells, groups; rows of applications are never collected."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import fairness
-from . import credit
+from ..operators import binning, evaluation, fairness, rejects
+from ..sources.applications import APPROVED, GROUP, TARGET
+from ..sources.work import release, written
+from . import credit, fitted
 
 
 def table(df: DataFrame, digits: int = 4) -> str:
@@ -23,42 +26,50 @@ def _report(title: str, parts: list[tuple[str, DataFrame]]) -> str:
 
 
 def scorecard_report(spark: SparkSession, sf_dir: str) -> str:
-    return _report("Scorecard", [
+    """Of a card and a booster that are fitted on the table, once for all sections."""
+    run = fitted.fitted_run(spark, sf_dir)
+    text = _report("Scorecard", [
         ("Population", credit.population_summary(spark, sf_dir)),
-        ("Information value", credit.iv_summary(spark, sf_dir)),
-        ("Bins", credit.woe_merged(spark, sf_dir).orderBy("feature", "bin")),
-        ("Points", credit.points_table(spark, sf_dir).orderBy("feature", "bin")),
-        ("Models", credit.model_summary(spark, sf_dir)),
-        ("Calibration", credit.calibration(spark, sf_dir).orderBy("model", "bin")),
-        ("Swap set", credit.swap_set(spark, sf_dir)),
-        ("Verdict", credit.swap_verdict(spark, sf_dir)),
-        ("Adverse impact", credit.adverse_impact(spark, sf_dir)),
-        ("Declined first", declined := credit.decline_sample(spark, sf_dir)),
-        ("Their reasons", credit.reason_codes(spark, sf_dir).join(declined.select("app_id"), "app_id").orderBy("app_id", "rank")),
+        ("Bins", binning.bin_table(spark, run.card.binnings).orderBy("feature", "bin")),
+        *fitted.sections(run).items(),
     ])
+    release(run.test)
+    return text
 
 
 def fairness_report(spark: SparkSession, sf_dir: str) -> str:
-    judged, ablation = credit.alternatives(spark, sf_dir)
-    return _report("Fair lending", [
-        ("Adverse impact", credit.adverse_impact(spark, sf_dir)),
-        ("Interval (closed form)", credit.adverse_impact_log_interval(spark, sf_dir)),
-        ("Interval (bootstrap)", credit.adverse_impact_bootstrap(spark, sf_dir)),
-        ("Score distribution", credit.score_distribution(spark, sf_dir)),
+    """Of the champion among the fitted candidates, the card with the proxies."""
+    judged, ablation, champion = credit.alternatives(spark, sf_dir)
+    cut = evaluation.approval_threshold(champion, "pd")
+    decided = champion.withColumn("approved", (F.col("pd") <= F.lit(cut)).cast("int"))
+    interval = fairness.adverse_impact_interval(decided, "approved", GROUP) or (None, None)
+    text = _report("Fair lending", [
+        ("Adverse impact", fairness.adverse_impact(decided, "approved", GROUP)),
+        ("Interval (closed form)", fairness.adverse_impact_log_interval(decided, "approved", GROUP)),
+        ("Interval (bootstrap)", spark.createDataFrame([interval], "low double, high double")),
+        ("Score distribution", fairness.score_distribution(champion, "pd", GROUP)),
         ("Reconstruction of the group, and ablation of the proxies", ablation),
         ("Less discriminatory alternatives", judged),
         ("Conclusion", fairness.lda_conclusion(judged)),
     ])
+    release(champion)
+    return text
 
 
 def rejects_report(spark: SparkSession, sf_dir: str) -> str:
-    return _report("Reject inference", [
-        ("Funded model on all", credit.funded_model_on_rejects(spark, sf_dir)),
-        ("Parcelling by multiplier", credit.parcelling_sweep(spark, sf_dir).orderBy("multiplier")),
-        ("Against the truth", credit.counterfactual(spark, sf_dir)),
-        ("Augmentation weights", credit.augmentation_weights(spark, sf_dir).orderBy("band")),
-        ("Refit with inferred rejects", credit.parcelled_refit(spark, sf_dir)),
+    """Of a card that is fitted on the funded applications and scores all."""
+    apps = written(credit.funded_card_scores(spark, sf_dir), "all-scored")
+    known, others = credit.funded(apps), credit.rejected(apps)
+    by_outcome = apps.groupBy(APPROVED).agg(F.count(F.lit(1)).alias("n"), F.avg("pd").alias("predicted"), F.avg(TARGET).alias("actual"))
+    text = _report("Reject inference", [
+        ("Funded model on all", by_outcome.orderBy(APPROVED)),
+        ("Parcelling by multiplier", rejects.multiplier_sweep(known, others, "pd", TARGET).orderBy("multiplier")),
+        ("Against the truth", rejects.counterfactual(rejects.parcelling(known, others, "pd", TARGET), "inferred", TARGET)),
+        ("Augmentation weights", rejects.augmentation_weights(apps, "pd", APPROVED).orderBy("band")),
+        ("Refit with inferred rejects", credit.refit_with_rejects(apps)),
     ])
+    release(apps)
+    return text
 
 
 def write_report(text: str, spark: SparkSession, path: str) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bands import sorted_index
+from .work import FILE, ROW, sorted_table
 
 APPLICATION_SCHEMA = T.StructType([
     T.StructField("app_id", T.LongType()),
@@ -77,26 +77,22 @@ def as_features(apps: DataFrame, features: list[str], *others: str) -> DataFrame
     return apps.select(*others, *[F.col(f).cast("double").alias(f) for f in features])
 
 
-def positional_split(apps: DataFrame, key: str, share: float = 0.7, buckets: int = 256) -> DataFrame:
+def positional_split(apps: DataFrame, key: str, share: float = 0.7) -> DataFrame:
     """Adds ``pos`` (from 1, in order of ``key``) and ``is_train`` (pos <= floor(share * n)).
 
-    The key is cut into ranges of about as many rows each, wherever the keys
-    lie; ranges are counted and rows numbered within theirs, so no single task
-    sees all rows.
+    ``apps`` is written once in the order of the key; a row's number is its place
+    in its file, after the rows of all files before, whose counts come to the
+    driver. No window runs, and how many files there are follows the table's size.
     """
-    from pyspark.sql import Window
-
-    marks = [i / buckets for i in range(1, buckets)]
-    ends, n = apps.agg(F.percentile_approx(F.col(key).cast("double"), marks, 8 * buckets), F.count(F.lit(1))).first()
-    ranged = apps.withColumn("_range", sorted_index(F.col(key).cast("double"), sorted(set(ends or []))))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
-    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
-    cut = int(n * share)
-    return (
-        numbered.join(F.broadcast(before), "_range").withColumn("pos", (F.col("_before") + F.col("_at")).cast("long"))
-        .withColumn("is_train", F.col("pos") <= cut).drop("_range", "_at", "_before")
-    )
+    table = sorted_table(apps, key)
+    counts = {r[FILE]: r["count"] for r in table.groupBy(FILE).count().collect()}
+    before, upto = [], 0
+    for file in range(max(counts, default=-1) + 1):
+        before.append(upto)
+        upto += counts.get(file, 0)
+    offset = F.get(F.lit(before) if before else F.array(F.lit(0)), F.col(FILE))
+    pos = (offset + F.col(ROW) + 1).cast("long")
+    return table.withColumn("pos", pos).withColumn("is_train", F.col("pos") <= int(upto * share)).drop(FILE, ROW)
 
 
 # --- synthetic population -------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scorecard import Scorecard
+from ..operators.stability import band_counts, psi, reading
 
 
 def score_applications(apps: DataFrame, card: Scorecard, cut: float | None = None) -> DataFrame:
@@ -29,3 +30,16 @@ def windowed_impact(decisions: DataFrame, time: str, group: str, approved: str =
     high = F.greatest("rate_1", "rate_0")
     both = F.col("rate_1").isNotNull() & F.col("rate_0").isNotNull()
     return counted.withColumn("air", F.when(both & (high > 0), F.least("rate_1", "rate_0") / high))
+
+
+def windowed_stability(rows: DataFrame, time: str, value: str, edges: list[float], base: list[float], window: str = "30 days", late: str = "2 days") -> DataFrame:
+    """(window, n, psi, reading) of each window of event time against the base
+    period's bands (``edges``) and smoothed shares (``base``, the missing values'
+    last). State is a count a band; in append mode a window comes out when the
+    watermark has passed its end, and rows later than that are left out."""
+    names = [f"n_{i}" for i in range(len(base))]
+    counted = rows.withWatermark(time, late).groupBy(F.window(time, window)).agg(
+        F.count(F.lit(1)).alias("n"), *[c.alias(n) for c, n in zip(band_counts(F.col(value).cast("double"), edges), names)]
+    )
+    index = psi([F.col(n) for n in names], base)
+    return counted.select("window", "n", index.alias("psi"), reading(index).alias("reading"))

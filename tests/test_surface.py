@@ -1,0 +1,308 @@
+"""Reserved and categorical bins, stability, intervals, intersections, SQL functions, each against brute force."""
+
+import math
+import os
+import random
+from itertools import combinations, product
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cardwright.functions.card_sql import card_functions, register_card
+from cardwright.operators import categorical, evaluation, fairness, stability
+from cardwright.operators.binning import bin_table, fit_binnings, to_binning, transform, Intervals
+from cardwright.operators.scorecard import Scorecard, points_table, reason_codes
+from cardwright.plans import surface
+from cardwright.plans.fixtures import fixed_card
+from cardwright.sources.work import FILE, ROW, release, sorted_table
+from cardwright.streaming.scoring import windowed_stability
+from tests.test_queries import SF, TABLES, compare
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("query", surface.QUERIES, ids=lambda q: q.__name__)
+def test_against_the_oracle(spark, duck, query):
+    compare(spark, duck, query.__name__, query, surface.oracle_sql()[query.__name__])
+
+
+# --- reserved cells -------------------------------------------------------
+
+def odd_values(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(3000):
+        x = rng.choice([None, float("nan"), -1.0, -2.0]) if rng.random() < 0.2 else rng.uniform(0, 100)
+        bad = rng.random() < (0.6 if x is None or x != x else 0.5 if x < 0 else 0.1 + x / 300)
+        rows.append((i, x, rng.uniform(0, 1), int(bad)))
+    return rows, spark.createDataFrame(rows, "id long, x double, z double, y int").cache()
+
+
+def test_reserved_cells_stay_apart(spark):
+    rows, df = odd_values(spark)
+    binning = fit_binnings(df, ["x", "z"], "y", special={"x": [-1, -9]}, missing=True)["x"]
+    ordinary = [(x, y) for _, x, _, y in rows if x is not None and x == x and x != -1]
+    plain = fit_binnings(spark.createDataFrame([(x, y) for x, y in ordinary], "x double, y int"), ["x"], "y")["x"]
+    assert [(b.lo, b.hi, b.n, b.n_bad) for b in binning.bins] == [(b.lo, b.hi, b.n, b.n_bad) for b in plain.bins]
+    at_one, unseen, missing = binning.reserved
+    assert (at_one.n, at_one.n_bad) == (sum(x == -1 for _, x, _, _ in rows), sum(y for _, x, _, y in rows if x == -1))
+    assert (unseen.n, unseen.woe) == (0, 0.0)
+    assert missing.n == sum(x is None or x != x for _, x, _, _ in rows)
+    all_bad, all_good = sum(r[3] for r in rows), sum(1 - r[3] for r in rows)
+    want = math.log((missing.n - missing.n_bad + 0.5) / (all_good + 0.5) / ((missing.n_bad + 0.5) / (all_bad + 0.5)))
+    assert missing.woe == pytest.approx(want) and sum(b.n for b in binning.cells) == len(rows)
+    assert [r["label"] for r in bin_table(spark, {"x": binning}).orderBy("bin").collect()][-3:] == ["= -1", "= -9", "missing"]
+
+
+def test_reserved_cells_reach_weights_points_and_reasons(spark):
+    rows, df = odd_values(spark)
+    bins = fit_binnings(df, ["x", "z"], "y", special={"x": [-1]}, missing=True)
+    card = Scorecard(bins, -1.0, {"x": -1.0, "z": -1.0})
+    got = {r["id"]: r for r in transform(df, bins).withColumn("score", card.score()).collect()}
+    missing = bins["x"].reserved[-1]
+    ids = [i for i, x, _, _ in rows if x is None or x != x]
+    assert missing.woe != 0 and {got[i]["x_woe"] for i in ids} == {missing.woe}
+    earned = {(r["feature"], r["label"]): r["points"] for r in points_table(spark, card).collect()}
+    reasons = {(r["id"], r["feature"]): r for r in reason_codes(df, card, "id").collect()}
+    assert {reasons[i, "x"]["points_earned"] for i in ids} == {earned["x", "missing"]}
+    assert {reasons[i, "x"]["bin"] for i in ids} == {len(bins["x"].bins) + 1}
+    for i in list(got)[:200]:
+        assert got[i]["score"] == pytest.approx(reasons[i, "x"]["points_earned"] + reasons[i, "z"]["points_earned"], abs=0.11)
+
+
+def test_without_the_option_nothing_changes(spark):
+    _, df = odd_values(spark)
+    binning = fit_binnings(df, ["x"], "y")["x"]
+    assert binning.reserved == () and {r["x_woe"] for r in transform(df.filter("x IS NULL"), {"x": binning}).collect()} == {0.0}
+
+
+def test_only_reserved_values(spark):
+    df = spark.createDataFrame([(None, 1), (None, 0), (5.0, 0)], "x double, y int")
+    binning = fit_binnings(df, ["x"], "y", special={"x": [5]}, missing=True)["x"]
+    assert binning.bins == () and [(r.n, r.n_bad) for r in binning.reserved] == [(1, 0), (2, 1)]
+
+
+# --- categories -----------------------------------------------------------
+
+def levels_of(seed, m):
+    rng = random.Random(seed)
+    return categorical.ordered_levels([{"level": f"l{i}" if i else None, "n": (n := rng.randint(1, 400)), "bad": rng.randint(0, n), "rest": False} for i in range(m)])
+
+
+@pytest.mark.parametrize("m, max_bins, share", [(1, 3, 0.05), (6, 3, 0.05), (8, 8, 0.15), (9, 2, 0.3), (7, 4, 0.9)])
+def test_best_partition_against_all_partitions(m, max_bins, share):
+    for seed in range(15):
+        levels = levels_of(seed, m)
+        n, bad = sum(x.n for x in levels), sum(x.n_bad for x in levels)
+        best = None
+        for k in range(1, min(max_bins, m) + 1):
+            for cuts in combinations(range(1, m), k - 1):
+                ends = [0, *cuts, m]
+                parts = [levels[a:b] for a, b in zip(ends, ends[1:])]
+                if min(sum(x.n for x in p) for p in parts) < share * n:
+                    continue
+                iv = sum(categorical.weight_of_evidence(b := sum(x.n_bad for x in p), sum(x.n for x in p) - b, bad, n - bad)[1] for p in parts)
+                if best is None or iv > best[0] + 1e-12:
+                    best = (iv, list(zip(ends, ends[1:])))
+        assert categorical.best_partition(levels, bad, n - bad, max_bins, share * n) == (best[1] if best else [(0, m)])
+
+
+def test_levels_beyond_the_kept_ones_are_the_rest(spark):
+    rng = random.Random(2)
+    rows = [(None if (k := int(rng.paretovariate(0.8))) == 3 else f"v{k}", rng.randint(0, 1)) for _ in range(4000)] + [("v1", None)]
+    df = spark.createDataFrame(rows, "c string, y int")
+    found = categorical.level_counts(df, ["c"], "y", keep=5).collect()
+    counts = {}
+    for c, y in rows:
+        if y is not None:
+            counts.setdefault(c, []).append(y)
+    top = sorted(counts, key=lambda c: (-len(counts[c]), c is not None, c or ""))[:5]
+    assert {r["level"]: (r["n"], r["bad"]) for r in found if not r["rest"]} == {c: (len(counts[c]), sum(counts[c])) for c in top}
+    [rest] = [r for r in found if r["rest"]]
+    assert (rest["n"], rest["bad"]) == (4000 - sum(len(counts[c]) for c in top), sum(map(sum, counts.values())) - sum(sum(counts[c]) for c in top))
+    binning = categorical.fit_categorical(df, ["c"], "y", keep=5)["c"]
+    assert binning.groups[-1].rest and binning.groups[-1].n == rest["n"]
+    got = {r["c"]: r["w"] for r in spark.createDataFrame([(c,) for c in (*top, "v999", "never seen")], "c string").select("c", binning.woe(F.col("c")).alias("w")).collect()}
+    assert got["never seen"] == got["v999"] == binning.groups[-1].woe
+    for g in binning.groups[:-1]:
+        assert {got[c] for c in g.levels} == {g.woe}
+
+
+def test_no_rows_no_groups(spark):
+    binning = categorical.fit_categorical(spark.createDataFrame([], "c string, y int"), ["c"], "y")["c"]
+    assert binning.groups == () and spark.range(1).select(binning.woe(F.lit("a"))).first()[0] == 0.0
+
+
+# --- stability ------------------------------------------------------------
+
+def test_psi_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, None if rng.random() < 0.05 * p else float(rng.normal(p * 0.4))) for p in (1, 2, 3) for _ in range(500)] + [(None, 1.0)]
+    got = {r["period"]: r for r in stability.stability(spark.createDataFrame(rows, "p int, x double"), ["x"], "p", bands=5).collect()}
+    base = [x for p, x in rows if p == 1]
+    edges = np.quantile([x for x in base if x is not None], [0.2, 0.4, 0.6, 0.8])
+
+    def shares(p):
+        x = [v for q, v in rows if q == p]
+        counts = [sum(v is not None and np.searchsorted(edges, v, "right") == i for v in x) for i in range(5)] + [sum(v is None for v in x)]
+        return (np.array(counts) + 0.5) / (len(x) + 3)
+
+    for p in (1, 2, 3):
+        s, b = shares(p), shares(1)
+        assert got[p]["psi"] == pytest.approx(float(((s - b) * np.log(s / b)).sum())) and got[p]["n"] == 500
+    assert got[1]["psi"] == 0 and [got[p]["reading"] for p in (1, 3)] == ["stable", "shifted"] and len(got) == 3
+
+
+def test_stream_of_windows_equals_the_batch(spark, tmp_path):
+    """Rows come late, some within the watermark; those behind it are left out of both."""
+    day = 86_400
+    rows = [(t * 3600, float((t * 37) % 101) + t / 50) for t in range(24 * 40)]
+    files = [rows[: 24 * 12], rows[24 * 12: 24 * 30], [(11 * day + 5, 50.0), (19 * day + 7, 60.0)], rows[24 * 30:], [(41 * day, 2.0)], [(42 * day, 3.0)], [(3, 1.0)], [(80 * day, 1.0)]]
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, "s long, x double").select(F.timestamp_seconds("s").alias("ts"), "x").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        for f in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    first = [x for s, x in rows if s < 10 * day]
+    edges = [float(e) for e in np.quantile(first, [0.25, 0.5, 0.75])]
+    base = stability.base_shares([sum(np.searchsorted(edges, x, "right") == i for x in first) for i in range(4)] + [0])
+    stream = spark.readStream.schema("ts timestamp, x double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = windowed_stability(stream, "ts", "x", edges, base, "10 days", "20 days").writeStream.format("memory").queryName("psi").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {r["window"]["start"]: (r["n"], r["psi"], r["reading"]) for r in spark.table("psi").collect()}
+    kept = spark.createDataFrame([r for part in files[:6] for r in part], "s long, x double").select(F.timestamp_seconds("s").alias("ts"), "x")
+    want = {r["window"]["start"]: (r["n"], r["psi"], r["reading"]) for r in windowed_stability(kept, "ts", "x", edges, base, "10 days").collect()}
+    assert got == want and len(got) == 5 and want[min(want)][0] == 240
+
+
+def test_vintage_rates_shift(spark):
+    rows = [(p, i / 100, int(i % 10 < p)) for p in (1, 2, 4) for i in range(100)]
+    got = {(r["period"], r["band"]): (r["n"], r["bad_rate"], r["shift"]) for r in stability.vintage_rates(spark.createDataFrame(rows, "p int, s double, y int"), "s", "y", "p", 2).collect()}
+    assert got[1, 0] == (50, 0.1, None) and got[4, 1][:2] == (50, 0.4) and got[4, 1][2] == pytest.approx(0.2)
+
+
+# --- ranking --------------------------------------------------------------
+
+def naive(score, y):
+    pos, neg = [s for s, t in zip(score, y) if t == 1], [s for s, t in zip(score, y) if t == 0]
+    v1 = np.array([sum(n < p for n in neg) + sum(n == p for n in neg) / 2 for p in pos]) / len(neg)
+    v0 = np.array([sum(p > n for p in pos) + sum(p == n for p in pos) / 2 for n in neg]) / len(pos)
+    return v1, v0
+
+
+def test_intervals_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.3).astype(int).tolist()
+    a = np.round(rng.normal(size=400) + np.array(y), 1).tolist()
+    b = np.round(np.array(a) * 0.5 + rng.normal(size=400), 1).tolist()
+    df = spark.createDataFrame(list(zip(a, b, y)), "a double, b double, y int").repartition(7)
+    (a1, a0), (b1, b0) = naive(a, y), naive(b, y)
+    got = {r["model"]: r for r in evaluation.auc_intervals(df, {"a": "a", "b": "b"}, "y").collect()}
+    for name, v1, v0 in (("a", a1, a0), ("b", b1, b0)):
+        se = math.sqrt(v1.var(ddof=1) / len(v1) + v0.var(ddof=1) / len(v0))
+        assert (got[name]["auc"], got[name]["se"]) == pytest.approx((v1.mean(), se)) and got[name]["low"] == pytest.approx(v1.mean() - 1.959964 * se, abs=1e-6)
+    d = evaluation.auc_difference(df, "a", "b", "y").first()
+    se = math.sqrt((a1 - b1).var(ddof=1) / len(a1) + (a0 - b0).var(ddof=1) / len(a0))
+    assert (d["difference"], d["se"]) == pytest.approx((a1.mean() - b1.mean(), se))
+
+
+def test_small_chunks_give_the_same_placements(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "CHUNK", 3)
+    df = spark.createDataFrame([(float(i % 17), int(i * 7 % 5 == 0)) for i in range(100)], "s double, y int")
+    got = {r["s"]: (r["v_pos"], r["v_neg"]) for r in evaluation.placements(df, "s", "y").collect()}
+    rows = df.collect()
+    pos, neg = [r["s"] for r in rows if r["y"]], [r["s"] for r in rows if not r["y"]]
+    for s, (v_pos, v_neg) in got.items():
+        assert v_pos == pytest.approx((sum(n < s for n in neg) + sum(n == s for n in neg) / 2) / len(neg))
+        assert v_neg == pytest.approx((sum(p > s for p in pos) + sum(p == s for p in pos) / 2) / len(pos))
+
+
+def test_a_million_distinct_scores(spark):
+    """Metrics of many distinct scores, over several files and batches, against NumPy; no window in the plan."""
+    df = spark.range(1_000_000).select((F.pmod(F.xxhash64("id"), F.lit(2**40)) / 2**40).alias("s"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("u")).select("s", (F.col("u") < 300 + 300 * F.col("s")).cast("int").alias("y"))
+    pdf = df.toPandas().sort_values("s")
+    y = pdf["y"].to_numpy()
+    below = np.cumsum(1 - y) - (1 - y)
+    p, n = y.sum(), len(y) - y.sum()
+    auc = (y * (below + (1 - y) / 2)).sum() / (p * n)
+    ks = (below / n - (np.cumsum(y) - y) / p).max()
+    m = evaluation.model_summary(df, {"m": "s"}, "y").first()
+    assert (m["auc"], m["gini"], m["ks"]) == pytest.approx((auc, 2 * auc - 1, ks)) and m["brier"] == pytest.approx(((pdf["s"] - pdf["y"]) ** 2).mean())
+
+
+def test_metrics_of_odd_groups(spark):
+    df = spark.createDataFrame([("a", 0.1, 1), ("a", 0.2, 1), (None, 0.3, 0), (None, 0.1, 1), ("b", None, 1), ("c", 0.5, None)], "g string, s double, y int")
+    got = {r["g"]: (r["auc"], r["ks"]) for r in evaluation.ranking_metrics(df, "s", "y", ["g"]).collect()}
+    assert got == {"a": (None, None), None: (0.0, 0.0), "c": (None, None)}
+    assert evaluation.ranking_metrics(df.limit(0), "s", "y").collect() == []
+    assert evaluation.auc_intervals(df.filter("g IS NULL"), {"m": "s"}, "y").first()["se"] is None
+
+
+def test_rows_of_a_sorted_table_are_numbered_in_order(spark):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(700)).alias("k"), "id").repartition(9)
+    table = sorted_table(df, "k", "id")
+    rows = [(r["k"], r["id"]) for r in table.orderBy(FILE, ROW).collect()]
+    assert rows == sorted(rows) and len(rows) == 5000
+    assert table.groupBy(FILE).agg((F.max(ROW) + 1 == F.count("*")).alias("ok")).filter("NOT ok").count() == 0
+    release(table)
+
+
+def test_swap_delta_interval_is_about_the_closed_one(spark):
+    cells = spark.createDataFrame([("both", 5000, 0.2), ("swap_in", 331, 117 / 331), ("swap_out", 331, 112 / 331)], "cell string, n long, bad_rate double")
+    low, high = evaluation.swap_delta_interval(cells)
+    p, q = 117 / 331, 112 / 331
+    se = math.sqrt(p * (1 - p) / 331 + q * (1 - q) / 331)
+    assert (low, high) == pytest.approx((p - q - 1.96 * se, p - q + 1.96 * se), abs=0.008)
+    assert evaluation.swap_delta_interval(cells.filter("cell <> 'swap_in'")) is None
+
+
+# --- intersections and SQL ------------------------------------------------
+
+def test_lattice_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(int(rng.random() < 0.8), rng.choice("ab"), rng.choice([1, 2, None]), rng.choice(["x", "y", "y", "y"])) for _ in range(300)] + [(1, "c", 1, "x")]
+    df = spark.createDataFrame(rows, "ok int, g string, h int, k string")
+    got = {(r["attributes"], r["values"]): r for r in fairness.intersectional_impact(df, "ok", ["g", "h", "k"], least=20).collect()}
+    names, want = ["g", "h", "k"], {}
+    for on in product([0, 1], repeat=3):
+        if not any(on):
+            continue
+        for r in rows:
+            key = (" x ".join(n for n, o in zip(names, on) if o), " x ".join("(null)" if v is None else str(v) for v, o in zip(r[1:], on) if o))
+            want.setdefault(key, []).append(r[0])
+    assert {k: r["n"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    for (names_, values), v in want.items():
+        best = max(sum(x) / len(x) for (a, _), x in want.items() if a == names_ and len(x) >= 20)
+        r = got[names_, values]
+        assert r["ratio"] == pytest.approx(sum(v) / len(v) / best) and r["small"] == (len(v) < 20)
+        assert r["flagged"] == (len(v) >= 20 and sum(v) / len(v) / best < 0.8)
+
+
+def test_functions_of_a_card_are_plain_expressions(spark):
+    _, df = odd_values(spark)
+    bins = fit_binnings(df, ["x", "z"], "y", special={"x": [-1]}, missing=True)
+    card = Scorecard(bins, -1.0, {"x": -1.25, "z": -0.5})
+    assert set(register_card(spark, card, "mine")) == {"mine_woe_x", "mine_points_x", "mine_woe_z", "mine_points_z", "mine_pd", "mine_score"}
+    out = spark.sql("SELECT id, mine_pd(x, z) AS pd, mine_score(x, z) AS score, mine_woe_x(x) AS w, mine_points_z(z) AS p FROM {df}", df=df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.startswith("*(1) Project") and "EvalPython" not in plan
+    want = {r["id"]: r for r in df.select("id", card.pd().alias("pd"), card.score().alias("score"), bins["x"].woe(F.col("x")).alias("w")).collect()}
+    for r in out.collect():
+        assert (r["pd"], r["score"], r["w"]) == (want[r["id"]]["pd"], want[r["id"]]["score"], want[r["id"]]["w"])
+    with pytest.raises(ValueError):
+        card_functions(card, "no name")
+
+
+def test_a_card_without_bins_in_sql(spark):
+    card = Scorecard({"x": to_binning("x", Intervals([], [], []))}, -1.0, {"x": -1.0})
+    register_card(spark, card, "bare")
+    assert spark.sql("SELECT bare_woe_x(3D), bare_pd(3D)").first()[0] == 0.0
+    assert fixed_card().coefficients
