@@ -2,18 +2,19 @@
 
 In the manner of PrefixSpan a phrase grows to the right from its first word.
 Every occurrence of a word is a pointer into the corpus; projected on that word
-it is what follows it within its piece, up to the longest phrase. A task of the
-scan writes its pointers with equal contexts as one row (head, tail, count). The
-pointers of one head then meet in one task, sorted by tail, where the patterns
-of a prefix are runs of rows: growth walks down a run for as long as it is
-frequent, depth first, and a prefix that is not frequent is left with all that
-could follow it.
-
-A head with more than 1 / (4 x partitions) of all words, of which there are at
-most 4 x partitions, would fill its task alone. Its pointers are dealt by their
-whole context instead, so that each context is still in one task; the longest
-phrases are counted there, and the shorter ones of such a head add up from all
-tasks. All counts are exact.
+it is what follows it within its piece, up to the longest phrase. The scan
+writes projections: a row for each word (head) of some megabytes of text, with
+its distinct tails and how often each occurs. The rows of one head then meet in
+one task, where sorted tails are a tree of prefixes: growth walks down a branch
+for as long as it is frequent, depth first, and leaves a prefix that is not
+frequent with all that could follow it.
+
+A head with more than 1 / partitions of all words would fill its task alone;
+there are at most as many such hot words as partitions, by arithmetic. A prefix
+can be hot only if all its words are, so the tails of hot heads are dealt by
+their words up to the first that is not hot: phrases with such a word are still
+counted in one task, and those of hot words alone add up from all tasks. All
+counts are exact.
 
 Scores compare a phrase with its parts: for the cut behind word k,
 floor(1000000 a a / (l r)) with the counts of the phrase, of its first k words
@@ -23,11 +24,12 @@ which hold counts up to 10^16.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +95,83 @@ def _scan(longest: int):
         whole = pa.Table.from_batches(held).combine_chunks()
         langs, texts = (c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in whole.columns)
         lang, head, tail, count = contexts(texts, langs, longest)
-        return pa.RecordBatch.from_arrays([lang, head, tail, pa.array(count, pa.int64())], names=["lang", "head", "tail", "n"])
+        fresh = np.flatnonzero(_changes([lang, head]))
+        return _projections(lang.take(pa.array(fresh)), head.take(pa.array(fresh)), fresh, tail, count)
 
     return scan
 
 
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    fresh = np.ones(len(columns[0]), dtype=bool)
+    if len(fresh) > 1:
+        fresh[1:] = ~np.logical_and.reduce([pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in columns])
+    return fresh
+
+
+_PROJECTIONS = "lang string, head string, n long, tails string, counts binary"
+
+
+def _projections(lang: pa.Array, head: pa.Array, starts: np.ndarray, tail: pa.Array, count: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    """Rows of heads whose tails begin at ``starts``: the tails, a line each, and their counts as four bytes each."""
+    ends = np.append(starts, len(tail)).astype(np.int32)
+    tails = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail), "\n")
+    blob = pa.py_buffer(count.astype("<u4").tobytes())
+    counts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * np.int32(4)), blob])
+    n = np.add.reduceat(count, starts) if len(starts) else np.zeros(0, dtype=np.int64)
+    arrays = [lang, head, pa.array(n, pa.int64()), tails, counts, *more]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "head", "n", "tails", "counts", "part"][: len(arrays)])
+
+
+class _Tails:
+    """The tails of some rows of projections, as codes of their words."""
+
+    def __init__(self, rows: pa.Table, longest: int):
+        lists = pc.split_pattern(_whole(rows["tails"]), "\n")
+        self.tail = lists.flatten()
+        self.row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        self.count = np.frombuffer(b"".join(rows["counts"].to_pylist()), dtype="<u4").astype(np.int64)
+        words = pc.split_pattern(self.tail, " ")
+        coded = words.flatten().dictionary_encode()
+        self.words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.cumsum(lengths) - lengths
+        self.size = np.where(pc.equal(self.tail, "").to_numpy(zero_copy_only=False), 0, lengths)
+        self.codes = np.full((longest - 1, len(self.tail)), -1, dtype=np.int64)
+        for j in range(longest - 1):
+            has = self.size > j
+            self.codes[j, has] = codes[at[has] + j]
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _deal(longest: int, parts: int, hot: set[tuple[str, str]]):
+    """Rows of hot heads -> rows (with ``part``) of their tails dealt by the words up to the first that is not hot."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = pa.Table.from_batches([batch.slice(i, 1)])
+                tails, lang = _Tails(rows, longest), rows["lang"][0].as_py()
+                plain = np.array([(lang, w) not in hot for w in tails.words], dtype=bool)
+                key, settled = np.zeros(len(tails.tail), dtype=np.int64), np.zeros(len(tails.tail), dtype=bool)
+                named = np.array([xxhash.xxh64_intdigest(w) >> 1 for w in tails.words], dtype=np.int64)
+                for codes in tails.codes:
+                    go = ~settled & (codes >= 0)
+                    with np.errstate(over="ignore"):
+                        key[go] = key[go] * np.int64(6364136223846793005) + named[codes[go]]
+                    settled[go] |= plain[codes[go]]
+                part = (key >> 16) % parts
+                order = np.argsort(part, kind="stable")
+                starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                same = lambda c: pa.array([rows[c][0].as_py()] * len(starts), pa.string())  # noqa: E731, B023
+                yield _projections(same("lang"), same("head"), starts, tails.tail.take(pa.array(order)), tails.count[order], pa.array(part[order][starts], pa.int32()))
+
+    return deal
+
+
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows of about GATHER_BYTES."""
     upto, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
@@ -108,48 +182,49 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _grow(longest: int, least: int):
-    """Rows (lang, head, tail, n, hot) sorted by these -> (lang, phrase, size, n).
+def _grow(longest: int, least: int, hot: set[tuple[str, str]]):
+    """Rows (lang, head, part, tails, counts) sorted by the first three -> (lang, phrase, size, n).
 
-    Counts of a phrase are whole but for the shorter ones of hot heads, of which
-    each batch gives its own part."""
-    names = ["lang", "head", "tail", "n", "hot"]
+    Counts are whole but for phrases of hot words alone, of which each part gives its own."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([*held, batch]).combine_chunks()
-            last = rows.slice(rows.num_rows - 1).to_pylist()[0]
-            # The last head goes on in the next batch; of a hot one only its last context.
-            at = rows.num_rows - _run(rows, last, ["lang", "head", "tail"] if last["hot"] else ["lang", "head"])
-            yield grown(rows.slice(0, at))
-            held = rows.slice(at).combine_chunks().to_batches()
+            fresh = _changes([batch.column(0), batch.column(1), pc.fill_null(batch.column(2), -1)])
+            fresh[0] = not held or any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(3))
+            starts = np.flatnonzero(fresh)
+            if not len(starts):
+                held.append(batch)
+                continue
+            # The last head may go on in the next batch.
+            ready = [*held, batch.slice(0, int(starts[-1]))]
+            held = [batch.slice(int(starts[-1]))]
+            yield grown(pa.Table.from_batches([x for x in ready if x.num_rows] or [batch.slice(0, 0)]).combine_chunks())
         if held:
-            yield grown(pa.Table.from_batches(held))
-
-    def _run(rows: pa.Table, last: dict, keys: list[str]) -> int:
-        same = None
-        for k in keys:
-            one = pc.fill_null(pc.equal(rows[k], pa.scalar(last[k], rows[k].type)), False)
-            same = one if same is None else pc.and_(same, one)
-        differs = np.flatnonzero(~np.asarray(same))
-        return rows.num_rows - (int(differs[-1]) + 1 if len(differs) else 0)
+            yield grown(pa.Table.from_batches(held).combine_chunks())
 
     def grown(rows: pa.Table) -> pa.RecordBatch:
         found: list[tuple[str, str, int, int]] = []
         if rows.num_rows:
-            lang, head, tail, n, hot = (rows[c].combine_chunks() for c in names)
-            lists = pc.split_pattern(tail, " ")
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            size[pc.equal(tail, "").to_numpy(zero_copy_only=False)] = 0
-            starts = _starts([lang, head], lists, size, longest)
-            patterns = _Patterns(starts, size, np.concatenate([[0], np.cumsum(n.to_numpy(zero_copy_only=False))]), least)
-            hot = hot.to_numpy(zero_copy_only=False)
-            for depth, low, count in patterns.frequent(hot):
-                own = tail[low].as_py().split(" ")[: depth - 1]
-                found.append((lang[low].as_py(), " ".join([head[low].as_py(), *own]), depth, count))
+            langs, heads, part = _whole(rows["lang"]), _whole(rows["head"]), _whole(rows["part"])
+            tails = _Tails(rows, longest)
+            unit = (np.cumsum(_changes([langs, heads, pc.fill_null(part, -1)])) - 1)[tails.row]
+            order = np.lexsort((*tails.codes[::-1], unit))
+            codes, row = tails.codes[:, order], tails.row[order]
+            dealt = pc.is_valid(part).to_numpy(zero_copy_only=False)
+            # Words that make a phrase whole: all, unless the head is hot too.
+            plain = {}
+            for k in np.unique(tails.row[dealt[tails.row]]).tolist():
+                lang = langs[k].as_py()
+                if lang not in plain:
+                    plain[lang] = np.array([(lang, w) not in hot for w in tails.words], dtype=bool)
+            patterns = _Patterns(unit[order], codes, tails.size[order], np.concatenate([[0], np.cumsum(tails.count[order])]), least)
+            for depth, low, count in patterns.frequent(dealt[row], lambda low: plain[langs[int(row[low])].as_py()]):
+                own = [tails.words[c] for c in codes[: depth - 1, low]]
+                k = int(row[low])
+                found.append((langs[k].as_py(), " ".join([heads[k].as_py(), *own]), depth, count))
         columns = list(zip(*found)) or [()] * 4
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())],
@@ -159,53 +234,39 @@ def _grow(longest: int, least: int):
     return grow
 
 
-def _starts(heads: list[pa.Array], lists: pa.Array, size: np.ndarray, longest: int) -> list[np.ndarray]:
-    """For each length of a prefix, where its runs begin in rows sorted by context."""
-    fresh = np.ones(len(size), dtype=bool)
-    if len(size) > 1:
-        same = [pc.equal(h[1:], h[:-1]).to_numpy(zero_copy_only=False) for h in heads]
-        fresh[1:] = ~np.logical_and.reduce(same)
-    out = [np.flatnonzero(fresh)]
-    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = np.cumsum(lengths) - lengths
-    for j in range(longest - 1):
-        word = np.full(len(size), -1, dtype=np.int64)
-        word[size > j] = codes[offsets[size > j] + j]
-        fresh = fresh.copy()
-        fresh[1:] |= word[1:] != word[:-1]
-        out.append(np.flatnonzero(fresh))
-    return out
-
-
 class _Patterns:
-    """Runs of sorted contexts as a tree of prefixes."""
+    """Sorted contexts as a tree of prefixes: ``starts`` has, for each length of a prefix, where its runs begin."""
 
-    def __init__(self, starts: list[np.ndarray], size: np.ndarray, upto: np.ndarray, least: int):
-        self.starts, self.size, self.upto, self.least = starts, size, upto, least
+    def __init__(self, unit: np.ndarray, codes: np.ndarray, size: np.ndarray, upto: np.ndarray, least: int):
+        self.codes, self.size, self.upto, self.least = codes, size, upto, least
+        fresh = np.diff(unit, prepend=-1) != 0
+        self.starts = [np.flatnonzero(fresh)]
+        for words in codes:
+            fresh = fresh | (np.diff(words, prepend=-2) != 0)
+            self.starts.append(np.flatnonzero(fresh))
 
-    def frequent(self, hot: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def frequent(self, dealt: np.ndarray, plain_of: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int, int]]:
         """(length, a row, count) of every frequent phrase of two words or more, depth
-        first; of hot heads also the parts of shorter phrases."""
+        first; of dealt heads also the parts of phrases of hot words alone."""
         ends = np.append(self.starts[0][1:], len(self.size))
-        keep = hot[self.starts[0]] | (self.upto[ends] - self.upto[self.starts[0]] >= self.least)
+        keep = dealt[self.starts[0]] | (self.upto[ends] - self.upto[self.starts[0]] >= self.least)
         for low, high in zip(self.starts[0][keep].tolist(), ends[keep].tolist()):
-            yield from self._right(low, high, 2, not hot[low])
+            yield from self._right(low, high, 2, plain_of(low) if dealt[low] else None)
 
-    def _right(self, low: int, high: int, depth: int, whole: bool) -> Iterator[tuple[int, int, int]]:
-        """Extends the prefix of rows ``low`` to ``high`` by one word, and each frequent result again."""
+    def _right(self, low: int, high: int, depth: int, plain: np.ndarray | None) -> Iterator[tuple[int, int, int]]:
+        """Extends the prefix of rows ``low`` to ``high`` by one word, and each
+        frequent result again. ``plain`` says which words are not hot, where all so far are."""
         runs = self.starts[depth - 1]
         a, b = np.searchsorted(runs, [low, high])
-        begin = runs[a:b]
-        count = np.diff(self.upto[np.append(begin, high)])
+        begin, stop = runs[a:b], np.append(runs[a + 1:b], high)
+        count = self.upto[stop] - self.upto[begin]
         longer = self.size[begin] >= depth - 1
         last = depth == len(self.starts)
-        keep = longer & (count >= (self.least if whole or last else 1))
-        stops = np.append(begin, high)
-        for i in np.flatnonzero(keep).tolist():
+        whole = np.ones(len(begin), dtype=bool) if plain is None or last else plain[self.codes[depth - 2, begin]]
+        for i in np.flatnonzero(longer & (~whole | (count >= self.least))).tolist():
             yield depth, int(begin[i]), int(count[i])
             if not last:
-                yield from self._right(int(begin[i]), int(stops[i + 1]), depth + 1, whole)
+                yield from self._right(int(begin[i]), int(stop[i]), depth + 1, None if whole[i] else plain)
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -234,20 +295,22 @@ def collocations(
     parts = shuffle_partitions(spark)
     pointers = materialise(
         docs.filter("text IS NOT NULL").select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), "text")
-        .mapInArrow(tidy(_scan(longest)), "lang string, head string, tail string, n long"),
+        .mapInArrow(tidy(_scan(longest)), _PROJECTIONS),
         "pointers", "zstd",
     )
     words = materialise(pointers.groupBy("lang", "head").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    # At most 4 x parts words, by arithmetic.
-    hot = {(r["lang"], r["head"]) for r in words.filter(F.col("n") * 4 * parts > total).select("lang", "head").collect()}
+    # Fewer than there are partitions, by arithmetic.
+    hot = {(r["lang"], r["head"]) for r in words.filter(F.col("n") * parts > total).select("lang", "head").collect()}
     named = F.concat_ws("\t", "lang", "head")  # a word has no tab
     is_hot = named.isin([f"{x}\t{w}" for x, w in hot]) if hot else F.lit(False)
+    projected = pointers.filter(~is_hot).select("lang", "head", F.lit(None).cast("int").alias("part"), "tails", "counts")
+    if hot:
+        dealt = pointers.filter(is_hot).mapInArrow(tidy(_deal(longest, parts, hot)), f"{_PROJECTIONS}, part int")
+        projected = projected.unionByName(dealt.drop("n"))
     phrases = materialise(
-        pointers.withColumn("hot", is_hot)
-        .repartition(parts, "lang", "head", F.when(F.col("hot"), F.col("tail")))
-        .sortWithinPartitions("lang", "head", "tail").select("lang", "head", "tail", "n", "hot")
-        .mapInArrow(tidy(_grow(longest, least)), "lang string, phrase string, size int, n long")
+        projected.repartition(parts, "lang", "head", "part").sortWithinPartitions("lang", "head", "part")
+        .mapInArrow(tidy(_grow(longest, least, hot)), "lang string, phrase string, size int, n long")
         .groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least),
         "phrases",
     )
