@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,28 +103,44 @@ def release_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: 64-bit words of a key filter: 2 MB, whatever the number of keys.
-FILTER_WORDS = 1 << 18
+#: Bits of a key filter for each key, and the least and most 64-bit words of one (32 kB, 32 MB).
+FILTER_BITS, FILTER_WORDS = 16, (1 << 12, 1 << 22)
 
 
-def key_filter(keys: DataFrame, hashed: Column) -> DataFrame:
-    """One row: FILTER_WORDS words with a bit set for each 64-bit hash
-    ``hashed`` of ``keys``. With very many keys it is full and lets everything
-    through, so it saves work and decides nothing."""
-    word = F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int").alias("word")
+@dataclass(frozen=True)
+class KeyFilter:
+    """One row of ``words`` 64-bit words with a bit set for each key."""
+
+    bits: DataFrame
+    words: int
+
+
+def filter_words(keys: int) -> int:
+    """Words of a filter for so many keys: a power of two. Up to 16.8 million keys one
+    hash in 16 or fewer passes by chance; with 100 million it is a third, with 270 million two thirds."""
+    least, most = FILTER_WORDS
+    return min(most, max(least, 1 << max(0, keys * FILTER_BITS // 64 - 1).bit_length()))
+
+
+def key_filter(keys: DataFrame, hashed: Column) -> KeyFilter:
+    """A filter by 64-bit hashes ``hashed`` of ``keys``, a work table, sized by
+    their number up to 32 MB. Beyond it lets more through, so it saves work and
+    decides nothing."""
+    n = filter_words(keys.count())
+    word = F.pmod(hashed, F.lit(n)).cast("int").alias("word")
     words = keys.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), _filter_bit(hashed)).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    whole = keys.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    whole = keys.sparkSession.range(n).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
     pairs = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return whole.agg(F.transform(pairs, lambda p: p["bits"]).alias("bits"))
+    return KeyFilter(whole.agg(F.transform(pairs, lambda p: p["bits"]).alias("bits")), n)
 
 
 def _filter_bit(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 58).cast("int")
 
 
-def may_hold(filter_: DataFrame, hashed: Column) -> Column:
+def may_hold(filter_: KeyFilter, hashed: Column) -> Column:
     """False where no key of :func:`key_filter` has this hash."""
-    word = F.get(filter_.scalar(), F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int"))
+    word = F.get(filter_.bits.scalar(), F.pmod(hashed, F.lit(filter_.words)).cast("int"))
     return F.call_function("shiftrightunsigned", word, _filter_bit(hashed)).bitwiseAND(F.lit(1)) == 1
 
 
