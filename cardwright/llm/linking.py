@@ -7,7 +7,8 @@ differ in no more bits than the sets differ in elements, so a larger distance
 proves that two sets do not link. A sketch has four bits or more per shingle,
 within bounds, and folds to half its length to meet a shorter one. Of the
 remaining pairs a group reports a minimum spanning forest; these are verified
-on the texts' own shingles.
+on the texts' own shingles, every set's nearest pair first, and then those
+whose ends are not in one component by that.
 
 Groups above BLOCK members are dealt as pairs of blocks over several tasks:
 first every block with itself and with block 0, which is linear in the group
@@ -19,7 +20,7 @@ two components in doubt: other pairs of theirs may be links. Components that
 such edges connect make a cluster, and every pair still possible lies inside
 one. Clusters are settled in rounds. In each, every component but a cluster's
 largest reports its nearest possible pairs with other components, NEAREST at
-first and four times as many each round; these are verified and components
+first and sixteen times as many each round; these are verified and components
 merge. A cluster is settled when no component had more pairs than it reported.
 Rows are one per set and NEAREST per component, never all pairs, and no link is
 lost. Clusters of more than two blocks are compared by signature group instead.
@@ -46,7 +47,7 @@ from .shingles import mix, shingle_sets, shingles
 
 SKETCH_BITS = (512, 16_384)
 BLOCK = 2048
-NEAREST = 4
+NEAREST = 16
 #: Sets that a task remembers to have signed; forgetting some only costs a repeated row.
 SEEN = 1 << 20
 
@@ -199,10 +200,17 @@ def _nearest(bits: np.ndarray, n: np.ndarray, component: np.ndarray, num: int, d
     return pairs, more
 
 
+def _cost(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ."""
+    a, b = folded([one, two])
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _candidates(num: int, den: int, most: int = 0):
-    """Rows sorted by group (sig, left, right) -> candidate pairs of each group:
-    a forest of the possible pairs, or with ``most`` the nearest ones of each
-    component; ``more`` says that the group has others."""
+    """Rows sorted by group (sig, left, right) -> candidate pairs of each group
+    with their cost, the share of elements that seem to differ: a forest of the
+    possible pairs, or with ``most`` the nearest ones of each component; ``more``
+    says that the group has others."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -219,7 +227,7 @@ def _candidates(num: int, den: int, most: int = 0):
 
     def solve(pdf: pd.DataFrame, edge: np.ndarray) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=["sig", "left", "right", "a", "b", "more"])
+            return pd.DataFrame(columns=["sig", "left", "right", "a", "b", "cost", "more"])
         sketches = pdf["sketch"].tolist()
         n = pdf["n_shingles"].to_numpy().astype(np.int64)
         component = pdf["component"].to_numpy()
@@ -245,7 +253,8 @@ def _candidates(num: int, den: int, most: int = 0):
         a, b = pairs_found[:, 0], pairs_found[:, 1]
         ids = pdf["set_id"].to_numpy()
         out = pdf[["sig", "left", "right"]].iloc[a].reset_index(drop=True)
-        out["a"], out["b"], out["more"] = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), pairs_found[:, 2] > 0
+        out["a"], out["b"], out["cost"] = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), [_cost(sketches[i], sketches[j]) / (n[i] + n[j]) for i, j in zip(a, b)]
+        out["more"] = pairs_found[:, 2] > 0
         return out
 
     return pairs
@@ -283,6 +292,13 @@ def row_key(docs: DataFrame) -> list:
     return [F.xxhash64(*parts).alias("k1"), F.hash(*parts).alias("k2")]
 
 
+def _of(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the components of both ends, of_a and of_b."""
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    return pairs.withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")})
+
+
 def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer) -> tuple[DataFrame, DataFrame]:
     """Sets of ``words``-word shingles that share a signature of ``signer`` link where
     intersection / union >= num / den; equal sets always do. Gives (doc_id, k1, k2, n_shingles,
@@ -320,6 +336,9 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
     placed = materialise(numbered.join(groups, "sig").select("sig", "set_id", own.alias("own"), blocks.alias("last")), "placed")
     release(shared, numbered, groups)
 
+    checks: list[DataFrame] = []
+    found: DataFrame | None = None
+
     def dealt(rows: DataFrame, others) -> DataFrame:
         return rows.select("*", F.explode(others).alias("other")).select(
             *[c for c in rows.columns if c not in ("own", "last")], F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
@@ -329,7 +348,7 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
         return materialise(
             rows.join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
             .repartition(parts, *group).sortWithinPartitions(*group)
-            .mapInPandas(tidy(_candidates(num, den, most)), "sig long, left int, right int, a long, b long, more boolean"),
+            .mapInPandas(tidy(_candidates(num, den, most)), "sig long, left int, right int, a long, b long, cost double, more boolean"),
             "candidates",
         )
 
@@ -354,18 +373,30 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
         release(texts, pairs)
         return out
 
+    def nearest_of_each(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), F.struct("cost", "a", "b").alias("p"))
+        return ends.groupBy("v").agg(F.min("p").alias("p")).select("p.a", "p.b")
+
     def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
         return rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
-    def merged(checks: list[DataFrame]) -> DataFrame:
-        return connected_components(reduce(DataFrame.unionByName, [c.filter("linked").select("a", "b") for c in checks]))
+    def merged() -> DataFrame:
+        """Components with the links of the last check: these connect components, or sets where there are none yet."""
+        links = checks[-1].filter("linked").select("a", "b")
+        if found is None:
+            return connected_components(links)
+        ends = _of(links, found).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b")
+        joined = connected_components(ends)
+        if joined.isEmpty():
+            return found
+        old = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+        own = joined.join(found.select("node"), "node", "left_anti")
+        return materialise(old.select("node", F.coalesce("new", "component").alias("component")).unionByName(own.select("node", "component")), "found")
 
     def apart() -> DataFrame:
         """Verified pairs that are no links and whose ends lie in two components: a, b, of_a, of_b."""
         failed = reduce(DataFrame.unionByName, [c.filter("NOT linked").select("a", "b") for c in checks])
-        for side in ("a", "b"):
-            failed = failed.join(found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-        return failed.withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b")
+        return _of(failed, found).filter("of_a <> of_b")
 
     # Sets that agree in the half of the key that signatures carry are candidates of their own.
     twins = (
@@ -378,10 +409,13 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
     near = materialise(
         dealt(placed, F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("own")))), "near"
     )
-    checks: list[DataFrame] = []
     first = candidates(near.withColumn("component", F.col("set_id")))
-    checks.append(verified(first.select("a", "b").unionByName(twins)))
-    found = merged(checks)
+    pairs = first.select("a", "b", "cost").unionByName(twins.withColumn("cost", F.lit(0.0)))
+    # Every set's nearest pair first; of the others only those whose ends are not in one component by then.
+    checks.append(verified(nearest_of_each(pairs)))
+    found = merged()
+    checks.append(verified(_of(pairs.select("a", "b").distinct(), found).filter("of_a <> of_b")))
+    found = merged()
     seconds = [(near, first)]
     if not placed.filter("last > 1").isEmpty():
         # All other pairs of blocks, where the members of a group are not all in one component by now.
@@ -393,7 +427,7 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
         ), "far")
         second = candidates(far)
         checks.append(verified(second))
-        found = merged(checks)
+        found = merged()
         seconds.append((far.drop("component"), second))
         release(split)
     open_ = materialise(apart(), "open")
@@ -414,13 +448,13 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int, signer: Signer)
         while True:
             again = candidates(with_component(rows, found), most)
             checks.append(verified(again))
-            found = merged(checks)
+            found = merged()
             more = again.filter("more").select(*group).distinct()
             if more.isEmpty():
                 break
             left = materialise(rows.join(more, group, "left_semi"), "unsettled")
             release(rows, again)
-            rows, most = left, 4 * most
+            rows, most = left, 16 * most
         release(held, large, rows, again)
     release(open_, placed, *[x for pair in seconds for x in pair], *checks)
 
