@@ -119,7 +119,7 @@ def filter_words(keys: int) -> int:
     """Words of a filter for so many keys: a power of two. Up to 16.8 million keys one
     hash in 16 or fewer passes by chance; with 100 million it is a third, with 270 million two thirds."""
     least, most = FILTER_WORDS
-    return min(most, max(least, 1 << max(0, keys * FILTER_BITS // 64 - 1).bit_length()))
+    return min(most, max(least, 1 << max(0, -(-keys * FILTER_BITS // 64) - 1).bit_length()))
 
 
 def key_filter(keys: DataFrame, hashed: Column) -> KeyFilter:
