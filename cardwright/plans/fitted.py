@@ -82,9 +82,10 @@ def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"Models": ["model"], "Intervals": ["model"], "Difference of the areas": [], "Calibration": ["model", "bin"], "Swap set": ["cell"], "Verdict": [], "Adverse impact": ["model"], "Score range": []}
     rows, found = [], sections(run)
     for name, key in keys.items():
+        measures = [c for c, kind in found[name].dtypes if kind != "string" and c not in key]
         for r in found[name].collect():
             item = " ".join(str(r[k]) for k in key)
-            rows += [(name, item, c, round(float(v), 4)) for c, v in r.asDict().items() if c not in key and isinstance(v, (int, float))]
+            rows += [(name, item, c, None if r[c] is None else round(float(r[c]), 4)) for c in measures]
     release(run.test)
     return spark.createDataFrame(rows, "section string, item string, measure string, value double")
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from cardwright.plans import credit
 from cardwright.plans.fixtures import fixed_card
 from cardwright.plans.reports import fairness_report, scorecard_report, rejects_report
 from cardwright.streaming.scoring import score_applications, windowed_impact
@@ -25,7 +26,9 @@ def test_a_stream_is_scored_like_a_table(spark, tmp_path):
     assert sum(r["n_1"] + r["n_0"] for r in impact) == 200 and all(r["air"] is None or 0 <= r["air"] <= 1 for r in impact)
 
 
-def test_reports(spark):
+def test_reports(spark, monkeypatch):
+    monkeypatch.setattr(credit, "MONOTONE_ROUNDS", 12)
+    monkeypatch.setattr(credit, "GBM_ROUNDS", 12)
     text = scorecard_report(spark, SF)
     assert "| feature |" in text and "dti" in text and "swap_in" in text
     assert "Adverse impact" in fairness_report(spark, SF) and "multiplier" in rejects_report(spark, SF)
