@@ -94,12 +94,14 @@ def test_bootstrap_lies_about_the_closed_interval(spark):
 
 
 def test_refit_and_population(spark):
+    """The population is as large as the table of line items; its rates at 60,000 are held in test_published_results."""
     r = credit.parcelled_refit(spark, SF).first()
     assert r["delta"] == pytest.approx(r["auc_with_rejects"] - r["auc_funded_only"], abs=1e-4) and 0.5 < r["auc_funded_only"] < 0.8
     rows = {r["approved_by_incumbent"]: r for r in credit.synthetic_population(spark, SF).collect()}
-    assert rows[0]["n"] + rows[1]["n"] == 60_000 and rows[1]["default_rate"] == pytest.approx(0.287, abs=0.012)
-    whole = (rows[0]["n"] * rows[0]["default_rate"] + rows[1]["n"] * rows[1]["default_rate"]) / 60_000
-    assert whole == pytest.approx(0.41, abs=0.01) and min(r["proxy_corr"] for r in rows.values()) > 0.8
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert rows[0]["n"] + rows[1]["n"] == n and rows[1]["default_rate"] == pytest.approx(0.287, abs=0.03)
+    whole = (rows[0]["n"] * rows[0]["default_rate"] + rows[1]["n"] * rows[1]["default_rate"]) / n
+    assert whole == pytest.approx(0.41, abs=0.03) and min(r["proxy_corr"] for r in rows.values()) > 0.8
 
 
 def test_ablation_of_the_registered_query(spark):
