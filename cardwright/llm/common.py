@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -103,6 +103,23 @@ def release_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """Write a text file to any store, a megabyte at a time."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    try:
+        held, size = [], 0
+        for line in lines:
+            held.append(line)
+            size += len(line)
+            if size > 1 << 20:
+                out.write(bytearray(("\n".join(held) + "\n").encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(x + "\n" for x in held).encode()))
+    finally:
+        out.close()
+
+
 #: Bits of a key filter for each key, and the least and most 64-bit words of one (32 kB, 32 MB).
 FILTER_BITS, FILTER_WORDS = 16, (1 << 12, 1 << 22)
 
