@@ -161,6 +161,11 @@ def may_hold(filter_: KeyFilter, hashed: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, _filter_bit(hashed)).bitwiseAND(F.lit(1)) == 1
 
 
+def hashable(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs`` as values that can be hashed: those with maps as JSON, entries in their own order."""
+    return [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

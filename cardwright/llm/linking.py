@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, shuffle_partitions, tidy
+from .common import hashable, materialise, release, shuffle_partitions, tidy
 from .components import connected_components
 from .shingles import mix, shingle_sets, shingles
 
@@ -288,7 +288,7 @@ def _verify(words: int, num: int, den: int):
 
 def row_key(docs: DataFrame) -> list:
     """k1 and k2, 96 hash bits of all columns of ``docs``: rows that differ have other keys."""
-    parts = [c for c, kind in docs.dtypes if "map" not in kind]
+    parts = hashable(docs)
     return [F.xxhash64(*parts).alias("k1"), F.hash(*parts).alias("k2")]
 
 

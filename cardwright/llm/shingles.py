@@ -67,7 +67,7 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[tuple[np.ndarr
     for part in _slices(texts):
         hashes, counts = _words(pa.array(part, pa.string()))
         grams = np.zeros(hashes.shape, dtype=np.uint64)
-        for j in range(words):
+        for j in range(min(words, hashes.shape[1])):
             grams[:, : hashes.shape[1] - j] += mix(hashes[:, j:], seed=j + 1)
         grams = mix(grams, seed=99)
         stops = np.cumsum(counts)

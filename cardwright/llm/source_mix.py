@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, work_path, write_lines
+from .common import hashable, materialise, release, work_path, write_lines
 
 OTHER = "*"
 MAX_PERIOD = 1_000_000
@@ -140,7 +140,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block_docs: int = BLOC
     weights = {OTHER: 1} | dict(weights)
     if min(weights.values()) < 1 or sum(weights.values()) // math.gcd(*weights.values()) > MAX_PERIOD:
         raise ValueError(f"weights must be positive integers with a sum of at most {MAX_PERIOD}")
-    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind])
+    tie = F.xxhash64(*hashable(docs))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), tie.cast("string")))
     keyed = docs.select(
         F.struct(*docs.columns).alias("row"),

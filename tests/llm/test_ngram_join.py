@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import cardwright.llm.ngram_join as join
 from cardwright.llm import linking
 from cardwright.llm.ngram_join import drop_near_duplicates, ngram_components
+from cardwright.llm.shingles import shingle_sets, shingles
 from tests.llm.conftest import ODD_ROWS
 
 
@@ -162,6 +164,23 @@ def test_one_row_of_each_component_stays(make_docs):
     assert drop_near_duplicates(make_docs([])).collect() == []
 
 
+def test_batches_with_fewer_words_than_a_shingle(make_docs):
+    for texts in product(["", "a", "a b", "b c d", "a b c d e"], repeat=2):
+        for words in range(1, 7):
+            got = [(len(s), key) for s, key in shingle_sets(list(texts), words)]
+            assert [n for n, _ in got] == [len(shingles(t.encode(), words)) for t in texts]
+            assert (got[0][1] == got[1][1]) == (texts[0] == texts[1])
+    rows = [(4, "one two"), (3, "One  TWO"), (5, "one")]
+    assert Counter(map(tuple, ngram_components(make_docs(rows), 5, 80, 100).collect())) == brute(rows, 5, 80, 100)
+
+
+def test_rows_that_differ_in_a_map_alone_are_two(spark):
+    rows = [(1, "", {"a": 1}), (1, "one two", {"a": 1}), (1, "one two", {"a": 2}), (1, "one two", None), (1, "one two", {"a": 1}), (2, "x", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    keys = docs.select(*linking.row_key(docs)).distinct().count()
+    assert keys == 5 and drop_near_duplicates(docs).count() == 3
+
+
 def test_linked_sets_share_a_signature():
     """Signatures of linked sets always meet, whatever scheme the sizes take."""
     rng = np.random.default_rng(3)
