@@ -55,11 +55,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the token file, which
-    holds the documents in the order of the files they come in."""
+    holds the documents in the order of the files they come in (by number) and of
+    the rows in them."""
     path = work_path(spark, "pipeline-tokens")
-    placed = docs.select(
-        "doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"),
-    )
+    # Spark numbers the files it writes with at least five digits, so names are compared by number.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    placed = docs.select("doc_id", "text", number.alias("file"), F.col("_metadata.row_index").alias("row"))
     write_token_file(placed, path, public_tokenizers.path("word_bpe_49k.json"), order_by=("file", "row"))
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
