@@ -103,20 +103,30 @@ def _arrays(rows: list[list]) -> tuple[np.ndarray, ...]:
 def _walk(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
     """The node at which each column of ``x`` (features by rows) ends; what is not <= the cut goes right, NaN too."""
     feature, cut, left, _ = tree
-    rows, node = np.arange(x.shape[1]), np.zeros(x.shape[1], np.intp)
-    while (inner := left[node] >= 0).any():
-        node = np.where(inner, left[node] + ~(x[feature[node], rows] <= cut[node]), node)
+    kind = np.uint8 if len(left) <= 256 else np.intp
+    cuts = (cut.astype(np.intp) if x.dtype.kind in "iu" else cut).tolist()
+    node = np.zeros(x.shape[1], kind)
+    # Split by split, parents first: a few passes over bytes cost less than one lookup of each row's own cut.
+    for k in np.flatnonzero(left >= 0).tolist():
+        at = node == k
+        node += at.astype(kind) * kind(left[k] - k)
+        at &= ~(x[feature[k]] <= cuts[k])
+        node += at
     return node
 
 
 BLOCK_ROWS, TASK_ROWS = 200_000, 25_000
+#: A task holds more rows than TASK_ROWS where there are tasks enough for all cores, as each costs time of its own in every job.
+MOST_TASK_ROWS = 1_000_000
 HELD_FROM, TOLERANCE = 10_000, 1e-7
 #: Rounds after which the blocks are rewritten with their scores so far.
 ADVANCE = 5
+#: Cells of features with few bins that are counted together.
+JOINT_CELLS = 256
 
 
 def _blocks(df: DataFrame, features: list[str], edges: list[np.ndarray], target: str, n: int, held: bool) -> RDD:
-    """(bins by feature and row, label, is held back, raw score) of up to BLOCK_ROWS rows each."""
+    """((bins by feature and row, label, raw score) of rows to learn from, the same of rows held back) of about BLOCK_ROWS rows."""
     kind = np.uint8 if max(map(len, edges)) < 256 else np.uint16
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,40 +136,84 @@ def _blocks(df: DataFrame, features: list[str], edges: list[np.ndarray], target:
             back = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bins, y, back)], names=["bins", "y", "held"])
 
+    def block(own: list[tuple]) -> tuple:
+        bins, y, back = (np.concatenate(x, axis=-1) for x in zip(*own))
+        return tuple((np.ascontiguousarray(bins[:, at]), y[at], np.zeros(len(at))) for at in (np.flatnonzero(~back), np.flatnonzero(back)))
+
     def join(rows: Iterator) -> Iterator[tuple]:
         own, size = [], 0
         for r in rows:
             own.append((np.frombuffer(r["bins"], kind).reshape(len(edges), -1), np.frombuffer(r["y"], np.uint8), np.frombuffer(r["held"], np.uint8) == 1))
             size += len(own[-1][1])
             if size >= BLOCK_ROWS:
-                yield tuple(np.concatenate(x, axis=-1) for x in zip(*own)) + (np.zeros(size),)
+                yield block(own)
                 own, size = [], 0
         if size:
-            yield tuple(np.concatenate(x, axis=-1) for x in zip(*own)) + (np.zeros(size),)
+            yield block(own)
 
     columns = [F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]
     back = F.pmod(F.xxhash64(target, *[F.col(f).cast("double") for f in features]), F.lit(10)) == 0 if held else F.lit(False)
     packed = df.select(F.col(target).cast("int").alias("y"), back.alias("held"), *columns).mapInArrow(pack, "bins binary, y binary, held binary").rdd
-    return packed.coalesce(min(packed.getNumPartitions(), max(1, -(-n // TASK_ROWS)))).mapPartitions(join)
+    enough = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_TASK_ROWS))
+    return packed.coalesce(min(packed.getNumPartitions(), max(1, -(-n // TASK_ROWS)), enough)).mapPartitions(join)
 
 
-def _gather(blocks: RDD, base: float, trees: list, grown: tuple, active: list[int], size: int) -> tuple[np.ndarray, float, int]:
-    """Sums (gradient, hessian, rows) by active node, feature and bin, and the loss and number of rows held back."""
+def _joint(sizes: list[int]) -> list[list[int]]:
+    """Places of features in groups: those with few bins share one of up to JOINT_CELLS cells, others are alone."""
+    groups, cells = [], JOINT_CELLS + 1
+    for f in sorted(range(len(sizes)), key=lambda f: sizes[f]):
+        if cells * sizes[f] <= JOINT_CELLS:
+            groups[-1].append(f)
+            cells *= sizes[f]
+        else:
+            groups.append([f])
+            cells = sizes[f]
+    return groups
+
+
+def _histograms(bins: np.ndarray, own: np.ndarray | None, slots: int, weights: tuple, sizes: list[int]) -> np.ndarray:
+    """Sums of each of ``weights`` (None counts rows) by (weight, feature, slot, bin); ``own`` is each row's slot."""
+    out = np.zeros((len(weights), len(sizes), slots, max(sizes)))
+    for group in _joint(sizes):
+        shape = [sizes[f] for f in group]
+        cells, at = math.prod(shape), bins[group[0]].astype(np.intp)
+        for f in group[1:]:
+            at *= sizes[f]
+            at += bins[f]
+        if own is not None:
+            at += own * cells
+        for k, w in enumerate(weights):
+            found = np.bincount(at, w, slots * cells).reshape(slots, *shape)
+            for i, f in enumerate(group):
+                others = tuple(j + 1 for j in range(len(group)) if j != i)
+                out[k, f, :, : sizes[f]] = found.sum(axis=others)
+    return out
+
+
+def _raw(rows: tuple, base: float, trees: list) -> np.ndarray:
+    return base + rows[2] + sum((t[3][_walk(t, rows[0])] for t in trees), 0.0)
+
+
+def _gather(blocks: RDD, base: float, trees: list, grown: tuple, active: list[int], sizes: list[int]) -> tuple[np.ndarray, float, int]:
+    """Sums (gradient, hessian, rows) by active node, feature and bin; with the root alone, the loss and number of rows held back, too."""
     slot = np.full(len(grown[0]), -1)
     slot[active] = np.arange(len(active))
+    root = len(grown[0]) == 1
 
     def sums(part: Iterator[tuple]) -> Iterator[tuple]:
         out, loss, n = None, 0.0, 0
-        for bins, y, held, raw in part:
-            raw = base + raw + sum((t[3][_walk(t, bins)] for t in trees), 0.0)
-            if held.any():
-                loss, n = loss + float((np.logaddexp(0, raw[held]) - y[held] * raw[held]).sum()), n + int(held.sum())
-            own = slot[_walk(grown, bins)]
-            keep = np.flatnonzero((own >= 0) & ~held)
-            p = 1 / (1 + np.exp(-raw[keep]))
-            weights, at, cells = (p - y[keep], p * (1 - p), None), own[keep] * size, len(active) * size
-            each = np.stack([[np.bincount(at + b, w, cells) for w in weights] for b in bins[:, keep]])
-            each = each.reshape(len(bins), 3, len(active), size).transpose(1, 0, 2, 3)
+        for rows, back in part:
+            own = None
+            if root:
+                if len(back[1]):
+                    raw = _raw(back, base, trees)
+                    loss, n = loss + float((np.logaddexp(0, raw) - back[1] * raw).sum()), n + len(raw)
+            else:
+                own = slot[_walk(grown, rows[0])]
+                keep = np.flatnonzero(own >= 0)
+                own, rows = own[keep], (rows[0].take(keep, axis=1), *(x[keep] for x in rows[1:]))
+            p = 1 / (1 + np.exp(-_raw(rows, base, trees)))
+            each = _histograms(rows[0], own, len(active), (p - rows[1], p * (1 - p), None), sizes)
             out = each if out is None else out + each
         if out is not None:
             yield out, loss, n
@@ -285,18 +339,18 @@ def fit_monotone_booster(df: DataFrame, features: list[str], target: str, params
     plain = df.select(*[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
     found = plain.approxQuantile(plain.columns, [i / p.bins for i in range(1, p.bins)], 1 / (8 * p.bins))
     edges = [np.array(sorted(set(x))) for x in found]
-    size = max(map(len, edges)) + 1
+    sizes = [len(e) + 1 for e in edges]
     rate, n = df.agg(F.avg(F.col(target).cast("double")), F.count(F.lit(1))).first()
     base = math.log(rate / (1 - rate))
     blocks = _blocks(df, features, edges, target, n, p.patience > 0 and n > HELD_FROM).persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[tuple] = []
     recent: list[tuple] = []
     losses: list[float] = []
-    growth = _Growth(features, edges, p, lambda tree, active: _gather(blocks, base, recent, tree, active, size)[0])
+    growth = _Growth(features, edges, p, lambda tree, active: _gather(blocks, base, recent, tree, active, sizes)[0])
     stump = _arrays([[0, 0.0, -1, 0.0]])
     while len(trees) < p.rounds or p.patience:
         # The first job of a round also sees what the last tree did for the rows held back.
-        sums, loss, held = _gather(blocks, base, recent, stump, [0], size)
+        sums, loss, held = _gather(blocks, base, recent, stump, [0], sizes)
         if held:
             losses.append(loss / held)
         # As often as the last rounds have not helped, or all rounds are done.
@@ -306,7 +360,7 @@ def fit_monotone_booster(df: DataFrame, features: list[str], target: str, params
         recent.append(trees[-1])
         if len(recent) == ADVANCE:
             def advance(block: tuple, recent: list = recent) -> tuple:
-                return *block[:3], block[3] + sum(t[3][_walk(t, block[0])] for t in recent)
+                return tuple((*rows[:2], _raw(rows, 0.0, recent)) for rows in block)
 
             old, blocks, recent = blocks, blocks.map(advance).persist(StorageLevel.MEMORY_AND_DISK), []
             blocks.count()
