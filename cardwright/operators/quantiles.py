@@ -16,10 +16,11 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 20_000
@@ -59,25 +60,37 @@ class Search:
         place = {e: k for k, e in enumerate(edges)}
         return cls(ranks, edges, {2 * k for low, high in intervals for k in range(place[low] + 1, place[high] + 1)})
 
-    def cell(self, x: Column) -> Column:
-        steps = [s.cast("int") for e in self.edges for s in (x >= F.lit(e), x > F.lit(e))]
-        return reduce(lambda a, b: a + b, steps, F.lit(0))
-
     def gap(self, cell: int) -> Interval:
         ends = [-math.inf, *self.edges, math.inf]
         return ends[cell // 2], ends[cell // 2 + 1]
 
 
-def _cells(df: DataFrame, searches: dict[str, Search]) -> DataFrame:
-    """(column, cell, value): a row for each value; null values in cells that want none."""
-    each = F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), s.cell(F.col(c)).alias("cell"), F.col(c).alias("value")))
-        for c, s in searches.items()
-    ])
-    wanted = F.lit(False)
-    for c, s in searches.items():
-        wanted = wanted | (F.col("x.column") == c) & F.col("x.cell").isin(sorted(s.wanted))
-    return df.select(F.explode(F.array_compact(each)).alias("x")).select("x.column", "x.cell", F.when(wanted, F.col("x.value")).alias("value"))
+def _counted(df: DataFrame, searches: dict[str, Search], apart: bool) -> DataFrame:
+    """(column's place, cell, value, n): a row for each task and cell where no
+    values are wanted, with a null; else one for each batch and value, or with ``apart`` for each row.
+
+    Arrow batches are dealt to cells by binary search, so rows are not multiplied by columns."""
+    asked = [(np.array(s.edges, dtype=np.float64), np.isin(np.arange(2 * len(s.edges) + 1), sorted(s.wanted))) for s in searches.values()]
+    names = ["column", "cell", "value", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(wanted), dtype=np.int64) for _, wanted in asked]
+        for batch in batches:
+            for i, (edges, wanted) in enumerate(asked):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                cell = np.searchsorted(edges, x, "left") + np.searchsorted(edges, x, "right")
+                found = np.bincount(cell, minlength=len(wanted))
+                totals[i] += np.where(wanted, 0, found)
+                if found[wanted].any():
+                    inside = x[wanted[cell]]
+                    value, n = (inside, np.ones(len(inside), dtype=np.int64)) if apart else np.unique(inside, return_counts=True)
+                    at = 2 * np.searchsorted(edges, value, "left")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i), pa.int32()), pa.array(at, pa.int32()), pa.array(value), pa.array(n)], names=names)
+        for i, total in enumerate(totals):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.float64()), pa.array(total[at])], names=names)
+
+    return df.select(*searches).mapInArrow(count, "column int, cell int, value double, n long")
 
 
 def order_statistics(df: DataFrame, searches: dict[str, Search], inside: float) -> dict[tuple[str, int], float]:
@@ -85,18 +98,18 @@ def order_statistics(df: DataFrame, searches: dict[str, Search], inside: float)
     ascending order; ``inside`` bounds the rows in the wanted gaps."""
     found: dict[tuple[str, int], float] = {}
     while searches:
-        cells = _cells(df, searches)
         fine = inside > SMALL
+        cells = _counted(df, searches, apart=fine)
         if fine:
             rows = cells.groupBy("column", "cell").agg(
-                F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [j / GRID for j in range(GRID + 1)], ACCURACY).alias("grid")
+                F.sum("n").alias("n"), F.percentile_approx("value", [j / GRID for j in range(GRID + 1)], ACCURACY).alias("grid")
             ).collect()
         else:
-            rows = cells.groupBy("column", "cell", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+            rows = cells.groupBy("column", "cell", "value").agg(F.sum("n").alias("n")).collect()
         inside, following = 0.0, {}
-        for c, s in searches.items():
+        for i, (c, s) in enumerate(searches.items()):
             upto, narrower, left = 0, [], set()
-            for r in sorted((r for r in rows if r["column"] == c), key=lambda r: (r["cell"], 0 if fine or r["value"] is None else r["value"])):
+            for r in sorted((r for r in rows if r["column"] == i), key=lambda r: (r["cell"], 0 if fine or r["value"] is None else r["value"])):
                 below, upto = upto, upto + r["n"]
                 for k in [k for k in s.ranks if below <= k < upto]:
                     if r["cell"] % 2:

@@ -116,3 +116,29 @@ def test_exact_quantiles_by_narrowing(spark, monkeypatch):
     monkeypatch.setattr(q, "GRID", 20)
     assert exact_quantiles(spark.createDataFrame(pdf[:5000]), ["a", "c"], probs) == {c: pytest.approx(np.quantile(pdf[c][:5000], probs).tolist(), rel=1e-12) for c in "ac"}
     assert exact_quantiles(spark.createDataFrame([(None,), (float("nan"),)], "a double"), ["a"], [0.5]) == {"a": []}
+
+
+def test_quantile_search_does_not_multiply_rows(spark):
+    import cardwright.operators.quantiles as q
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: np.round(rng.normal(size=4000), 2) for c in "ab"})
+    pdf.loc[:9, "a"] = np.nan
+    searches = {"a": q.Search.between({7}, [(-0.5, 0.25)]), "b": q.Search.between({7}, [(0.0, 0.0)])}
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "ab"]).repartition(4)
+    for apart in (True, False):
+        counted = q._counted(df, searches, apart)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "MapInArrow" in plan
+        rows = counted.collect()
+        for i, c in enumerate("ab"):
+            x, edges = pdf[c].dropna(), searches[c].edges
+            for cell in range(2 * len(edges) + 1):
+                low, high = searches[c].gap(cell) if cell % 2 == 0 else (edges[cell // 2],) * 2
+                want = x[x == low] if cell % 2 else x[(x > low) & (x < high)]
+                own = [r for r in rows if r["column"] == i and r["cell"] == cell]
+                assert sum(r["n"] for r in own) == len(want)
+                if cell in searches[c].wanted:
+                    assert sorted(v for r in own for v in [r["value"]] * r["n"]) == sorted(want)
+                else:
+                    assert len(own) <= 4 and all(r["value"] is None for r in own)
